@@ -245,25 +245,14 @@ def run_by_domain(page_results: DataFrame, run_id: int | None = None) -> DataFra
 
 def run_rollup(page_results: DataFrame) -> DataFrame:
     """Per run: a row per domain and a total row, empty answers counted too."""
-    return (
-        page_results.groupBy("run_id", F.col("domain").alias("_domain"))
-        .agg(
-            *_domain_figures(),
-            _count_status(EMPTY).alias("empty"),
-        )
-        .select("run_id", F.col("_domain").alias("domain"), *_rollup_columns(), F.lit(False).alias("is_total"))
-        .unionByName(
-            page_results.groupBy("run_id")
-            .agg(*_domain_figures(), _count_status(EMPTY).alias("empty"))
-            .select("run_id", F.lit(None).cast("string").alias("domain"), *_rollup_columns(), F.lit(True).alias("is_total"))
-        )
+    run, domain = F.col("run_id"), F.col("domain")
+    return page_results.groupingSets([[run, domain], [run]], run, domain).agg(
+        *_domain_figures(),
+        _count_status(EMPTY).alias("empty"),
+        (F.grouping("domain") == 1).alias("is_total"),
     )
 
 
-def _rollup_columns() -> list[str]:
-    return ["ok", "empty", "too_long", "errors", "precision", "recall", "f1", "cosine", "excess_ratio", "seconds"]
-
-
 def run_pages(page_results: DataFrame, run_id: int) -> DataFrame:
     """Pages of a run, unscored ones on top, then worst first."""
     return page_results.where(F.col("run_id") == run_id).orderBy(F.asc_nulls_first("f1"), "url")

@@ -7,81 +7,183 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "long": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampNTZType(),
+    "strings": T.ArrayType(T.StringType()),
+    "doubles": T.ArrayType(T.DoubleType()),
+}
 
 
-QUOTE_CHECK = "STRUCT<quote: STRING, verdict: STRING, in_page: BOOLEAN, in_extraction: BOOLEAN>"
+def _struct(**columns: str | T.DataType) -> T.StructType:
+    return T.StructType(
+        [T.StructField(n, _TYPES[t] if isinstance(t, str) else t) for n, t in columns.items()]
+    )
 
-PAGES = _schema(
-    "url STRING NOT NULL, domain STRING, title STRING, html_text STRING, created_at TIMESTAMP_NTZ"
-)
-GOLD = _schema("url STRING NOT NULL, gold_text STRING, created_at TIMESTAMP_NTZ")
-EVALUATIONS = _schema(
-    "url STRING NOT NULL, precision_val DOUBLE, recall_val DOUBLE, f1 DOUBLE, cosine DOUBLE, "
-    "jaccard DOUBLE, excess_ratio DOUBLE, judge_score INT, updated_at TIMESTAMP_NTZ"
+
+QUOTE_CHECK = _struct(quote="string", verdict="string", in_page="boolean", in_extraction="boolean")
+
+PAGES = _struct(
+    url="string", domain="string", title="string", html_text="string", created_at="timestamp"
 )
+GOLD = _struct(url="string", gold_text="string", created_at="timestamp")
+
 METRIC_GROUP = ("precision_val", "recall_val", "f1", "cosine", "jaccard", "excess_ratio")
 JUDGE_GROUP = ("judge_score",)
+EVALUATIONS = _struct(
+    url="string", **{m: "double" for m in METRIC_GROUP}, judge_score="int", updated_at="timestamp"
+)
 
-RUNS = _schema(
-    "run_id BIGINT, label STRING, model_name STRING, provider STRING, condition_name STRING, "
-    "budget_tokens INT, eur_per_usd DOUBLE, measured_cost_eur DOUBLE, created_at TIMESTAMP_NTZ"
+RUNS = _struct(
+    run_id="long",
+    label="string",
+    model_name="string",
+    provider="string",
+    condition_name="string",
+    budget_tokens="int",
+    eur_per_usd="double",
+    measured_cost_eur="double",
+    created_at="timestamp",
 )
 
 # Columns of a page of a run as first shipped, then each later addition in order.
-PAGE_RESULTS_V1 = (
-    "url STRING, domain STRING, status STRING, input_tokens INT, html_kb INT, seconds DOUBLE, "
-    "chars INT, precision_val DOUBLE, recall_val DOUBLE, f1 DOUBLE, cosine DOUBLE, jaccard DOUBLE, "
-    "excess_ratio DOUBLE, extracted_count INT, sample_count INT, parsed_text STRING, note STRING"
+PAGE_RESULTS_V1 = _struct(
+    url="string",
+    domain="string",
+    status="string",
+    input_tokens="int",
+    html_kb="int",
+    seconds="double",
+    chars="int",
+    **{m: "double" for m in METRIC_GROUP},
+    extracted_count="int",
+    sample_count="int",
+    parsed_text="string",
+    note="string",
+)
+PAGE_RESULTS_LATER = _struct(
+    cpu_seconds="double",
+    fragments="int",
+    empty_fragments="int",
+    cost_usd="double",
+    cost_eur="double",
+    call_costs_usd="doubles",
+    prompt_tokens="int",
+    completion_tokens="int",
+    grounded="double",
+    check_complete="boolean",
+    check_coherent="boolean",
+    check_notes="string",
+    check_fragments="int",
+    check_cost_eur="double",
+    providers="strings",
+    generation_ids="strings",
+    check_coherence="int",
+    check_coherence_evidence="string",
+    check_claimed_missing="strings",
+    check_quote_verdicts=T.ArrayType(QUOTE_CHECK),
+    check_omissions="int",
 )
-PAGE_RESULTS_LATER = (
-    "cpu_seconds DOUBLE, fragments INT, empty_fragments INT, cost_usd DOUBLE, cost_eur DOUBLE, "
-    "call_costs_usd ARRAY<DOUBLE>, prompt_tokens INT, completion_tokens INT, grounded DOUBLE, "
-    "check_complete BOOLEAN, check_coherent BOOLEAN, check_notes STRING, check_fragments INT, "
-    "check_cost_eur DOUBLE, providers ARRAY<STRING>, generation_ids ARRAY<STRING>, "
-    "check_coherence INT, check_coherence_evidence STRING, check_claimed_missing ARRAY<STRING>, "
-    f"check_quote_verdicts ARRAY<{QUOTE_CHECK}>, check_omissions INT"
+PAGE_RESULTS_COLUMNS = T.StructType([*PAGE_RESULTS_V1.fields, *PAGE_RESULTS_LATER.fields])
+PAGE_RESULTS = T.StructType([T.StructField("run_id", T.LongType()), *PAGE_RESULTS_COLUMNS.fields])
+
+GOLD_ENTRY = _struct(
+    url="string", domain="string", title="string", html_text="string", gold_text="string"
 )
-PAGE_RESULTS_COLUMNS = _schema(f"{PAGE_RESULTS_V1}, {PAGE_RESULTS_LATER}")
-PAGE_RESULTS = _schema(f"run_id BIGINT, {PAGE_RESULTS_V1}, {PAGE_RESULTS_LATER}")
-
-GOLD_ENTRY = _schema("url STRING, domain STRING, title STRING, html_text STRING, gold_text STRING")
-
-_RECORD = (
-    "url: STRING, domain: STRING, input_tokens: INT, html_kb: INT, status: STRING, budget_tokens: INT, "
-    "seconds: DOUBLE, cpu_seconds: DOUBLE, chars: INT, fragments: INT, empty_fragments: INT, "
-    "call_costs_usd: ARRAY<DOUBLE>, cost_usd: DOUBLE, cost_eur: DOUBLE, prompt_tokens: INT, "
-    "completion_tokens: INT, providers: ARRAY<STRING>, generation_ids: ARRAY<STRING>, grounded: DOUBLE, "
-    "precision: DOUBLE, recall: DOUBLE, f1: DOUBLE, cosine: DOUBLE, jaccard: DOUBLE, "
-    "excess_ratio: DOUBLE, extracted_count: INT, sample_count: INT, parsed_text: STRING, "
-    "raw_responses: ARRAY<STRING>, error: STRING"
+
+_CALLS = {
+    "call_costs_usd": "doubles",
+    "cost_usd": "double",
+    "cost_eur": "double",
+    "prompt_tokens": "int",
+    "completion_tokens": "int",
+    "providers": "strings",
+    "generation_ids": "strings",
+}
+RUN_RECORD = _struct(
+    url="string",
+    domain="string",
+    input_tokens="int",
+    html_kb="int",
+    status="string",
+    budget_tokens="int",
+    seconds="double",
+    cpu_seconds="double",
+    chars="int",
+    fragments="int",
+    empty_fragments="int",
+    **_CALLS,
+    grounded="double",
+    precision="double",
+    recall="double",
+    f1="double",
+    cosine="double",
+    jaccard="double",
+    excess_ratio="double",
+    extracted_count="int",
+    sample_count="int",
+    parsed_text="string",
+    raw_responses="strings",
+    error="string",
 )
-RUN_FILE = _schema(
-    "model STRING, provider STRING, provider_pinned STRING, condition STRING, budget_tokens INT, "
-    f"chunking BOOLEAN, eur_per_usd DOUBLE, records ARRAY<STRUCT<{_RECORD}>>"
+RUN_FILE = _struct(
+    model="string",
+    provider="string",
+    provider_pinned="string",
+    condition="string",
+    budget_tokens="int",
+    chunking="boolean",
+    eur_per_usd="double",
+    records=T.ArrayType(RUN_RECORD),
 )
-_CHECK_RESULT = (
-    "url: STRING, domain: STRING, f1: DOUBLE, recall: DOUBLE, precision: DOUBLE, grounded: DOUBLE, "
-    "parse_fragments: INT, status: STRING, seconds: DOUBLE, coherence: INT, coherence_evidence: STRING, "
-    "coherent: BOOLEAN, coherent_by_score: BOOLEAN, complete: BOOLEAN, claimed_missing: ARRAY<STRING>, "
-    f"quote_checks: ARRAY<{QUOTE_CHECK}>, omissions: INT, notes: STRING, check_fragments: INT, "
-    "call_costs_usd: ARRAY<DOUBLE>, cost_usd: DOUBLE, cost_eur: DOUBLE, prompt_tokens: INT, "
-    "completion_tokens: INT, providers: ARRAY<STRING>, generation_ids: ARRAY<STRING>, "
-    "per_fragment: ARRAY<STRUCT<coherence: INT, missing: ARRAY<STRING>, notes: STRING>>, error: STRING"
+CHECK_RESULT = _struct(
+    url="string",
+    domain="string",
+    f1="double",
+    recall="double",
+    precision="double",
+    grounded="double",
+    parse_fragments="int",
+    status="string",
+    seconds="double",
+    coherence="int",
+    coherence_evidence="string",
+    coherent="boolean",
+    coherent_by_score="boolean",
+    complete="boolean",
+    claimed_missing="strings",
+    quote_checks=T.ArrayType(QUOTE_CHECK),
+    omissions="int",
+    notes="string",
+    check_fragments="int",
+    **_CALLS,
+    per_fragment=T.ArrayType(_struct(coherence="int", missing="strings", notes="string")),
+    error="string",
 )
-CHECK_FILE = _schema(
-    "model STRING, provider STRING, provider_pinned STRING, source_run STRING, condition STRING, "
-    f"budget_tokens INT, eur_per_usd DOUBLE, results ARRAY<STRUCT<{_CHECK_RESULT}>>"
+CHECK_FILE = _struct(
+    model="string",
+    provider="string",
+    provider_pinned="string",
+    source_run="string",
+    condition="string",
+    budget_tokens="int",
+    eur_per_usd="double",
+    results=T.ArrayType(CHECK_RESULT),
 )
-SEED_FILE = T.StructType(
-    [
-        *_schema(
-            "label STRING, model_name STRING, provider STRING, condition_name STRING, budget_tokens INT, "
-            "eur_per_usd DOUBLE, measured_cost_eur DOUBLE, created_at STRING"
-        ).fields,
-        T.StructField("pages", T.ArrayType(PAGE_RESULTS_COLUMNS)),
-    ]
+SEED_FILE = _struct(
+    label="string",
+    model_name="string",
+    provider="string",
+    condition_name="string",
+    budget_tokens="int",
+    eur_per_usd="double",
+    measured_cost_eur="double",
+    created_at="string",
+    pages=T.ArrayType(PAGE_RESULTS_COLUMNS),
 )
 
 
