@@ -67,9 +67,11 @@ def domain_eval(spark, base):
 
 @query
 def document_pair_scores(spark, base):
-    docs = fx.table(spark, base, "documents").select("doc_id", "source", F.col("text").alias("parsed_text"))
-    marks = fx.table(spark, base, "documents").select("doc_id", F.upper("text").alias("gold_text"))
-    scored = metrics.with_scores(docs.join(marks, "doc_id"))
+    """Every document against a copy with some words changed."""
+    pairs = fx.table(spark, base, "documents").select(
+        "doc_id", F.col("text").alias("parsed_text"), F.replace("text", F.lit("en"), F.lit("in")).alias("gold_text")
+    )
+    scored = metrics.with_scores(pairs)
     return rounded(scored.select("doc_id", *metrics.TOKEN_FIELDS, *metrics.BAG_FIELDS))
 
 
@@ -572,7 +574,7 @@ def repeated_titles(spark, base):
     context = page_context("html_text")
     answer = F.concat(
         F.when(F.col("page_id") % 3 == 0, F.lit("#   ")).when(F.col("page_id") % 3 == 1, F.lit("## ")).otherwise(F.lit("# Other ")),
-        F.upper(context.title), F.lit(" \n\nbody of "), "url",
+        F.translate(context.title, "aeiou ", "AEIOU\t"), F.lit(" \n\nbody of "), "url",
     )
     source = fx.raw_pages(spark, base).select("page_id", context.alias("c"), answer.alias("answer"))
     return source.select(
