@@ -8,16 +8,21 @@ they are, nothing is shuffled.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .rules import HTML_FILTERS, Exclusion, HtmlFilter
 
+# The converter travels inside the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
+
 VOID = frozenset(
     ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 )

@@ -54,50 +54,67 @@ def _token_level(parsed_plain: Column, gold_plain: Column) -> Column:
 
 
 def _bag_similarity(parsed_plain: Column, gold_plain: Column) -> Column:
-    """One sorted pass over both bags: equal words are neighbours, so each word's two counts are
-    known when the next word begins."""
-    sums = ("dot", "parsed_squares", "gold_squares", "overlap", "union", "shared")
-
-    def settle(acc: Column) -> dict[str, Column]:
-        seen = (acc.in_parsed + acc.in_gold) > 0
-        return {
-            "dot": acc.dot + acc.in_parsed * acc.in_gold,
-            "parsed_squares": acc.parsed_squares + acc.in_parsed * acc.in_parsed,
-            "gold_squares": acc.gold_squares + acc.in_gold * acc.in_gold,
-            "overlap": acc.overlap + F.least(acc.in_parsed, acc.in_gold),
-            "union": acc.union + seen.cast("long"),
-            "shared": acc.shared + ((acc.in_parsed > 0) & (acc.in_gold > 0)).cast("long"),
-        }
-
-    def state(word, in_parsed, in_gold, totals) -> Column:
-        return F.struct(
-            word.alias("word"),
-            in_parsed.alias("in_parsed"),
-            in_gold.alias("in_gold"),
-            *[totals[name].alias(name) for name in sums],
-        )
+    """One sorted pass over both bags together.
+
+    Sorted by word and then side, a word's gold occurrences come first, so when
+    its parsed ones arrive every sum can grow by what the new occurrence adds.
+    """
+    names = ("word", "parsed", "gold", "dot", "overlap", "parsed_squares", "gold_squares", "union", "shared")
+
+    def state(acc: Column | None, **changed: Column) -> Column:
+        return F.struct(*[(changed[n] if n in changed else acc[n]).alias(n) for n in names])
+
+    def number(value: int) -> Column:
+        return F.lit(value).cast("long")
 
     def step(acc: Column, item: Column) -> Column:
-        from_gold = F.lit(1).cast("long") - item.from_parsed
-        same_word = state(
-            acc.word, acc.in_parsed + item.from_parsed, acc.in_gold + from_gold, {n: acc[n] for n in sums}
+        same_word = acc.word == item.word
+        return (
+            F.when(
+                item.from_parsed & same_word,
+                state(
+                    acc,
+                    parsed=acc.parsed + 1,
+                    dot=acc.dot + acc.gold,
+                    overlap=acc.overlap + (acc.parsed < acc.gold).cast("long"),
+                    parsed_squares=acc.parsed_squares + acc.parsed * 2 + 1,
+                    shared=acc.shared + ((acc.parsed == 0) & (acc.gold > 0)).cast("long"),
+                ),
+            )
+            .when(
+                same_word,
+                state(acc, gold=acc.gold + 1, gold_squares=acc.gold_squares + acc.gold * 2 + 1),
+            )
+            .when(
+                item.from_parsed,
+                state(
+                    acc,
+                    word=item.word,
+                    parsed=number(1),
+                    gold=number(0),
+                    parsed_squares=acc.parsed_squares + 1,
+                    union=acc.union + 1,
+                ),
+            )
+            .otherwise(
+                state(
+                    acc,
+                    word=item.word,
+                    parsed=number(0),
+                    gold=number(1),
+                    gold_squares=acc.gold_squares + 1,
+                    union=acc.union + 1,
+                )
+            )
         )
-        next_word = state(item.word, item.from_parsed, from_gold, settle(acc))
-        return F.when(acc.word == item.word, same_word).otherwise(next_word)
 
-    def tagged(bag: Column, from_parsed: int) -> Column:
-        return F.transform(
-            bag, lambda w: F.struct(w.alias("word"), F.lit(from_parsed).cast("long").alias("from_parsed"))
-        )
+    def tagged(bag: Column, from_parsed: bool) -> Column:
+        return F.transform(bag, lambda w: F.struct(w.alias("word"), F.lit(from_parsed).alias("from_parsed")))
 
-    zero = F.lit(0).cast("long")
-    start = state(F.lit(""), zero, zero, {name: zero for name in sums})
+    start = state(None, word=F.lit(""), **{n: number(0) for n in names if n != "word"})
 
     def score(bags: Column) -> Column:
-        merged = F.sort_array(F.concat(tagged(bags.p, 1), tagged(bags.g, 0)))
-        totals = F.aggregate(
-            merged, start, step, lambda acc: F.struct(*[v.alias(n) for n, v in settle(acc).items()])
-        )
+        merged = F.sort_array(F.concat(tagged(bags.p, True), tagged(bags.g, False)))
 
         def from_totals(t: Column) -> Column:
             return F.struct(
@@ -108,7 +125,7 @@ def _bag_similarity(parsed_plain: Column, gold_plain: Column) -> Column:
 
         nothing = F.struct(*[F.lit(0.0).alias(name) for name in BAG_FIELDS])
         return F.when((F.size(bags.p) == 0) | (F.size(bags.g) == 0), nothing).otherwise(
-            let(totals, from_totals)
+            let(F.aggregate(merged, start, step), from_totals)
         )
 
     return let(F.struct(token_bag(parsed_plain).alias("p"), token_bag(gold_plain).alias("g")), score)

@@ -25,8 +25,10 @@ def extract(pages: DataFrame, cleaners: Cleaners | None = None, keep_html: bool
 
 def evaluate_pages(gold: DataFrame, pages: DataFrame, domain: str | None = None) -> DataFrame:
     """Every gold page extracted and scored; pages that cannot be read are skipped."""
-    extracted = extract(gold_entries(gold, pages, domain).select("url", "domain", "html_text", "gold_text"))
-    return with_scores(extracted.where(F.col("parsed_text").isNotNull()))
+    entries = gold_entries(gold, pages, domain).select("url", "domain", "html_text", "gold_text")
+    # Skipped by the markdown, which is stored; by the cleaned text, the cleaning would run twice.
+    readable = with_markdown(entries).where(F.col("markdown").isNotNull())
+    return with_scores(with_cleaned(readable).drop("markdown"))
 
 
 def domain_means(scores: DataFrame) -> DataFrame:

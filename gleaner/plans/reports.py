@@ -389,19 +389,17 @@ def newest_checked_run(runs: DataFrame, page_results: DataFrame, created: str =
 def newest_extractions(runs: DataFrame, page_results: DataFrame, created: str = "created_at") -> DataFrame:
     """Per URL the newest stored extraction by a model, its run's label, model and date.
 
-    The newest is chosen by a partial maximum on the two sort keys alone; the
-    text is fetched afterwards, by key.
+    Asking for rank 1 lets Spark keep one row per URL and partition before the
+    shuffle, so a URL extracted by very many runs is not gathered.
     """
     usable = page_results.where(_ok() & F.col("parsed_text").isNotNull())
     models = runs.where(F.col("provider") != RULES_PROVIDER).select(
-        "run_id", F.col("label").alias("run_label"), "model_name", F.col(created).alias("_created")
+        "run_id", F.col("label").alias("run_label"), "model_name", F.col(created).alias("run_date")
     )
-    candidates = spread_join(usable, models, ["run_id"], ["url"])
-    newest = candidates.groupBy("url").agg(F.max(F.struct("_created", "run_id")).alias("_newest"))
-    keys = newest.select("url", F.col("_newest.run_id").alias("run_id"))
-    found = candidates.join(keys, ["url", "run_id"])
-    return found.select(
-        "url", "run_id", "run_label", "model_name", F.col("_created").alias("run_date"),
+    newest = Window.partitionBy("url").orderBy(F.desc("run_date"), F.desc("run_id"))
+    ranked = spread_join(usable, models, ["run_id"], ["url"]).withColumn("_rank", F.row_number().over(newest))
+    return ranked.where(F.col("_rank") == 1).select(
+        "url", "run_id", "run_label", "model_name", "run_date",
         "parsed_text", "f1", "seconds", "cost_eur", "fragments", "grounded",
     )
 

@@ -145,7 +145,3 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """Wanted URLs from a text file: blank lines and lines starting with # do not count."""
     listed = spark.read.text(path).where(~F.startswith("value", F.lit("#")))
     return listed.select(strip("value").alias("url")).where("url <> ''").distinct()
-
-
-def read_tables(spark: SparkSession, base: str, *names: str) -> list[DataFrame]:
-    return [spark.read.parquet(f"{base}/{name}") for name in names]

@@ -162,8 +162,9 @@ def _quoted(spark, base):
 @query
 def quote_verdicts(spark, base):
     checks = metrics.check_quotes("quotes", "parsed_text", "html_text")
-    checked = _quoted(spark, base).select("page_id", F.explode(checks).alias("c"))
-    return checked.select("page_id", "c.*")
+    # The inner explode would evaluate the lookups twice, once to test for empty lists.
+    checked = _quoted(spark, base).select("page_id", F.explode_outer(checks).alias("c"))
+    return checked.where("c IS NOT NULL").select("page_id", "c.*")
 
 
 @query
