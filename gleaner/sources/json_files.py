@@ -30,9 +30,12 @@ from ..schema import (
 HEADER = [f.name for f in SEED_FILE.fields if f.name != "pages"]
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    # Files are pretty-printed documents, so each is read whole; an empty file yields no row.
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def _read(spark: SparkSession, path: str, schema: T.StructType, one_per_line: bool = False) -> DataFrame:
+    """Pretty-printed documents are read a file at a time, others line by line and splittable.
+
+    An empty file yields no row.
+    """
+    return spark.read.schema(schema).option("multiLine", not one_per_line).json(path)
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
@@ -82,9 +85,14 @@ def read_checks(spark: SparkSession, path: str, run_label: str) -> DataFrame:
     )
 
 
-def read_seeds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Seed documents as (runs, page results); unknown columns are ignored, missing ones NULL."""
-    documents = _read(spark, path, SEED_FILE).where(F.col("label").isNotNull())
+def read_seeds(
+    spark: SparkSession, path: str, one_per_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Seed documents as (runs, page results); unknown columns are ignored, missing ones NULL.
+
+    ``one_per_line`` reads what ``write_seeds`` wrote.
+    """
+    documents = _read(spark, path, SEED_FILE, one_per_line).where(F.col("label").isNotNull())
     run_id = run_id_of(F.col("label")).alias("run_id")
     header = documents.select(run_id, *HEADER).dropDuplicates(["run_id"])
     pages = documents.select(run_id, F.explode("pages").alias("p")).select("run_id", "p.*")
@@ -129,7 +137,10 @@ def seed_documents(
     )
 
 
-def write_seeds(runs: DataFrame, page_results: DataFrame, path: str, pages_per_document: int = 1_000) -> None:
+def write_seeds(
+    runs: DataFrame, page_results: DataFrame, path: str, pages_per_document: int = 1_000
+) -> None:
+    """A folder per run, one document per line."""
     documents = seed_documents(runs, page_results, pages_per_document)
     documents.drop("part").write.mode("overwrite").partitionBy("slug").json(path)
 
