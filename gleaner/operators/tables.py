@@ -23,21 +23,28 @@ def _union(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.unionByName(right, allowMissingColumns=True)
 
 
-def insert_absent(
-    existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None
+def one_per_key(
+    rows: DataFrame, keys: list[str], order: str | None = None, last: bool = True
 ) -> DataFrame:
-    """Add rows whose key is not there yet.
+    """One row per key: the last (or first) by ``order``, any one when no order is given.
 
-    Of several new rows with one key, the first by ``order`` is kept, or any
-    one when no order is given.
+    Copies of a key are reduced before the shuffle, and a join that follows on
+    the same keys needs no further one.
     """
     if order is None:
-        fresh = new.dropDuplicates(keys)
-    else:
-        rest = [c for c in new.columns if c not in (*keys, order)]
-        fresh = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row")).select(
-            *keys, "_row.*"
-        )
+        return rows.dropDuplicates(keys)
+    rest = [c for c in rows.columns if c not in keys]
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(*keys).agg(pick(F.struct(*rest), F.col(order)).alias("_row")).select(*keys, "_row.*")
+
+
+def insert_absent(
+    existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None
+) -> DataFrame:
+    """Add rows whose key is not there yet; of several with one key the first by ``order``."""
+    fresh = one_per_key(new, keys, order, last=False)
+    if order is not None and order not in existing.columns:
+        fresh = fresh.drop(order)
     return _union(existing, fresh.join(existing.select(*keys), keys, "left_anti"))
 
 
@@ -48,8 +55,16 @@ def insert_entries(pages: DataFrame, gold: DataFrame, entries: DataFrame) -> tup
     return insert_absent(pages, new_pages, ["url"]), insert_absent(gold, new_gold, ["url"])
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace rows by key; columns the new rows lack keep what was stored."""
+def upsert(
+    existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None
+) -> DataFrame:
+    """Replace rows by key; columns the new rows lack keep what was stored.
+
+    Of several new rows with one key the last by ``order`` counts.
+    """
+    new = one_per_key(new, keys, order)
+    if order is not None and order not in existing.columns:
+        new = new.drop(order)
     kept = [c for c in existing.columns if c not in new.columns]
     untouched = existing.join(new.select(*keys), keys, "left_anti")
     if not kept:
@@ -116,7 +131,7 @@ def removed_rows(urls: DataFrame, table: DataFrame) -> DataFrame:
 
 def upsert_group(evaluations: DataFrame, new: DataFrame, group: tuple[str, ...]) -> DataFrame:
     """Write one group of columns per URL and leave the other groups as they are."""
-    fresh = new.select("url", F.lit(True).alias("_written"), *[F.col(c).alias(f"_new_{c}") for c in group])
+    fresh = one_per_key(new, ["url"]).select("url", F.lit(True).alias("_written"), *[F.col(c).alias(f"_new_{c}") for c in group])
     joined = evaluations.join(fresh, "url", "full_outer")
     written = F.coalesce(F.col("_written"), F.lit(False))
 
@@ -171,7 +186,7 @@ def attach_checks(page_results: DataFrame, results: DataFrame) -> Guarded:
     grounding already there survives a result that has none.
     """
     keys = ["run_id", "url"]
-    done = results.where(F.col("status") == OK)
+    done = one_per_key(results.where(F.col("status") == OK), keys)
     sources = {k: v for k, v in CHECK_COLUMNS.items() if v in results.columns}
 
     def incoming(name: str) -> Column:
@@ -203,7 +218,7 @@ def attach_checks(page_results: DataFrame, results: DataFrame) -> Guarded:
 
 def set_measured_cost(runs: DataFrame, costs: DataFrame) -> DataFrame:
     """Record what whole runs cost (``label, cost_eur``); other runs keep theirs."""
-    fresh = costs.select("label", F.col("cost_eur").alias("_cost"), F.lit(True).alias("_given"))
+    fresh = one_per_key(costs, ["label"]).select("label", F.col("cost_eur").alias("_cost"), F.lit(True).alias("_given"))
     return (
         runs.join(fresh, "label", "left")
         .withColumn(
@@ -242,12 +257,19 @@ def supported_pages(pages: DataFrame, gold: DataFrame) -> DataFrame:
     return spread_join(pages, domains, ["domain"], ["url"], "left_semi")
 
 
-def work_list(pages: DataFrame, wanted: DataFrame, domain: str | None = None) -> Guarded:
-    """The wanted pages, of one domain if given; wanted URLs that do not exist are handed back."""
+def work_list(
+    pages: DataFrame, wanted: DataFrame, domain: str | None = None, first: int | None = None
+) -> Guarded:
+    """The wanted pages, of one domain and only the first few if asked.
+
+    Wanted URLs that do not exist are handed back.
+    """
     urls = wanted.select("url").distinct()
     chosen = pages.join(urls, "url", "left_semi")
     if domain is not None:
         chosen = chosen.where(F.col("domain") == domain)
+    if first is not None:
+        chosen = chosen.orderBy("domain", "url").limit(first)
     return Guarded(chosen, urls.join(pages.select("url"), "url", "left_anti"))
 
 

@@ -560,3 +560,20 @@ def cleaning_audit(replies: DataFrame, cleaned: str = "cleaned", raw: str = "raw
         F.count_if(changed & F.contains(F.lower(raw), F.lit("<think>"))).alias("thought"),
         _filled(F.sum(F.when(changed, F.length(original) - F.length(kept)))).alias("removed_chars"),
     )
+
+
+def cleaned_examples(
+    replies: DataFrame, count: int = 5, cleaned: str = "cleaned", raw: str = "raw", order: tuple[str, ...] = ("url", "n")
+) -> DataFrame:
+    """The first few replies that cleaning changed: how they begin and how much went."""
+    kept, original = strip(cleaned), strip(raw)
+    return (
+        replies.where(kept != original)
+        .orderBy(*order)
+        .limit(count)
+        .select(
+            *order,
+            (F.length(original) - F.length(kept)).alias("removed_chars"),
+            F.substring(original, 1, 60).alias("begins"),
+        )
+    )

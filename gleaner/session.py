@@ -32,9 +32,14 @@ def build_session(app_name: str = "gleaner", master: str | None = None, **extra:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the cluster's shared folder, so a lost executor costs no recomputation."""
+    """Checkpoint ``df`` in the cluster's shared folder, so a lost executor costs no recomputation.
+
+    Only a local session without ``spark.checkpoint.dir`` gets a folder of its own.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
     return df.checkpoint()

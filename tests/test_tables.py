@@ -32,7 +32,8 @@ def test_insert_absent(spark, pages):
         [("http://a/2", "x", "new", "n", 1), ("http://a/3", "x", "second", "n", 2), ("http://a/3", "x", "first", "n", 1)],
         "url string, domain string, title string, html_text string, at int",
     )
-    got = tables.insert_absent(pages, new, ["url"], order="at").select(*pages.columns)
+    got = tables.insert_absent(pages, new, ["url"], order="at")
+    assert got.columns == pages.columns
     assert rows(got, "url", "title") == [("http://a/1", "old"), ("http://a/2", "old"), ("http://a/3", "first")]
 
 
@@ -47,6 +48,12 @@ def test_upsert_pages_reads_domain_and_title(spark, pages):
     ]
 
 
+def test_upsert_takes_the_last_of_several_copies(spark, gold):
+    new = spark.createDataFrame([("http://a/1", "x", 2), ("http://a/1", "y", 3), ("http://a/1", "z", 1)], "url string, gold_text string, at int")
+    assert rows(tables.upsert(gold, new, ["url"], order="at"), "url", "gold_text") == [("http://a/1", "y")]
+    assert tables.upsert(gold, new.drop("at"), ["url"]).count() == 1
+
+
 def test_gold_needs_its_page(spark, pages, gold):
     new = spark.createDataFrame([("http://a/1", "n"), ("http://a/2", "n"), ("http://a/9", "n")], "url string, gold_text string")
     written = tables.upsert_gold(gold, pages, new)
@@ -132,6 +139,7 @@ def test_selections(spark, pages, gold):
     assert rows(tables.supported_pages(more, gold), "url") == [("http://a/1",), ("http://a/2",)]
     wanted = spark.createDataFrame([("http://a/1",), ("http://b/1",), ("http://typo/",)], "url string")
     chosen = tables.work_list(more, wanted, domain="b")
+    assert rows(tables.work_list(more, wanted, first=1).table, "url") == [("http://a/1",)]
     assert rows(chosen.table, "url") == [("http://b/1",)] and rows(chosen.rejected, "url") == [("http://typo/",)]
     done = spark.createDataFrame([("http://a/1", "empty"), ("http://a/2", "error")], "url string, status string")
     assert rows(tables.unsettled(more, done, SETTLED_PARSE), "url") == [("http://a/2",), ("http://b/1",)]

@@ -102,7 +102,9 @@ CTES = {
     ),
     "runs": (
         (),
-        f"SELECT * FROM (VALUES {_run_rows}) AS t(run_id, label, model_name, provider, condition_name, "
+        "SELECT run_id, label, model_name, provider, condition_name, budget_tokens, "
+        "CAST(eur_per_usd AS DOUBLE) AS eur_per_usd, CAST(measured_cost_eur AS DOUBLE) AS measured_cost_eur, created_at "
+        f"FROM (VALUES {_run_rows}) AS t(run_id, label, model_name, provider, condition_name, "
         "budget_tokens, eur_per_usd, measured_cost_eur, created_at)",
     ),
     "res": (
