@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from .basic import Columnish, as_column, let, replace_all, strip, when_present
 
-# Script and style run to their end tag or, unclosed, to the end of the page.
+# Script and style run to their end tag or, unclosed, to the end of the page;
+# templates and ruby annotations are not running text either.
 # One alternation, so whichever construct opens first wins: a comment marker in
 # a script is script text, a script in a comment is comment text.
 INVISIBLE = (
     r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+    r"|<template\b.*?</template\s*>|<rt\b.*?</rt\s*>|<rp\b.*?</rp\s*>"
     r"|<!--.*?(?:-->|\z)|<[!?/A-Za-z][^>]*>?"
 )
 TAG = r"(?s)<!--.*?(?:-->|\z)|<[!?/A-Za-z][^>]*>?"

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .basic import Columnish, as_column, words
+from .basic import Columnish, as_column, let, split_on_blanks, swap, words
 
 # Typographic marks and their plain forms, compared as equal.
-TYPOGRAPHIC = "‘’“”–—"
-PLAIN = "''\"\"--"
+TYPOGRAPHIC = (("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"))
+TYPOGRAPHIC_RANGE = "[\u2013-\u201d]"
 # What may wrap a number, and what counts as one.
 NUMBER_WRAPPERS = "()€£"
 NUMBER = r"^(?:[+\-]?\p{Nd}[\p{Nd}.,]*\p{Nd}%?|[+\-]?\p{Nd}%?)$"
 
 
 def normalise_for_compare(text: Columnish) -> Column:
-    return F.lower(F.translate(as_column(text), TYPOGRAPHIC, PLAIN))
+    """Typographic marks made plain, then lower case."""
+    def plain(t: Column) -> Column:
+        return F.when(F.rlike(t, F.lit(TYPOGRAPHIC_RANGE)), swap(t, TYPOGRAPHIC)).otherwise(t)
+
+    return F.lower(let(as_column(text), plain))
 
 
 def canonical_number(token: Column) -> Column:
@@ -31,9 +35,8 @@ def canonical_number(token: Column) -> Column:
 
 def token_set(text: Columnish) -> Column:
     """Distinct canonical tokens. Only newline and space separate tokens here."""
-    raw = F.split(F.translate(normalise_for_compare(text), "\n", " "), " ")
-    distinct = F.filter(F.array_distinct(raw), lambda t: t != "")
-    return F.array_distinct(F.transform(distinct, canonical_number))
+    raw = split_on_blanks(swap(normalise_for_compare(text), [("\n", " ")]))
+    return F.array_distinct(F.transform(F.array_distinct(raw), canonical_number))
 
 
 def token_bag(text: Columnish) -> Column:

@@ -6,6 +6,8 @@ shuffle, so a page of any size and a domain of any size cost the same per row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ BAG_FIELDS = ("cosine", "jaccard", "excess_ratio")
 METRICS = ("precision", "recall", "f1", "cosine", "jaccard", "excess_ratio")
 
 
-def _token_level(parsed_plain: Column, gold_plain: Column) -> Column:
+def _token_level(texts: Column) -> Column:
+    """``texts`` is the array of the parsed and the gold text, both plain."""
     def from_counts(n: Column) -> Column:
         precision = ratio(n.shared, n.extracted)
         recall = ratio(n.shared, n.sample)
@@ -39,22 +42,18 @@ def _token_level(parsed_plain: Column, gold_plain: Column) -> Column:
             n.shared.alias("intersection_count"),
         )
 
-    sets = F.struct(token_set(parsed_plain).alias("p"), token_set(gold_plain).alias("g"))
-    return let(
-        let(
-            sets,
-            lambda s: F.struct(
-                F.size(F.array_intersect(s.p, s.g)).alias("shared"),
-                F.size(s.p).alias("extracted"),
-                F.size(s.g).alias("sample"),
-            ),
-        ),
-        from_counts,
-    )
+    def counts(sets: Column) -> Column:
+        return F.struct(
+            F.size(F.array_intersect(sets[0], sets[1])).alias("shared"),
+            F.size(sets[0]).alias("extracted"),
+            F.size(sets[1]).alias("sample"),
+        )
+
+    return let(let(F.transform(texts, token_set), counts), from_counts)
 
 
-def _bag_similarity(parsed_plain: Column, gold_plain: Column) -> Column:
-    """One sorted pass over both bags together.
+def _bag_similarity(texts: Column) -> Column:
+    """One sorted pass over the bags of the parsed and the gold text together.
 
     Sorted by word and then side, a word's gold occurrences come first, so when
     its parsed ones arrive every sum can grow by what the new occurrence adds.
@@ -114,46 +113,46 @@ def _bag_similarity(parsed_plain: Column, gold_plain: Column) -> Column:
     start = state(None, word=F.lit(""), **{n: number(0) for n in names if n != "word"})
 
     def score(bags: Column) -> Column:
-        merged = F.sort_array(F.concat(tagged(bags.p, True), tagged(bags.g, False)))
+        parsed, gold = bags[0], bags[1]
+        merged = F.sort_array(F.concat(tagged(parsed, True), tagged(gold, False)))
 
         def from_totals(t: Column) -> Column:
             return F.struct(
                 (t.dot / (F.sqrt(t.parsed_squares) * F.sqrt(t.gold_squares))).alias("cosine"),
                 (t.shared / t.union).alias("jaccard"),
-                (1.0 - t.overlap / F.size(bags.p)).alias("excess_ratio"),
+                (1.0 - t.overlap / F.size(parsed)).alias("excess_ratio"),
             )
 
         nothing = F.struct(*[F.lit(0.0).alias(name) for name in BAG_FIELDS])
-        return F.when((F.size(bags.p) == 0) | (F.size(bags.g) == 0), nothing).otherwise(
+        return F.when((F.size(parsed) == 0) | (F.size(gold) == 0), nothing).otherwise(
             let(F.aggregate(merged, start, step), from_totals)
         )
 
-    return let(F.struct(token_bag(parsed_plain).alias("p"), token_bag(gold_plain).alias("g")), score)
+    return let(F.transform(texts, token_bag), score)
+
+
+def _plain(parsed: Columnish, gold: Columnish) -> Column:
+    """Both texts without their markdown; one expression serves both sides."""
+    texts = F.array(*[F.coalesce(as_column(t), F.lit("")) for t in (parsed, gold)])
+    return F.transform(texts, strip_markdown)
 
 
 def token_level(parsed: Columnish, gold: Columnish) -> Column:
     """struct of precision, recall, f1 and the three set sizes."""
-    return let(_plain(parsed, gold), lambda t: _token_level(t.p, t.g))
+    return let(_plain(parsed, gold), _token_level)
 
 
 def similarity(parsed: Columnish, gold: Columnish) -> Column:
     """struct of cosine, Jaccard and excess ratio over word counts."""
-    return let(_plain(parsed, gold), lambda t: _bag_similarity(t.p, t.g))
-
-
-def _plain(parsed: Columnish, gold: Columnish) -> Column:
-    return F.struct(
-        strip_markdown(F.coalesce(as_column(parsed), F.lit(""))).alias("p"),
-        strip_markdown(F.coalesce(as_column(gold), F.lit(""))).alias("g"),
-    )
+    return let(_plain(parsed, gold), _bag_similarity)
 
 
 def all_scores(parsed: Columnish, gold: Columnish) -> Column:
     """Both families in one struct; the markdown is stripped once."""
-    def combine(t: Column) -> Column:
-        return F.struct(_token_level(t.p, t.g).alias("tokens"), _bag_similarity(t.p, t.g).alias("bags"))
-
-    return let(_plain(parsed, gold), combine)
+    return let(
+        _plain(parsed, gold),
+        lambda texts: F.struct(_token_level(texts).alias("tokens"), _bag_similarity(texts).alias("bags")),
+    )
 
 
 def with_scores(df: DataFrame, parsed: str = "parsed_text", gold: str = "gold_text") -> DataFrame:
@@ -172,6 +171,27 @@ def with_scores(df: DataFrame, parsed: str = "parsed_text", gold: str = "gold_te
     )
 
 
+def word_counts(
+    df: DataFrame, keys: list[str], parsed: str = "parsed_text", gold: str = "gold_text"
+) -> DataFrame:
+    """Both bags as rows: per key and word, how often each text has it.
+
+    Every word that either text has is listed, as a full join of the two bags
+    would, but out of one pass; the counts are partial before the shuffle.
+    """
+    bags = F.transform(_plain(parsed, gold), token_bag)
+
+    def tag(side: int) -> Callable[[Column], Column]:
+        return lambda bag: F.transform(bag, lambda w: F.struct(w.alias("word"), F.lit(side).alias("side")))
+
+    both = let(bags, lambda b: F.concat(tag(0)(b[0]), tag(1)(b[1])))
+    rows = df.select(*keys, F.explode_outer(both).alias("w")).where(F.col("w").isNotNull())
+    return rows.groupBy(*keys, F.col("w.word").alias("word")).agg(
+        F.count_if(F.col("w.side") == 0).alias("parsed_count"),
+        F.count_if(F.col("w.side") == 1).alias("gold_count"),
+    )
+
+
 def judge_previews(df: DataFrame, parsed: str = "parsed_text", gold: str = "gold_text") -> DataFrame:
     """The opening of both texts as a judge is shown them."""
     def preview(name: str) -> Column:

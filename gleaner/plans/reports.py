@@ -56,6 +56,8 @@ def _filled(number: Column) -> Column:
 def gold_entries(gold: DataFrame, pages: DataFrame, domain: str | None = None) -> DataFrame:
     """Pages with their gold text."""
     chosen = pages if domain is None else pages.where(F.col("domain") == domain)
+    if "title" in pages.columns:
+        chosen = chosen.withColumn("title", F.coalesce("title", F.lit("")))
     return chosen.join(gold.select("url", "gold_text"), "url")
 
 

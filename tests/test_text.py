@@ -81,7 +81,7 @@ def test_python_white_space(value):
 def test_visible_text(value):
     page = (
         "<head><title>The title</title><style>p{}</style><script>var t = '</p>';</script></head>"
-        "<!-- <p>hidden</p> --><p>vis_ible [12] Text&nbsp;&amp; more!</p><script>never closed <p>x"
+        "<template><p>later</p></template><!-- <p>hidden</p> --><p>vis_ible [12] Text&nbsp;&amp; more!</p><script>never closed <p>x"
     )
     assert value(markup.visible_text("t"), t=page) == "the title vis ible text more"
 

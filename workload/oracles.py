@@ -426,10 +426,14 @@ def oracles() -> dict[str, str]:
         "tl", "sim", extra=PAIR_SCORES,
     )
     out["document_pair_scores"] = _doc_scores()
-    out["conversation_bag_sizes"] = f"""WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
+    out["conversation_bag_sizes"] = f"""WITH t AS (SELECT conv_id, turn, text FROM conversations)
  SELECT conv_id, turn, len(list_distinct(list_transform(list_filter(string_split(replace({_compare('text')}, chr(10), ' '), ' '),
  lambda w: w <> ''), lambda w: {_canonical('w')}))) AS set_size,
  len(list_filter(regexp_split_to_array({_compare('text')}, '\\s+'), lambda w: w <> '')) AS bag_size FROM t"""
+    out["word_counts"] = sql(
+        """SELECT page_id, w AS word, coalesce(pbag.n, 0) AS parsed_count, coalesce(gbag.n, 0) AS gold_count
+ FROM pbag FULL JOIN gbag USING (page_id, w)""", "pbag", "gbag", extra=PAIR_SCORES,
+    )
     out["judge_previews"] = sql("SELECT page_id, p[:1000] AS parsed_preview, g[:1000] AS gold_preview FROM plain", "plain")
     out["plain_text"] = sql("SELECT page_id, p AS plain FROM plain", "plain")
     gold_scores = {

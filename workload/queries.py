@@ -77,12 +77,17 @@ def document_pair_scores(spark, base):
 
 @query
 def conversation_bag_sizes(spark, base):
-    turns = fx.table(spark, base, "conversations").where("role = 'assistant'")
+    turns = fx.table(spark, base, "conversations")
     return turns.select(
         "conv_id", "turn", F.size(token_set("text")).alias("set_size"), F.size(token_bag("text")).alias("bag_size")
     )
 
 
+@query
+def word_counts(spark, base):
+    return metrics.word_counts(fx.pairs(spark, base), ["page_id"])
+
+
 @query
 def judge_previews(spark, base):
     shown = metrics.judge_previews(fx.pairs(spark, base))
