@@ -252,7 +252,10 @@ def _any(expr: str, patterns) -> str:
     return "(" + " OR ".join(tests) + ")" if tests else "false"
 
 
-def line_rules(pack: RulePack) -> str:
+PLAYER_LINKS = "concat(url, CASE WHEN page_id % 2 = 0 THEN '/player/stats/' ELSE '' END)"
+
+
+def line_rules(pack: RulePack, link: str = PLAYER_LINKS, where: str = "true") -> str:
     heading = "CASE WHEN line LIKE '#%' THEN lower(" + strip("ltrim(line, '#')") + ") END"
     low = "lower(" + strip("line") + ")"
 
@@ -290,8 +293,8 @@ def line_rules(pack: RulePack) -> str:
     extra = {
         "src": (
             ("p",),
-            f"SELECT page_id, concat(url, CASE WHEN page_id % 2 = 0 THEN '/player/stats/' ELSE '' END) AS link, {fx.LINES_MARKDOWN} AS markdown "
-            f"FROM (SELECT *, {ARTICLE} AS article FROM p)",
+            f"SELECT page_id, {link} AS link, {fx.LINES_MARKDOWN} AS markdown "
+            f"FROM (SELECT *, {ARTICLE} AS article FROM p) WHERE {where}",
         ),
         "ls": (
             ("src",),
@@ -677,6 +680,15 @@ def oracles() -> dict[str, str]:
     for name, pack in (("encyclopedia", ENCYCLOPEDIA), ("news", NEWS), ("sports", SPORTS), ("finance", FINANCE)):
         out[f"line_rules_{name}"] = line_rules(pack)
 
+    by_host = [
+        f"SELECT page_id, parsed_text FROM ({line_rules(pack, 'url', f'page_id % 5 = {k}')})"
+        for k, pack in enumerate((ENCYCLOPEDIA, NEWS, SPORTS, FINANCE))
+    ]
+    unknown = sql(
+        f"SELECT page_id, {fx.LINES_MARKDOWN} AS parsed_text FROM (SELECT *, {ARTICLE} AS article FROM p) WHERE page_id % 5 = 4", "p"
+    )
+    out["line_rules_dispatch"] = " UNION ALL ".join([*by_host, f"SELECT page_id, parsed_text FROM ({unknown})"])
+
     out["fragment_integrity"] = sql(
         f"""SELECT url, true AS adds_up, 0 AS over_budget, {TOKENS} > {SMALL_BUDGET} AND
  trim(regexp_extract(html_text, '(?is)<title[^>]*>(.*?)</title>', 1)) = '' AS split_without_title, {TOKENS} > {SMALL_BUDGET} AS is_split FROM p""", "p",
@@ -701,6 +713,25 @@ def oracles() -> dict[str, str]:
  false AS truncated FROM groups GROUP BY 1""".replace("groups", "pieces"),
         "pieces", extra={("pieces" if k == "groups" else k): v for k, v in stitched.items()},
     )
+    pieces = {("pieces" if k == "groups" else k): v for k, v in stitched.items()}
+    pieces["texts"] = (
+        ("pieces",),
+        """SELECT page_id, string_agg(piece, chr(10) || chr(10) ORDER BY k) AS md, count(*) + 1 AS fragments FROM pieces GROUP BY 1""",
+    )
+    pieces["looked_up"] = (
+        ("texts", "p"),
+        f"""SELECT page_id, page, {normalise('line')} AS q FROM (SELECT page_id, {visible('html_text')} AS page,
+ unnest(string_split(md, chr(10))) AS line FROM texts JOIN p USING (page_id)) WHERE length({strip('line')}) >= 40""",
+    )
+    pieces["shares"] = (
+        ("looked_up",),
+        f"""SELECT page_id, avg(CAST(contains(page, q) OR (len(string_split(q, ' ')) >= 8 AND
+ len(list_filter(range(1, len(string_split(q, ' ')) - 6), lambda i: contains(page, {window}))) > 0) AS INT)) AS g FROM looked_up GROUP BY 1""",
+    )
+    out["assembled_answers"] = sql(
+        """SELECT url, fragments, 1 AS empty_fragments, round(g, 6) AS grounded FROM texts JOIN p USING (page_id) LEFT JOIN shares USING (page_id)""",
+        "shares", extra=pieces,
+    )
     one_line = "trim(" + sub(decode(sub("regexp_extract(html_text, '(?is)<title[^>]*>(.*?)</title>', 1)", "<[!?/A-Za-z][^>]*>?", " ")), r"\s+", " ") + ")"
     h1 = one_line.replace("<title[^>]*>(.*?)</title>", r"<h1\b[^>]*>(.*?)</h1>")
     out["repeated_titles"] = sql(
