@@ -85,11 +85,24 @@ def replace_all(text: Columnish, rules: Iterable[tuple[str, str]]) -> Column:
     return column
 
 
-def when_present(text: Column, trigger: str, change: Callable[[Column], Column]) -> Column:
-    """``change`` the texts that hold ``trigger`` and leave the others untouched."""
-    if not trigger:
+def when_present(
+    text: Column, triggers: str | tuple[str, ...], change: Callable[[Column], Column]
+) -> Column:
+    """``change`` the texts that hold one of the triggers and leave the others untouched.
+
+    No trigger at all means always.
+    """
+    if not triggers:
         return change(text)
-    return let(text, lambda t: F.when(F.contains(t, F.lit(trigger)), change(t)).otherwise(t))
+    wanted = (triggers,) if isinstance(triggers, str) else triggers
+
+    def guarded(t: Column) -> Column:
+        found = F.contains(t, F.lit(wanted[0]))
+        for trigger in wanted[1:]:
+            found = found | F.contains(t, F.lit(trigger))
+        return F.when(found, change(t)).otherwise(t)
+
+    return let(text, guarded)
 
 
 def any_of(patterns: Iterable[str]) -> str:

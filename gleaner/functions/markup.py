@@ -35,7 +35,7 @@ _EMPHASIS = (r"\*([^\s*](?:[^*\n]*[^\s*])?)\*", "$1")
 TABLE_RULE = r"(?m)^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$"
 TABLE_CELL = r"(?m)(?:^[ \t]*|\G(?!^))\|([^|\n]*)"
 
-# (trigger, rules): the rules of a group only run on texts holding the trigger,
+# (triggers, rules): the rules of a group only run on texts holding a trigger,
 # which spares plain prose nearly all of the passes; '' always runs.
 MARKDOWN_RULES = (
     ("```", ((r"(?m)^ {0,3}`{3,}[^\n]*$", ""),)),
@@ -50,7 +50,7 @@ MARKDOWN_RULES = (
     ),
     ("#", ((r"(?m)^ {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$", "$1"),)),
     (
-        "",
+        ("--", "**", "__", "- ", "* ", "_ ", "-\t", "*\t", "_\t"),
         (
             (r"(?m)^ {0,3}(?:-[ \t]*-[ \t]*-[- \t]*|\*[ \t]*\*[ \t]*\*[* \t]*|_[ \t]*_[ \t]*_[_ \t]*)$", ""),
         ),
@@ -73,7 +73,9 @@ MARKDOWN_RULES = (
         ),
     ),
     ("\\", ((r"\\([!-/:-@\[-`{-~])", "$1"),)),
-    ("", ((r"[ \t]{2,}|\t", " "), (r"\n{2,}", "\n"))),
+    ("\t", ((r"\t", " "),)),
+    ("  ", ((r" {2,}", " "),)),
+    ("\n\n", ((r"\n{2,}", "\n"),)),
 )
 
 
@@ -115,8 +117,8 @@ def strip_markdown(text: Columnish) -> Column:
         ).otherwise(column)
 
     column = when_present(as_column(text), "|", lambda t: let(t, table_cells))
-    for trigger, rules in MARKDOWN_RULES:
-        column = when_present(column, trigger, lambda t, rules=rules: replace_all(t, rules))
+    for triggers, rules in MARKDOWN_RULES:
+        column = when_present(column, triggers, lambda t, rules=rules: replace_all(t, rules))
     return strip(unescape(column))
 
 
