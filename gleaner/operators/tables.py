@@ -287,17 +287,24 @@ def with_stored_fallback(fetched: DataFrame, pages: DataFrame) -> Guarded:
     """Fetched pages, the stored copy standing in where the fetch failed.
 
     ``fetched`` holds ``url, html_text`` with NULL for a failed fetch; pages
-    that failed and were never stored are handed back.
+    that failed and were never stored are handed back. Stored HTML is only
+    read for the failed ones, whose URLs alone take part in that join.
     """
-    stored = pages.select("url", F.col("html_text").alias("_stored"))
-    joined = fetched.join(stored, "url", "left")
-    usable = joined.withColumns(
-        {
-            "fallback_used": F.col("html_text").isNull() & F.col("_stored").isNotNull(),
-            "first_seen": F.col("html_text").isNotNull() & F.col("_stored").isNull(),
-        }
-    ).withColumn("html_text", F.coalesce("html_text", "_stored"))
+    stored = pages.select("url", F.lit(True).alias("_stored"))
+    seen = fetched.join(stored, "url", "left")
+    live = seen.where(F.col("html_text").isNotNull()).select(
+        *fetched.columns,
+        F.lit(False).alias("fallback_used"),
+        F.col("_stored").isNull().alias("first_seen"),
+    )
+    failed = seen.where(F.col("html_text").isNull())
+    rest = [c for c in fetched.columns if c != "html_text"]
+    replaced = (
+        failed.where(F.col("_stored"))
+        .select(*rest)
+        .join(pages.select("url", "html_text"), "url")
+        .select(*fetched.columns, F.lit(True).alias("fallback_used"), F.lit(False).alias("first_seen"))
+    )
     return Guarded(
-        usable.where(F.col("html_text").isNotNull()).drop("_stored"),
-        usable.where(F.col("html_text").isNull()).select("url"),
+        live.unionByName(replaced), failed.where(F.col("_stored").isNull()).select("url")
     )

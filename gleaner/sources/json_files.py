@@ -38,11 +38,14 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, one_per_line: bo
     return spark.read.schema(schema).option("multiLine", not one_per_line).json(path)
 
 
-def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all gold files under a path or glob, by domain and URL."""
-    return (
-        _read(spark, path, GOLD_ENTRY).where(F.col("url").isNotNull()).orderBy("domain", "url")
-    )
+def read_gold(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """Entries of all gold files under a path or glob.
+
+    ``ordered`` sorts them by domain and URL, which moves the HTML; the jobs
+    do not need it.
+    """
+    entries = _read(spark, path, GOLD_ENTRY).where(F.col("url").isNotNull())
+    return entries.orderBy("domain", "url") if ordered else entries
 
 
 def _file_stem() -> Column:

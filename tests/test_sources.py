@@ -25,8 +25,9 @@ def test_gold_files(spark, tmp_path):
     write(tmp_path / "a_gs.json", [entry("http://a/1", domain="a")])
     write(tmp_path / "empty_gs.json", "")
     write(tmp_path / "other.json", [entry("http://x/")])
-    rows = json_files.read_gold(spark, f"{tmp_path}/*_gs.json").collect()
+    rows = json_files.read_gold(spark, f"{tmp_path}/*_gs.json", ordered=True).collect()
     assert [r["url"] for r in rows] == ["http://a/1", "http://d/1", "http://d/2"]
+    assert json_files.read_gold(spark, f"{tmp_path}/*_gs.json").count() == 3
 
 
 def test_run_and_check_files(spark, tmp_path):
