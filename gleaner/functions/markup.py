@@ -10,7 +10,7 @@ backslash-escaped emphasis and markup inside code blocks are not told apart.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,27 +79,50 @@ MARKDOWN_RULES = (
 )
 
 
+# Names that also count without their semicolon, longest first.
+LEGACY_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+# One literal that the optimizer folds into a map.
+NAME_TABLE = "\x01".join(
+    f"{name}\x02{char}"
+    for name, char in {**{n: chr(c) for n, c in name2codepoint.items()}, **{n: html5[n] for n in LEGACY_NAMES}}.items()
+)
+
+
 def unescape(text: Columnish) -> Column:
-    """Decode named (HTML 4) and numeric character references, each once."""
-    # One literal that the optimizer folds into a map.
-    table = "\x01".join(f"{name}\x02{chr(point)}" for name, point in name2codepoint.items())
-    names = F.str_to_map(F.lit(table), F.lit("\x01"), F.lit("\x02"))
+    """Decode named (HTML 4) and numeric character references, each once.
+
+    The old names count without a semicolon too. Numbers outside Unicode stay
+    as written.
+    """
+    names = F.str_to_map(F.lit(NAME_TABLE), F.lit("\x01"), F.lit("\x02"))
+
+    def after(piece: Column, taken: Column) -> Column:
+        return F.substring(piece, F.length(taken) + 1, F.length(piece))
+
+    def numeric(piece: Column) -> Column:
+        written = F.regexp_extract(piece, r"^#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", 0)
+        digits = F.btrim(written, F.lit("#xX;"))
+        is_hex = F.lower(F.substring(written, 2, 1)) == "x"
+        point = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        in_unicode = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        character = F.when(in_unicode, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+        return F.concat(character, after(piece, written))
+
+    def named(piece: Column) -> Column:
+        written = F.regexp_extract(piece, r"^[A-Za-z][A-Za-z0-9]*;", 0)
+        return F.concat(F.try_element_at(names, F.rtrim(written, F.lit(";"))), after(piece, written))
+
+    def legacy(piece: Column) -> Column:
+        written = F.regexp_extract(piece, "^(?:" + "|".join(LEGACY_NAMES) + ")", 0)
+        return F.concat(F.try_element_at(names, written), after(piece, written))
 
     def decode(piece: Column) -> Column:
-        name = F.regexp_extract(piece, r"^(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
-        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
-        digits = F.when(
-            F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, F.lit(3), F.lit(6)), 16, 10)
-        ).otherwise(F.substring(name, F.lit(2), F.lit(7)))
-        point = F.try_to_number(F.nullif(digits, F.lit("")), F.lit("9999999999")).cast("long")
-        character = F.when(
-            F.startswith(name, F.lit("#")),
-            F.when(
-                point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF),
-                F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"),
+        return F.coalesce(
+            F.when(F.startswith(piece, F.lit("#")), numeric(piece)).otherwise(
+                F.coalesce(named(piece), legacy(piece))
             ),
-        ).otherwise(F.try_element_at(names, name))
-        return F.coalesce(F.concat(character, rest), F.concat(F.lit("&"), piece))
+            F.concat(F.lit("&"), piece),
+        )
 
     def decode_all(pieces: Column) -> Column:
         tail = F.slice(pieces, F.lit(2), F.size(pieces))

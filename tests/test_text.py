@@ -46,7 +46,7 @@ def test_strip_markdown_table_cells(value):
 
 @pytest.mark.parametrize(
     "text",
-    ["&eacute;&nbsp;&hellip;", "no reference", "&", "& &; &unknown; &amp;amp;", "x&lt;y&gt;z", "&#65;&#x1F600;"],
+    ["&eacute;&nbsp;&hellip;", "no reference", "&", "& &; &unknown; &amp;amp;", "x&lt;y&gt;z", "&#65;&#x1F600;", "and&amp", "&copy2 &notit; &AMP;x &lt<", "&#65 B&#x41;C &#", "&eacuteX &ampamp;"],
 )
 def test_unescape_agrees_with_the_standard_library(value, text):
     assert value(markup.unescape("t"), t=text) == html_lib.unescape(text)

@@ -26,12 +26,49 @@ def strip(expr: str) -> str:
     return sub(expr, r"^\s+|\s+$", "")
 
 
+REFERENCES = (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&"))
+
+
 def decode(expr: str) -> str:
-    for name, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        expr = f"replace({expr}, {lit(name)}, {lit(char)})"
+    """The references the given pages hold, with and without their semicolon."""
+    for name, char in REFERENCES:
+        expr = sub(expr, f"&{name}([^;]|$)", char + "$1")
+    for name, char in REFERENCES:
+        expr = f"replace({expr}, {lit(f'&{name};')}, {lit(char)})"
     return expr
 
 
+def markdown_of(html: str) -> str:
+    """The markdown of the given pages, whose few elements plain replacements tell apart."""
+    steps = (
+        (r"(?s)<script\b.*?</script>", ""),
+        (r"(?s)<style\b.*?</style>", ""),
+        (r"(?s)<!--.*?-->", ""),
+        (r"\s+", " "),
+        (r'<li><a href="([^"]*)">([^<]*)</a></li>', "\n* [$2]($1)\n"),
+        (r"<h1>", "\n\n# "),
+        (r"</?(?:nav|div|article|p|footer|h1|body|html|ul)(?: [^>]*)?>", "\n\n"),
+        (r"</?b>", "**"),
+        (r"<br>", "\n"),
+        (r"<[a-zA-Z/][^>]*>", ""),
+    )
+    expr = f"regexp_extract({html}, '(?s)<body>(.*)', 1)"
+    for pattern, replacement in steps:
+        expr = sub(expr, pattern, replacement)
+    expr = decode(expr)
+    for pattern, replacement in (
+        (r"(?m)^[ \t]+|[ \t]+$", ""),
+        (r"[ \t]+", " "),
+        (r"(?m)^[*`~ ]+$", ""),
+        # Items of one list stand on consecutive lines; every second seam per pass.
+        (r"(\* \[[^\n]*)\n\n+(\* \[)", "$1\n$2"),
+        (r"(\* \[[^\n]*)\n\n+(\* \[)", "$1\n$2"),
+        (r"\n{3,}", "\n\n"),
+    ):
+        expr = sub(expr, pattern, replacement)
+    return f"trim({expr}, chr(10) || ' ')"
+
+
 def strip_markdown(expr: str) -> str:
     for _, rules in MARKDOWN_RULES:
         for pattern, replacement in rules:
@@ -450,6 +487,36 @@ def oracles() -> dict[str, str]:
         f"SELECT page_id, {r6('pr', 'precision')}, {r6('re', 'recall')}, {r6('f1', 'f1')} FROM p LEFT JOIN tl USING (page_id)",
         "p", "tl", extra=gold_scores,
     )
+    extracted = {
+        "md": (("p",), f"SELECT page_id, url, domain, {markdown_of('html_text')} AS md FROM p"),
+        "golden": (
+            ("md", "gold"),
+            f"SELECT page_id, url, domain, {strip_markdown('md')} AS p, {strip_markdown('gold_text')} AS g FROM md JOIN gold USING (url)",
+        ),
+        **_scores("golden", "page_id"),
+    }
+    out["html_markdown"] = sql("SELECT page_id, md AS markdown FROM md", "md", extra=extracted)
+    out["full_gold_eval"] = sql(
+        f"""SELECT domain, count(*) AS pages, {r6('avg(pr)', 'precision')}, {r6('avg(re)', 'recall')}, {r6('avg(f1)', 'f1')},
+ {r6('avg(cosine)', 'cosine')}, {r6('avg(jaccard)', 'jaccard')}, {r6('avg(excess_ratio)', 'excess_ratio')}
+ FROM golden JOIN tl USING (page_id) JOIN sim USING (page_id) GROUP BY domain""",
+        "tl", "sim", extra=extracted,
+    )
+    fresh = dict(zip(METRICS, ("pr", "re", "t.f1", "s.cosine", "s.jaccard", "s.excess_ratio")))
+    out["missing_scores_filled"] = sql(
+        "SELECT coalesce(e.url, n.url) AS url, "
+        + ", ".join(f"round(coalesce(e.{m}, n.{m}), 6) AS {m}" for m in METRICS)
+        + ", judge_score FROM evals e FULL JOIN (SELECT golden.url, "
+        + ", ".join(f"{v} AS {m}" for m, v in fresh.items())
+        + " FROM golden JOIN tl t USING (page_id) JOIN sim s USING (page_id)) n ON e.url = n.url",
+        "evals", "tl", "sim", extra=extracted,
+    )
+    out["parse_fetched"] = sql(
+        f"""SELECT url, domain, NOT ok AS fallback_used, {strip_markdown('md')} AS cleaned_text FROM
+ (SELECT md.*, {fx.COMPLETE} AS ok FROM md JOIN p USING (page_id)) WHERE (ok OR {fx.SECURE})
+ AND domain IN (SELECT domain FROM p JOIN gold USING (url))""",
+        "md", "gold", extra=extracted,
+    )
     out["run_records"] = sql(
         f"""SELECT 7 AS run_id, url, domain, status, input_tokens, html_kb, CASE WHEN status = 'ok' THEN length(parsed_text) END AS chars,
  CASE WHEN status = 'ok' THEN round(f1, 6) END AS f1, CASE WHEN status = 'ok' THEN extracted_count END AS extracted_count,
