@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.llm import decontaminate, simhash, tokens
+
 
-from gleaner.llm import simhash
+def tokenizer_path() -> str:
+    """The vocabulary that the token counts are asked for; ``GLEANER_TOKENIZER`` names another file."""
+    path = os.environ.get("GLEANER_TOKENIZER")
+    if path:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def read(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -15,6 +28,50 @@ def op3_simhash(spark: SparkSession, base: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, base, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op3_simhash,)}
+def op4_token_counts(spark: SparkSession, base: str) -> DataFrame:
+    return tokens.count_tokens(read(spark, base, "documents"), tokenizer_path())
+
+
+def op5_decontamination(spark: SparkSession, base: str) -> DataFrame:
+    docs = read(spark, base, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, read(spark, base, "benchmark"), drop_text=True)
+    items = F.col("contamination")["items"]
+    hit = decontaminate.n_hit()
+    return found.select(
+        "doc_id",
+        F.col("contamination")["n_words"].alias("n_words"),
+        hit.alias("n_hit"),
+        F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+REGISTRY = {f.__name__: f for f in (op3_simhash, op4_token_counts, op5_decontamination)}
+
+# The words and windows of both tables, the windows joined by their words.
+OP5_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+items AS (
+  SELECT DISTINCT id AS item, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM (
+    SELECT id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+    FROM words WHERE kind = 'b' AND len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM items),
+wins AS (
+  SELECT n, size, i, array_to_string(w[i:i + size - 1], ' ') AS win FROM (
+    SELECT n, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, sizes WHERE kind = 'd' AND len(w) >= size)),
+hits AS (SELECT n, i, size, item FROM wins JOIN items USING (size, win)),
+covered AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(i, i + size)) AS p FROM hits) GROUP BY n),
+listed AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l
+  FROM (SELECT DISTINCT n, CAST(item AS VARCHAR) AS item FROM hits) GROUP BY n)
+SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(l, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM words LEFT JOIN covered USING (n) LEFT JOIN listed USING (n) WHERE kind = 'd'
+"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}

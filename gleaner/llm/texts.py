@@ -71,12 +71,14 @@ SIGN_LOWER = byte_table(SIGNS, lower=True)
 
 @dataclass
 class Words:
-    """The words of several texts: ``first[d]:first[d + 1]`` are those of text ``d``."""
+    """The words of several texts: ``first[d]:first[d + 1]`` are those of text ``d``,
+    whose bytes begin at ``offsets[d]`` of ``data``."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    offsets: np.ndarray
 
     @property
     def per_text(self) -> np.ndarray:
@@ -101,7 +103,7 @@ def split_words(column: pa.Array, table: np.ndarray) -> Words:
     following = np.concatenate((inside[1:], [False])) if len(inside) else inside
     start = np.flatnonzero(inside & (~previous | begins[:-1]))
     end = np.flatnonzero(inside & (~following | begins[1:])) + 1
-    return Words(data, start, end, np.searchsorted(start, offsets))
+    return Words(data, start, end, np.searchsorted(start, offsets), offsets)
 
 
 def powers(base: int, count: int) -> np.ndarray:
