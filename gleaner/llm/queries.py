@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, simhash, tokens
+from gleaner.llm import classifier, decontaminate, simhash, tokens
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,16 @@ def read(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, base: str) -> DataFrame:
+    docs = read(spark, base, "documents").select("doc_id", "text")
+    usable = ~classifier.held_out()
+    model = classifier.fit(classifier.training_rows(docs, read(spark, base, "labels"), usable=usable))
+    scored = classifier.score(docs, model, drop_text=True)
+    return scored.select(
+        "doc_id", classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op3_simhash(spark: SparkSession, base: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, base, "documents"))
 
@@ -47,7 +57,7 @@ def op5_decontamination(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-REGISTRY = {f.__name__: f for f in (op3_simhash, op4_token_counts, op5_decontamination)}
+REGISTRY = {f.__name__: f for f in (op2_quality_classifier, op3_simhash, op4_token_counts, op5_decontamination)}
 
 # The words and windows of both tables, the windows joined by their words.
 OP5_SQL = r"""
