@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, decontaminate, simhash, tokens
+from gleaner.llm import classifier, decontaminate, lines, mixing, rules, simhash, tokens
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,11 @@ def read(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, base: str) -> DataFrame:
+    docs = read(spark, base, "documents").select("doc_id", "source", "text")
+    return lines.drop_boilerplate(docs, counts=True)
+
+
 def op2_quality_classifier(spark: SparkSession, base: str) -> DataFrame:
     docs = read(spark, base, "documents").select("doc_id", "text")
     usable = ~classifier.held_out()
@@ -57,7 +62,22 @@ def op5_decontamination(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-REGISTRY = {f.__name__: f for f in (op2_quality_classifier, op3_simhash, op4_token_counts, op5_decontamination)}
+def op6_mixing(spark: SparkSession, base: str) -> DataFrame:
+    docs = read(spark, base, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_quality_rules(spark: SparkSession, base: str) -> DataFrame:
+    docs = read(spark, base, "documents").select("doc_id", "source", "text")
+    return rules.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"
+    )
+
+
+REGISTRY = {f.__name__: f for f in (
+    op1_line_dedup, op2_quality_classifier, op3_simhash, op4_token_counts, op5_decontamination, op6_mixing,
+    op8_quality_rules,
+)}
 
 # The words and windows of both tables, the windows joined by their words.
 OP5_SQL = r"""
@@ -84,4 +104,84 @@ SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_
 FROM words LEFT JOIN covered USING (n) LEFT JOIN listed USING (n) WHERE kind = 'd'
 """
 
-ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}
+OP1_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, source, text, string_split(text, chr(10)) AS l FROM documents),
+held AS (
+  SELECT source, line, count(*) AS c FROM (
+    SELECT DISTINCT source, text, trim(unnest(l), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM docs)
+  WHERE line <> '' GROUP BY ALL),
+totals AS (SELECT source, count(DISTINCT text) AS t FROM docs GROUP BY source),
+gone AS (SELECT source, line FROM held JOIN totals USING (source) WHERE c >= 5 AND c > 0.1 * t),
+numbered AS (SELECT n, source, unnest(l) AS line, unnest(range(len(l))) AS i FROM docs),
+kept AS (
+  SELECT n, count(*) AS k, string_agg(line, chr(10) ORDER BY i) AS text FROM numbered
+  WHERE (source, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) NOT IN (SELECT (source, line) FROM gone) GROUP BY n)
+SELECT doc_id, docs.source AS source, CASE WHEN docs.text IS NOT NULL THEN coalesce(kept.text, '') END AS text,
+  CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l), 0) - coalesce(k, 0) AS BIGINT) AS n_dropped
+FROM docs LEFT JOIN kept USING (n)
+"""
+
+OP6_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, sum(size) AS s, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w
+  FROM docs GROUP BY source),
+steps AS (
+  SELECT 3.0 * s / w AS r, (sum(s) OVER () - coalesce(sum(3.0 * s) OVER before, 0)) /
+    (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level FROM sources
+  WINDOW before AS (ORDER BY 3.0 * s / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+shares AS (
+  SELECT source, CAST(s AS BIGINT) AS s, least(3.0 * s, w * (SELECT min(level) FROM steps WHERE level <= r))::DOUBLE AS target FROM sources),
+budgets AS (SELECT *, CAST(round(target) AS BIGINT) AS b FROM shares),
+line AS (
+  SELECT doc_id, size, s, target, b, sum(size) OVER (PARTITION BY docs.source ORDER BY place, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until
+  FROM docs JOIN budgets ON docs.source IS NOT DISTINCT FROM budgets.source)
+SELECT doc_id, size, s AS source_size, target,
+  CAST((b // greatest(s, 1)) * size + greatest(0, least(size, b % greatest(s, 1) - (until - size))) AS BIGINT) AS taken
+FROM line
+"""
+
+OP8_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (
+  SELECT n, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY n),
+runs AS (SELECT n, i, w[i:i + 2] AS run FROM (SELECT n, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) > 2)),
+repeats AS (
+  SELECT n, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT n, unnest([i, i + 1, i + 2]) AS p FROM runs JOIN (SELECT n, run FROM runs GROUP BY ALL HAVING count(*) > 1) USING (n, run))
+  GROUP BY n),
+measured AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM docs LEFT JOIN lines USING (n) LEFT JOIN repeats USING (n)),
+ruled AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+failing AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines AS failed FROM ruled),
+hosts AS (SELECT source, count(*)::DOUBLE AS d, sum(failed::INT)::DOUBLE AS f FROM failing GROUP BY source),
+moments AS (
+  SELECT sum(d) AS n, count(*) AS h, sum(f) / sum(d) AS mean, sum(d * d) AS squares, sum(f * f / d) AS spread FROM hosts),
+apart AS (
+  SELECT *, (spread / n - mean * mean - mean * (1 - mean) * (h - 1) / n) AS between_,
+    mean * (1 - mean) * (1 - squares / (n * n) - (h - 1) / n) AS room FROM moments),
+prior AS (
+  SELECT mean, greatest(1, 1 / least(1, greatest(CASE WHEN room > 0 THEN between_ / room ELSE 0 END, 1 / (n + 1))) - 1) AS m FROM apart)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT failed AND (f + greatest(mean * m, 1e-9)) / (d + greatest(mean * m, 1e-9) + greatest((1 - mean) * m, 1e-9)) <= 0.5 AS kept,
+  (f + greatest(mean * m, 1e-9)) / (d + greatest(mean * m, 1e-9) + greatest((1 - mean) * m, 1e-9)) AS host_rate
+FROM failing JOIN hosts ON failing.source IS NOT DISTINCT FROM hosts.source CROSS JOIN prior
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+    "op5_decontamination": OP5_SQL,
+    "op6_mixing": OP6_SQL,
+    "op8_quality_rules": OP8_SQL,
+}
