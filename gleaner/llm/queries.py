@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, decontaminate, lines, mixing, rules, simhash, tokens
+from gleaner.llm import classifier, decontaminate, lines, mixing, pii, rules, simhash, tokens
 
 
 def tokenizer_path() -> str:
@@ -67,6 +67,21 @@ def op6_mixing(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_pii(spark: SparkSession, base: str) -> DataFrame:
+    found = pii.find(read(spark, base, "documents").select("doc_id", "text"))
+    sure = F.filter("pii", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")],
+        F.sha2(pii.listed(sure), 256).alias("base_sha256"),
+        pii.listed(F.col("pii")).alias("spans"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     docs = read(spark, base, "documents").select("doc_id", "source", "text")
     return rules.judge(docs).select(
@@ -76,7 +91,7 @@ def op8_quality_rules(spark: SparkSession, base: str) -> DataFrame:
 
 REGISTRY = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_classifier, op3_simhash, op4_token_counts, op5_decontamination, op6_mixing,
-    op8_quality_rules,
+    op7_pii, op8_quality_rules,
 )}
 
 # The words and windows of both tables, the windows joined by their words.
@@ -133,7 +148,7 @@ steps AS (
     (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level FROM sources
   WINDOW before AS (ORDER BY 3.0 * s / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 shares AS (
-  SELECT source, CAST(s AS BIGINT) AS s, least(3.0 * s, w * (SELECT min(level) FROM steps WHERE level <= r))::DOUBLE AS target FROM sources),
+  SELECT source, CAST(s AS BIGINT) AS s, least(3.0 * s, w * (SELECT arg_min(level, r) FROM steps WHERE level <= r))::DOUBLE AS target FROM sources),
 budgets AS (SELECT *, CAST(round(target) AS BIGINT) AS b FROM shares),
 line AS (
   SELECT doc_id, size, s, target, b, sum(size) OVER (PARTITION BY docs.source ORDER BY place, size
