@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, decontaminate, lines, lm, mixing, pii, rules, simhash, tokens
+from gleaner.llm import classifier, decontaminate, langid, lines, lm, mixing, pii, rules, simhash, tokens
 
 
 def tokenizer_path() -> str:
@@ -89,13 +89,18 @@ def op8_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, base: str) -> DataFrame:
+    model = langid.fit_text_model(read(spark, base, "documents"))
+    return langid.identify(read(spark, base, "pages"), model)
+
+
 def op10_lm_scoring(spark: SparkSession, base: str) -> DataFrame:
     return lm.score(read(spark, base, "documents"), classifier.held_out(folds=7, fold=2))
 
 
 REGISTRY = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_classifier, op3_simhash, op4_token_counts, op5_decontamination, op6_mixing,
-    op7_pii, op8_quality_rules, op10_lm_scoring,
+    op7_pii, op8_quality_rules, op9_language_id, op10_lm_scoring,
 )}
 
 # The words and windows of both tables, the windows joined by their words.
