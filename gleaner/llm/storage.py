@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable, Iterable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests, a folder below the warehouse is
-    taken; executors share the warehouse as well.
-    """
-    session = df.sparkSession
-    context = session.sparkContext
+def shared_folder(session: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, one below the
+    warehouse, which executors share as well."""
+    named = session.conf.get("spark.checkpoint.dir", None)
+    return (named or session.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder, so that a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = session.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(
-            shared or session.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def in_stages(first: DataFrame, steps: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Apply ``steps`` one after the other, each result written as Parquet and read again.
+
+    A step's input is deleted once its result is written; the last result stays
+    in the shared folder, as the returned table reads it.
+    """
+    session = first.sparkSession
+    folder = f"{shared_folder(session)}/stages-{uuid.uuid4()}"
+    now, before = first, None
+    for number, step in enumerate(steps):
+        path = f"{folder}/{number}"
+        step(now).write.parquet(path)
+        now = session.read.parquet(path)
+        if before:
+            old = session._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
+        before = path
+    return now
