@@ -84,14 +84,16 @@ def run_records(
 
     ``extractions`` holds ``url, parsed_text, failed`` and whatever the run
     measured on the way (seconds, fragments, costs), which is carried over;
-    ``corpus`` holds ``url, domain, html_text, gold_text``. Only pages that
-    came out ok carry text, scores and grounding.
+    ``corpus`` holds ``url, domain, html_text, gold_text``. A page of which a
+    reply was ``truncated`` failed. Only pages that came out ok carry text,
+    scores and grounding.
     """
     sizes = size_columns("html_text", budgets)
-    carried = [c for c in extractions.columns if c not in ("url", "parsed_text", "failed")]
+    carried = [c for c in extractions.columns if c not in ("url", "parsed_text", "failed", "truncated")]
     joined = corpus.join(extractions, "url")
     status = page_status(
-        sizes["input_tokens"], "parsed_text", "failed", chunking, budgets.context_tokens
+        sizes["input_tokens"], "parsed_text", "failed", chunking, budgets.context_tokens,
+        "truncated" if "truncated" in extractions.columns else None,
     )
     classified = joined.withColumns(
         {"input_tokens": sizes["input_tokens"], "html_kb": sizes["html_kb"], "status": status}

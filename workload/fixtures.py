@@ -291,7 +291,7 @@ def numbered_lines(spark: SparkSession, base: str) -> DataFrame:
 
 def fragment_replies(spark: SparkSession, base: str) -> DataFrame:
     """Replies of consecutive pieces that repeat up to three lines of the one before; every page has
-    one piece that says it holds nothing."""
+    one piece that says it holds nothing, and the first reply of every ninth page was cut off."""
     lined = numbered_lines(spark, base)
     last = F.floor((F.size("lines") - 1) / LINES_PER_PIECE).cast("int")
 
@@ -306,7 +306,8 @@ def fragment_replies(spark: SparkSession, base: str) -> DataFrame:
     nothing = F.array(F.struct(F.lit(1).alias("n"), F.lit("Nothing_Here.").alias("raw")))
     return lined.select("page_id", "url", F.explode(F.concat(pieces, nothing)).alias("r")).select(
         "page_id", "url", (F.col("r.n") + 1).alias("n"), "r.raw",
-        F.lit("stop").alias("finish_reason"), F.lit("").alias("page_title"), F.lit("").alias("page_heading"),
+        F.when((F.col("page_id") % 9 == 0) & (F.col("r.n") == 0), "length").otherwise("stop").alias("finish_reason"),
+        F.lit("").alias("page_title"), F.lit("").alias("page_heading"),
     )
 
 

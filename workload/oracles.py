@@ -281,6 +281,75 @@ TOKEN_COLUMNS = (
 BAG_COLUMNS = ", ".join(r6(c, c) for c in ("cosine", "jaccard", "excess_ratio"))
 
 
+# --- cutting of pages ----------------------------------------------------------
+
+# Told again as recursive SQL: tags with their text, blocks of neighbours up to a width, long text cut to a
+# step, blocks packed greedily, and the same again for the even share. Every limit from the even share to the
+# budget is tried for the evenest one.
+STEP = """CASE WHEN (hi - lo) // 3 <= budget THEN hi - lo
+ WHEN (hi - lo) * budget // ((hi - lo) // 3) // 3 <= budget THEN (hi - lo) * budget // ((hi - lo) // 3)
+ ELSE (hi - lo) * budget // ((hi - lo) // 3) * budget // ((hi - lo) * budget // ((hi - lo) // 3) // 3) - 1 END"""
+CUTS = r"""
+WITH RECURSIVE b(budget) AS (VALUES {budgets}),
+big AS (SELECT page_id, html, budget, length(html) AS chars FROM pages, b WHERE length(html) // 3 > budget),
+tok AS (SELECT page_id, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS i FROM
+ (SELECT page_id, regexp_extract_all(html, '^[^<]+|<[^<]*') AS t FROM pages)),
+span AS (SELECT page_id, i, CAST(sum(length(tok)) OVER w - length(tok) AS BIGINT) AS lo, CAST(sum(length(tok)) OVER w AS BIGINT) AS hi,
+ coalesce(regexp_matches(lead(tok) OVER w, '^<[^/]'), true) AS closes FROM tok WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+coarse_w AS (SELECT page_id, budget, greatest(1, CAST(floor(budget * 3.0 / 32) AS BIGINT)) AS w FROM big),
+coarse_to AS (SELECT c.page_id, budget, s.lo, coalesce(max(e.hi) FILTER (WHERE e.closes AND e.hi <= s.lo + w), any_value(s.hi)) AS hi
+ FROM coarse_w c JOIN span s USING (page_id) JOIN span e ON e.page_id = s.page_id AND e.lo >= s.lo AND (e.hi <= s.lo + w OR e.i = s.i) GROUP BY 1, 2, 3),
+coarse AS (
+ SELECT page_id, budget, 1 AS k, lo, hi FROM coarse_to WHERE lo = 0
+ UNION ALL SELECT c.page_id, c.budget, k + 1, t.lo, t.hi FROM coarse c JOIN coarse_to t
+  ON t.page_id = c.page_id AND t.budget = c.budget AND t.lo = c.hi),
+coarse_cut AS (SELECT page_id, budget, row_number() OVER (PARTITION BY page_id, budget ORDER BY lo, at_) AS k, at_ AS lo, least(hi, at_ + step) AS hi
+ FROM (SELECT *, unnest(range(lo, hi, step)) AS at_ FROM (SELECT *, {step} AS step FROM coarse))),
+coarse_n AS (
+ SELECT page_id, budget, k, (hi - lo) // 3 + 1 AS filled, 1 AS groups FROM coarse_cut WHERE k = 1
+ UNION ALL SELECT c.page_id, c.budget, c.k, CASE WHEN n.filled + (hi - lo) // 3 + 1 > c.budget THEN (hi - lo) // 3 + 1
+  ELSE n.filled + (hi - lo) // 3 + 1 END, n.groups + CAST(n.filled + (hi - lo) // 3 + 1 > c.budget AS INT)
+  FROM coarse_n n JOIN coarse_cut c ON c.page_id = n.page_id AND c.budget = n.budget AND c.k = n.k + 1),
+fewest AS (SELECT page_id, budget, max(groups) AS fewest FROM coarse_n GROUP BY 1, 2),
+share AS (SELECT page_id, budget, fewest, CAST(ceil(sum((hi - lo) // 3 + 1) / fewest) AS BIGINT) AS share
+ FROM coarse_cut JOIN fewest USING (page_id, budget) GROUP BY 1, 2, 3),
+fine_w AS (SELECT page_id, budget, greatest(1, CAST(floor(share * 3.0 / 32) AS BIGINT)) AS w FROM share),
+fine_to AS (SELECT c.page_id, budget, s.lo, coalesce(max(e.hi) FILTER (WHERE e.closes AND e.hi <= s.lo + w), any_value(s.hi)) AS hi
+ FROM fine_w c JOIN span s USING (page_id) JOIN span e ON e.page_id = s.page_id AND e.lo >= s.lo AND (e.hi <= s.lo + w OR e.i = s.i) GROUP BY 1, 2, 3),
+fine AS (
+ SELECT page_id, budget, 1 AS k, lo, hi FROM fine_to WHERE lo = 0
+ UNION ALL SELECT c.page_id, c.budget, k + 1, t.lo, t.hi FROM fine c JOIN fine_to t
+  ON t.page_id = c.page_id AND t.budget = c.budget AND t.lo = c.hi),
+fine_cut AS (SELECT page_id, budget, row_number() OVER (PARTITION BY page_id, budget ORDER BY lo, at_) AS k, at_ AS lo, least(hi, at_ + step) AS hi
+ FROM (SELECT *, unnest(range(lo, hi, step)) AS at_ FROM (SELECT *, {step} AS step FROM fine))),
+fine_n AS (
+ SELECT page_id, budget, k, (hi - lo) // 3 + 1 AS filled, 1 AS groups FROM fine_cut WHERE k = 1
+ UNION ALL SELECT c.page_id, c.budget, c.k, CASE WHEN n.filled + (hi - lo) // 3 + 1 > c.budget THEN (hi - lo) // 3 + 1
+  ELSE n.filled + (hi - lo) // 3 + 1 END, n.groups + CAST(n.filled + (hi - lo) // 3 + 1 > c.budget AS INT)
+  FROM fine_n n JOIN fine_cut c ON c.page_id = n.page_id AND c.budget = n.budget AND c.k = n.k + 1),
+chosen AS (SELECT page_id, budget, fewest, share, max(groups) AS fine_groups FROM fine_n JOIN share USING (page_id, budget) GROUP BY 1, 2, 3, 4),
+piece AS (SELECT page_id, budget, k, lo, hi, (hi - lo) // 3 + 1 AS size, least(fewest, fine_groups) AS needed FROM chosen
+ JOIN (SELECT *, true AS is_fine FROM fine_cut UNION ALL SELECT *, false FROM coarse_cut) USING (page_id, budget)
+ WHERE is_fine = (fewest > 1 AND fine_groups <= fewest))"""
+GROUPED = r""",
+tried AS (SELECT page_id, budget, needed, unnest(range(CASE WHEN needed > 1 THEN CAST(ceil(sum(size) / needed) AS BIGINT) ELSE budget END, budget + 1)) AS lim
+ FROM piece GROUP BY 1, 2, 3),
+pack AS (
+ SELECT page_id, lim, k, size AS filled, 1 AS g FROM tried JOIN piece USING (page_id, budget) WHERE k = 1
+ UNION ALL SELECT n.page_id, n.lim, p.k, CASE WHEN n.filled + size > n.lim THEN size ELSE n.filled + size END,
+  n.g + CAST(n.filled + size > n.lim AS INT) FROM pack n JOIN piece p ON p.page_id = n.page_id AND p.k = n.k + 1),
+evenest AS (SELECT page_id, min(lim) AS lim FROM (SELECT page_id, lim, max(g) AS g FROM pack GROUP BY 1, 2)
+ JOIN tried USING (page_id, lim) WHERE g <= needed GROUP BY 1),
+grouped AS (SELECT page_id, g, min(lo) AS lo, max(hi) AS hi FROM pack JOIN evenest USING (page_id, lim)
+ JOIN piece USING (page_id, k) GROUP BY 1, 2)
+"""
+
+
+def cuts(*budgets: int) -> str:
+    listed = ", ".join(f"(CAST({b} AS BIGINT))" for b in budgets)
+    return CUTS.replace("{budgets}", listed).replace("{step}", STEP)
+
+
 # --- rule packs --------------------------------------------------------------
 
 
@@ -777,7 +846,7 @@ def oracles() -> dict[str, str]:
     }
     out["stitch"] = sql(
         """SELECT page_id, string_agg(piece, chr(10) || chr(10) ORDER BY k) AS parsed_text, count(*) + 1 AS fragments, 1 AS empty_fragments,
- false AS truncated FROM groups GROUP BY 1""".replace("groups", "pieces"),
+ page_id % 9 = 0 AS truncated FROM groups GROUP BY 1""".replace("groups", "pieces"),
         "pieces", extra={("pieces" if k == "groups" else k): v for k, v in stitched.items()},
     )
     pieces = {("pieces" if k == "groups" else k): v for k, v in stitched.items()}
@@ -794,6 +863,10 @@ def oracles() -> dict[str, str]:
         ("looked_up",),
         f"""SELECT page_id, avg(CAST(contains(page, q) OR (len(string_split(q, ' ')) >= 8 AND
  len(list_filter(range(1, len(string_split(q, ' ')) - 6), lambda i: contains(page, {window}))) > 0) AS INT)) AS g FROM looked_up GROUP BY 1""",
+    )
+    out["truncated_pages"] = sql(
+        """SELECT url, CASE WHEN page_id % 9 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN page_id % 9 <> 0 THEN length(md) END AS chars,
+ fragments FROM texts JOIN p USING (page_id)""", "shares", "p", extra=pieces,
     )
     out["assembled_answers"] = sql(
         """SELECT url, fragments, 1 AS empty_fragments, round(g, 6) AS grounded FROM texts JOIN p USING (page_id) LEFT JOIN shares USING (page_id)""",
@@ -801,6 +874,15 @@ def oracles() -> dict[str, str]:
     )
     one_line = "trim(" + sub(decode(sub("regexp_extract(html_text, '(?is)<title[^>]*>(.*?)</title>', 1)", "<[!?/A-Za-z][^>]*>?", " ")), r"\s+", " ") + ")"
     h1 = one_line.replace("<title[^>]*>(.*?)</title>", r"<h1\b[^>]*>(.*?)</h1>")
+    out["page_fragments"] = cuts(SMALL_BUDGET) + GROUPED + f"""SELECT page_id, CAST(coalesce(g, 1) AS INT) AS n,
+ CAST(count(*) OVER (PARTITION BY page_id) AS INT) AS fragments, {one_line} AS page_title, {h1} AS page_heading,
+ coalesce(substring(html_text, lo + 1, hi - lo), html_text) AS fragment,
+ coalesce(lo, 0) = 0 OR substring(html_text, lo + 1, 1) = '<' AS at_tag
+FROM (SELECT page_id, html AS html_text FROM pages) LEFT JOIN grouped USING (page_id)"""
+    out["budget_sweep"] = cuts(*SWEEP) + r"""SELECT CAST(budget AS INT) AS budget_tokens, count(*) AS pages, count(needed) AS split_pages,
+ CAST(coalesce(sum(needed), 0) AS BIGINT) AS fragments_used, CAST(coalesce(sum(needed), 0) - count(needed) AS BIGINT) AS extra_calls
+FROM (SELECT DISTINCT page_id, budget FROM pages, b) LEFT JOIN (SELECT DISTINCT page_id, budget, needed FROM piece WHERE needed > 1) USING (page_id, budget)
+GROUP BY 1"""
     out["repeated_titles"] = sql(
         f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('body of ', url) ELSE
  concat(CASE WHEN page_id % 3 = 1 THEN '## ' ELSE '# Other ' END, translate({one_line}, 'aeiou ', 'AEIOU	'), ' ', chr(10), chr(10), 'body of ', url) END AS kept FROM p""", "p",

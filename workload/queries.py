@@ -532,7 +532,7 @@ def html_markdown(spark, base):
 @query
 def page_fragments(spark, base):
     return fragments.fragment_table(fx.raw_pages(spark, base), SMALL_BUDGET).select(
-        "page_id", "n", "fragments", "page_title", "page_heading", "fragment"
+        "page_id", "n", "fragments", "page_title", "page_heading", "fragment", "at_tag"
     )
 
 
@@ -569,6 +569,14 @@ def stitch(spark, base):
     return fragments.assemble_answers(fx.fragment_replies(spark, base), ["page_id"])
 
 
+@query
+def truncated_pages(spark, base):
+    corpus = fx.raw_pages(spark, base).withColumn("gold_text", F.lit("").cast("string"))
+    answers = extract.assemble(fx.fragment_replies(spark, base), corpus).withColumn("failed", F.lit(False))
+    records = evaluate.run_records(answers.drop("grounded"), corpus, run_id=1, chunking=True)
+    return records.select("url", "status", "chars", "fragments")
+
+
 @query
 def assembled_answers(spark, base):
     answers = extract.assemble(fx.fragment_replies(spark, base), fx.raw_pages(spark, base))
