@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import html as html_lib
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,15 @@ from gleaner.functions.basic import signed_difference, strip, words
         ("curly ‘quotes’ and — dashes stay", "curly ‘quotes’ and — dashes stay"),
         ("tabs\tand   spaces", "tabs and spaces"),
         (r"\*not emphasis\#", "*not emphasis#"),
+        ("a *b **c *d **e *f **g** f* e** d* c** b* a", "a b c d e f g f e d c b a"),
+        ("_a __b _c_ b__ a_ and __x _y_ z__", "a b c b a and x y z"),
+        ("```\n<b>code</b> **x** &amp;\n- not a list\n```\nafter **it**", "<b>code</b> **x** &amp;\n- not a list\nafter it"),
+        ("~~~\n# no heading\n~~~", "# no heading"),
+        ("a `**b** [c](d)` - e\n- f `<i>`", "a **b** [c](d) - e\nf <i>"),
+        ("```\nnever closed **x**", "never closed **x**"),
+        ("[t][r] and [short] and [t][] but [other][none]\n\n[r]: http://a\n[SHORT]: <b> 'c'\n[t]: x", "t and short and t but [other][none]"),
+        ("a | b\n--|--\n1 | 2\n\nx | y", "a\nb\n1\n2\nx | y"),
+        ("[a [b] c](http://x) ![i [j]](k)", "a [b] c"),
         ("", ""),
     ],
 )
@@ -46,7 +56,7 @@ def test_strip_markdown_table_cells(value):
 
 @pytest.mark.parametrize(
     "text",
-    ["&eacute;&nbsp;&hellip;", "no reference", "&", "& &; &unknown; &amp;amp;", "x&lt;y&gt;z", "&#65;&#x1F600;", "and&amp", "&copy2 &notit; &AMP;x &lt<", "&#65 B&#x41;C &#", "&eacuteX &ampamp;"],
+    ["&eacute;&nbsp;&hellip;", "no reference", "&", "& &; &unknown; &amp;amp;", "x&lt;y&gt;z", "&#65;&#x1F600;", "and&amp", "&copy2 &notit; &AMP;x &lt<", "&#65 B&#x41;C &#", "&eacuteX &ampamp;", "don&apos;t it&#146;s &#0; &#x110000; &#xD800; &check; &#x0000041;b &#99999999999; &#xFDD0;x &#1; &#13; &#x80;", "&#x;&#;&#xg &nosuch; &notin; &notinx &CounterClockwiseContourIntegral;"],
 )
 def test_unescape_agrees_with_the_standard_library(value, text):
     assert value(markup.unescape("t"), t=text) == html_lib.unescape(text)
@@ -86,6 +96,41 @@ def test_visible_text(value):
     assert value(markup.visible_text("t"), t=page) == "the title vis ible text more"
 
 
+@pytest.mark.parametrize(
+    ("page", "seen"),
+    [
+        ("<p>a</p><ruby>x<rt>kan</ruby> important text <ruby>y<rt>ji</rt></ruby> end", "a x important text y end"),
+        ("<ruby>x<rp>(<rt>kan<rp>)</ruby>y", "x y"),
+        ("<p>a<rt>b</p><p>kept</p>", "a kept"),
+        ("<rt>to the end", "to the end"),
+        ("<a title=\"x > y\">z</a> <b title='>'>c</b> <i title=it's>d</i>", "z c d"),
+        ("a<template>b", "a"),
+    ],
+)
+def test_what_is_seen(value, page, seen):
+    assert value(markup.visible_text("t"), t=page) == seen
+
+
+def test_names_agree_with_the_standard_library(spark):
+    texts = [f"x&{name}y" for name in html5] + [f"&#{n};" for n in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["u"] for r in df.select("t", markup.unescape("t").alias("u")).collect()}
+    assert [t for t in texts if got[t] != html_lib.unescape(t)] == []
+
+
+@pytest.mark.parametrize(
+    "piece", ["<rt>", "<template>", "<a =", "<a b='", "*_", "[", "`", "<!--", "&#x", "a | b\n", "**a ", "> "]
+)
+def test_long_texts_of_open_marks_end_soon(value, piece):
+    import time
+
+    text = piece * (300_000 // len(piece))
+    started = time.monotonic()
+    value(markup.visible_text("t"), t=text)
+    value(markup.strip_markdown("t"), t=text)
+    assert time.monotonic() - started < 30
+
+
 def test_strip_code(value):
     page = "a<SCRIPT x>1</script>b<style>2</style>c<noscript>3</noscript>d<!--\n4-->e"
     assert value(markup.strip_code("t"), t=page) == "a b c d e"
