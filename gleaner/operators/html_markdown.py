@@ -44,6 +44,8 @@ CLOSED_BY = {
     "option": frozenset(["option"]),
 }
 MARK = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "del": "~~", "s": "~~"}
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+CELLS = frozenset(["td", "th"])
 SPACES = re.compile(r"\s+")
 
 
@@ -79,21 +81,27 @@ class _Markdown(HTMLParser):
         self.prefix = ""
         self.links: list[str] = []
         self.lists: list[list] = []
+        # The cells of the open row; a table inside a cell is text of that cell.
         self.cells: list[str] | None = None
+        self.cell_depth = 0
         self.header_rule = False
+        self.quotes = 0
+        self.pre_from: int | None = None
 
     # -- writing
     def flush(self, blank: bool = False) -> None:
         text = SPACES.sub(" ", "".join(self.line)).strip()
         self.line = []
         if text.strip("*`~ "):
-            self.out.append(self.prefix + text)
+            self.out.append("> " * self.quotes + self.prefix + text)
             self.prefix = ""
         if blank and self.out and self.out[-1] != "":
             self.out.append("")
 
     def markdown(self) -> str:
         self.close()
+        while self.open:
+            self.handle_endtag(self.open[-1])
         self.flush()
         while self.out and self.out[-1] == "":
             self.out.pop()
@@ -115,7 +123,22 @@ class _Markdown(HTMLParser):
         self.begin(tag, values)
 
     def begin(self, tag: str, values: dict[str, str]) -> None:
-        if re.fullmatch("h[1-6]", tag):
+        if self.pre_from is not None:
+            if tag == "br":
+                self.line.append("\n")
+        elif tag == "img":
+            if values.get("src"):
+                self.line.append(f"![{values.get('alt', '')}]({values['src']})")
+        elif tag == "a":
+            self.links.append(values.get("href", ""))
+            if values.get("href"):
+                self.line.append("[")
+        elif tag in MARK:
+            self.line.append(MARK[tag])
+        elif self.cell_depth:
+            self.line.append(" ")
+            self.cell_depth += tag in CELLS
+        elif tag in HEADINGS:
             self.flush(blank=True)
             self.prefix = "#" * int(tag[1]) + " "
         elif tag in ("ul", "ol"):
@@ -136,25 +159,49 @@ class _Markdown(HTMLParser):
         elif tag == "tr":
             self.flush()
             self.cells = []
-        elif tag in ("td", "th"):
-            self.line = []
+        elif tag in CELLS:
+            # Text between a row and its cells is no cell's; it stands before the row.
+            self.flush()
+            if self.cells is None:
+                self.cells = []
+            self.cell_depth = 1
         elif tag == "br":
             self.flush()
         elif tag == "hr":
             self.flush(blank=True)
             self.out += ["* * *", ""]
-        elif tag == "img":
-            if values.get("src"):
-                self.line.append(f"![{values.get('alt', '')}]({values['src']})")
-        elif tag == "a":
-            self.links.append(values.get("href", ""))
-            if values.get("href"):
-                self.line.append("[")
-        elif tag in MARK:
-            self.line.append(MARK[tag])
-        elif tag in BLOCK and self.cells is None and "li" not in self.open:
+        elif tag == "pre":
+            self.flush(blank=True)
+            self.pre_from = len(self.open)
+        elif tag == "blockquote":
+            self.flush(blank=True)
+            self.quotes += 1
+        elif tag in BLOCK:
+            self.part()
+
+    def part(self) -> None:
+        """A block begins or ends: a new paragraph, or just a space within a list item."""
+        if "li" in self.open:
+            self.line.append(" ")
+        else:
             self.flush(blank=True)
 
+    def row(self) -> None:
+        self.flush()
+        if self.cells:
+            self.out.append("| " + " | ".join(self.cells) + " |")
+            if self.header_rule:
+                self.out.append("| " + " | ".join("---" for _ in self.cells) + " |")
+                self.header_rule = False
+        self.cells = None
+
+    def code(self) -> None:
+        text = "".join(self.line).strip("\n")
+        self.line, self.pre_from = [], None
+        if text.strip():
+            self.out += ["> " * self.quotes + line for line in ("```", *text.split("\n"), "```")]
+            self.out.append("")
+
     def handle_endtag(self, tag: str) -> None:
         if tag not in self.open:
             return
@@ -168,7 +215,25 @@ class _Markdown(HTMLParser):
                 return
 
     def end(self, tag: str) -> None:
-        if re.fullmatch("h[1-6]", tag):
+        if self.pre_from is not None:
+            if tag == "pre" and len(self.open) < self.pre_from:
+                self.code()
+        elif tag == "a":
+            target = self.links.pop() if self.links else ""
+            if target:
+                self.line.append(f"]({target})")
+        elif tag in MARK:
+            self.line.append(MARK[tag])
+        elif self.cell_depth:
+            self.cell_depth -= tag in CELLS
+            if self.cell_depth:
+                self.line.append(" ")
+            elif tag in CELLS:
+                self.cells.append(SPACES.sub(" ", "".join(self.line)).strip())
+                self.line = []
+                if "tr" not in self.open:
+                    self.row()
+        elif tag in HEADINGS:
             self.flush(blank=True)
             self.prefix = ""
         elif tag in ("ul", "ol"):
@@ -178,34 +243,25 @@ class _Markdown(HTMLParser):
         elif tag == "li":
             self.flush()
             self.prefix = ""
-        elif tag in ("td", "th"):
-            if self.cells is not None:
-                self.cells.append(SPACES.sub(" ", "".join(self.line)).strip())
-                self.line = []
         elif tag == "tr":
-            if self.cells:
-                self.out.append("| " + " | ".join(self.cells) + " |")
-                if self.header_rule:
-                    self.out.append("| " + " | ".join("---" for _ in self.cells) + " |")
-                    self.header_rule = False
-            self.cells = None
+            self.row()
         elif tag == "table":
+            if self.cells:
+                self.row()
             self.flush(blank=True)
-        elif tag == "a":
-            target = self.links.pop() if self.links else ""
-            if target:
-                self.line.append(f"]({target})")
-        elif tag in MARK:
-            self.line.append(MARK[tag])
-        elif tag in BLOCK and self.cells is None and "li" not in self.open:
+        elif tag == "blockquote":
             self.flush(blank=True)
+            self.quotes -= 1
+        elif tag in BLOCK:
+            self.part()
 
     def handle_data(self, data: str) -> None:
         if self.skip_from is None:
             self.line.append(data)
 
 
-_NO_RULES = HtmlFilter(host="", tags=())
+# Without a filter of their own, hosts keep everything that is shown, forms included.
+_NO_RULES = HtmlFilter(host="", tags=(), remove_forms=False)
 _FILTER_BY_HOST = {f.host: f for f in HTML_FILTERS}
 
 

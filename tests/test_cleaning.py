@@ -92,7 +92,7 @@ def test_line_helpers(value):
         ("<title>t</title><script>var a='</p>'</script>text<style>s</style>", "text"),
         ("a<br>b<hr>c", "a\nb\n\n* * *\n\nc"),
         ("", ""),
-        ("<div><p>open <b>never closed", "open **never closed"),
+        ("<div><p>open <b>never closed", "open **never closed**"),
     ],
 )
 def test_markdown(html, markdown):
@@ -106,7 +106,7 @@ def test_markdown(html, markdown):
         ("https://www.cnbc.com/a", "<div class='abc-JumpLink-x'>j</div><div id=GlobalFooter>f</div><nav>kept</nav>", "kept"),
         ("https://www.espn.com/a", "<aside class='inline x'>a</aside><aside>b</aside><img src=x>c<form>d</form>", "b\n\nc"),
         ("https://www.xe.com/a", "<div class='mb-24 from-blue-900'>a</div><div class='mb-24'>b</div><span id='c-aria-description'>d</span>", "b"),
-        ("https://other.org/", "<nav>kept</nav><form>dropped</form>", "kept"),
+        ("https://other.org/", "<nav>kept</nav><form>kept too</form>", "kept\n\nkept too"),
     ],
 )
 def test_exclusions(url, html, markdown):
@@ -118,3 +118,30 @@ def test_markdown_job(spark):
     rows = with_markdown(df).orderBy("n").collect()
     assert [(r["n"], r["markdown"]) for r in rows] == [(1, "x"), (2, None)]
     assert "html_text" not in rows[0].asDict()
+
+
+@pytest.mark.parametrize(
+    ("html", "markdown"),
+    [
+        ("<form><p>a</p><input name=x><p>b</p></form>", "a\n\nb"),
+        (
+            "<table><tr><td>one<td>two<table><tr><td>in1<td>in2</table><td>three</table>",
+            "| one | two in1 in2 | three |\n| --- | --- | --- |",
+        ),
+        ("<table><tr>loose<td>a", "loose\n| a |\n| --- |"),
+        ("<table><tr><td><p>a</p><p>b</p><td><ul><li>x<li>y</ul><h2>q</h2></table>", "| a b | x y q |\n| --- | --- |"),
+        ("<ul><li><div>one</div><div>two</div><li>three<ul><li>n</ul></ul>", "* one two\n* three\n  * n"),
+        ("<pre>  x\n   y <b>z</b> <a href=u>v</a>\n</pre>after", "```\n  x\n   y z v\n```\n\nafter"),
+        ("<blockquote><p>q1</p><p>q2</p></blockquote>end", "> q1\n\n> q2\n\nend"),
+        ("<table><tr><th>h<tr><td>d</table>tail", "| h |\n| --- |\n| d |\n\ntail"),
+        ("<td>stray</td> cell", "| stray |\ncell"),
+    ],
+)
+def test_nothing_shown_is_lost(html, markdown):
+    assert to_markdown("https://unknown.example/", html) == markdown
+
+
+def test_forms_go_where_the_filter_says_so():
+    html = "<p>a</p><form><p>b</p></form>"
+    assert to_markdown("https://www.xe.com/x", html) == "a"
+    assert to_markdown("https://other.example/x", html) == "a\n\nb"

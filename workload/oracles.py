@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from gleaner.functions.markup import INVISIBLE, MARKDOWN_RULES
-from gleaner.functions.urls import NETLOC
 from gleaner.operators.rules import ENCYCLOPEDIA, FINANCE, NEWS, SPORTS, RulePack
 
 from . import fixtures as fx
@@ -12,6 +10,24 @@ from .queries import SMALL_BUDGET, SWEEP
 METRICS = ("precision_val", "recall_val", "f1", "cosine", "jaccard", "excess_ratio")
 
 
+# Patterns of this file's own, for what the given pages and the derived texts hold.
+NETLOC = r"://([^/?#]*)"
+UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[a-z/!][^>]*>"
+PLAIN_MARKDOWN = (
+    (r"</?[A-Za-z][^<>]*>", ""),
+    (r"!\[[^\]]*\]\([^()]*(?:\([^()]*\)[^()]*)*\)", ""),
+    (r"\[([^\[\]]*)\]\([^()]*(?:\([^()]*\)[^()]*)*\)", "$1"),
+    (r"(?m)^ {0,3}#{1,6}[ \t]+(.*?)[ \t]*$", "$1"),
+    (r"(?m)^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$", ""),
+    (r"(?m)^ {0,3}>(?: ?>)* ?", ""),
+    (r"(?m)^[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+", ""),
+    (r"`([^`\n]+)`", "$1"),
+    *((r"\*([^\s*](?:[^*\n]*[^\s*])?)\*", "$1"),) * 3,
+    (r"[ \t]+", " "),
+    (r"\n{2,}", "\n"),
+)
+
+
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -70,10 +86,8 @@ def markdown_of(html: str) -> str:
 
 
 def strip_markdown(expr: str) -> str:
-    for _, rules in MARKDOWN_RULES:
-        for pattern, replacement in rules:
-            if "(?<" not in pattern:
-                expr = sub(expr, pattern, replacement)
+    for pattern, replacement in PLAIN_MARKDOWN:
+        expr = sub(expr, pattern, replacement)
     return strip(decode(expr))
 
 
@@ -82,7 +96,7 @@ def normalise(expr: str) -> str:
 
 
 def visible(expr: str) -> str:
-    return normalise(decode(sub(expr, INVISIBLE, " ")))
+    return normalise(decode(sub(expr, UNSEEN, " ")))
 
 
 def plain(expr: str) -> str:
@@ -564,6 +578,15 @@ def oracles() -> dict[str, str]:
         ),
         **_scores("golden", "page_id"),
     }
+    out["text_constructs"] = sql(
+        """SELECT page_id, concat(t, ' <b>', t, '</b> **x** &amp; ', t, ' and short h1 h2 ', t, ' c a b c d e f e d c b a *g* ''’✓') AS plain,
+ regexp_replace(concat(lower(t), ' k q ', lower(t), ' e f h'), ' +', ' ', 'g') AS visible
+ FROM (SELECT page_id, regexp_replace(trim(regexp_replace(title, '[^A-Za-z ]', '', 'g')), ' +', ' ', 'g') AS t FROM p)""", "p",
+    )
+    bare = sub("md", r"[^\p{L}\p{N}]+", " ")
+    out["wrapped_markdown"] = sql(
+        f"SELECT page_id, concat_ws(' ', 'ahead', 'before', nullif(trim({bare}), ''), 'behind', 'a', 'b') AS words FROM md", "md", extra=extracted
+    )
     out["html_markdown"] = sql("SELECT page_id, md AS markdown FROM md", "md", extra=extracted)
     out["full_gold_eval"] = sql(
         f"""SELECT domain, count(*) AS pages, {r6('avg(pr)', 'precision')}, {r6('avg(re)', 'recall')}, {r6('avg(f1)', 'f1')},

@@ -526,6 +526,40 @@ def html_markdown(spark, base):
     return with_markdown(fx.raw_pages(spark, base)).select("page_id", "markdown")
 
 
+@query
+def text_constructs(spark, base):
+    """Constructs that the given pages lack, around the letters of each page's title."""
+    name = F.trim(F.regexp_replace(title_of("html_text"), "[^A-Za-z ]", ""))
+    markdown = F.concat(
+        F.lit("# "), "t", F.lit("\n\n```\n<b>"), "t", F.lit("</b> **x** &amp;\n```\n\n["), "t",
+        F.lit("][r] and [short]\n\nh1 | h2\n--|--\n"), "t",
+        F.lit(" | c\n\n*a **b *c **d *e **f** e* d** c* b** a* `*g*` &apos;&#146;&check;\n\n[r]: http://x\n[SHORT]: <y>"),
+    )
+    page = F.concat(
+        F.lit('<p title="x > y">'), "t", F.lit("</p><ruby>k<rt>z</ruby> q<template>no</template> &apos;"), "t",
+        F.lit("&check; <a b='>'>e</a><p>f<rt>g</p><p>h</p>"),
+    )
+    source = fx.raw_pages(spark, base).select("page_id", name.alias("t"))
+    return source.select(
+        "page_id",
+        F.regexp_replace(markup.strip_markdown(markdown), r"\s+", " ").alias("plain"),
+        markup.visible_text(page).alias("visible"),
+    )
+
+
+@query
+def wrapped_markdown(spark, base):
+    """Every page inside a form and the cell of a nested table: the same words as without."""
+    body = F.regexp_extract("html_text", r"(?s)<body>(.*)", 1)
+    wrapped = F.concat(
+        F.lit("<html><body><form action='/x'><table><tr>ahead<td>before<table><tr><td>"), body,
+        F.lit("</td></tr></table>behind</td></tr></table><pre>a  **b**</pre></form>"),
+    )
+    source = fx.raw_pages(spark, base).withColumn("html_text", wrapped)
+    words = F.trim(F.regexp_replace("markdown", r"[^\p{L}\p{N}]+", " "))
+    return with_markdown(source).select("page_id", words.alias("words"))
+
+
 # --- fragments ---------------------------------------------------------------
 
 
