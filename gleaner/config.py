@@ -24,9 +24,14 @@ PROVIDER_UNDECLARED = "(non dichiarato)"
 RULES_PROVIDER = "locale"
 REMOTE_PROVIDERS = ("openrouter",)
 
-# Replies.
+# Replies, and what is said of those that cannot be read.
 NOTHING_HERE = "NOTHING_HERE"
 FINISH_TRUNCATED = "length"
+JUDGE_WITHOUT_JSON = "No JSON object found in response: "
+JUDGE_BAD_JSON = "Invalid JSON from judge: "
+CHECK_CUT = "Reply cut at the {tokens} token ceiling, not a formatting error: "
+CHECK_WITHOUT_JSON = "No JSON object in reply: "
+CHECK_BAD_JSON = "Invalid JSON from model: "
 
 
 @dataclass(frozen=True)
@@ -43,7 +48,7 @@ class Budgets:
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Cut-offs of the reference-free checks."""
+    """Cut-offs of the reference-free checks. ``max_quotes`` of None keeps every quote."""
 
     anchor_words: int = 8
     line_chars: int = 40
@@ -51,7 +56,7 @@ class Thresholds:
     grounded_from: float = 0.6
     coherent_from: int = 3
     coherence_max: int = 5
-    max_quotes: int = 3
+    max_quotes: int | None = 3
     seam_lines: int = 12
     preview_chars: int = 1_000
     reply_excerpt: int = 200

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import BUDGETS, FINISH_TRUNCATED, NOTHING_HERE, THRESHOLDS
+from ..config import (
+    BUDGETS,
+    CHECK_BAD_JSON,
+    CHECK_CUT,
+    CHECK_WITHOUT_JSON,
+    FINISH_TRUNCATED,
+    JUDGE_BAD_JSON,
+    JUDGE_WITHOUT_JSON,
+    NOTHING_HERE,
+    THRESHOLDS,
+    Thresholds,
+)
 from .basic import SPACE_CLASS, Columnish, as_column, let, strip
 
 # What wraps a reply.
@@ -74,11 +85,11 @@ def _clamp(value: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
-def _excerpt(prefix: str, text: Column) -> Column:
-    return F.concat(F.lit(prefix), F.substring(text, 1, THRESHOLDS.reply_excerpt))
+def _excerpt(prefix: str, text: Column, limits: Thresholds) -> Column:
+    return F.concat(F.lit(prefix), F.substring(text, 1, limits.reply_excerpt))
 
 
-def parse_judge(raw: Columnish) -> Column:
+def parse_judge(raw: Columnish, limits: Thresholds = THRESHOLDS) -> Column:
     """struct<judge_score:int, judge_feedback:string>; an unreadable reply scores 1."""
     reply = as_column(raw)
 
@@ -97,10 +108,10 @@ def parse_judge(raw: Columnish) -> Column:
             return (
                 F.when(
                     json.isNull(),
-                    verdict(F.lit(1), _excerpt("No JSON object found in response: ", reply)),
+                    verdict(F.lit(1), _excerpt(JUDGE_WITHOUT_JSON, reply, limits)),
                 )
                 .when(F.coalesce(complete, F.lit(False)), verdict(_clamp(score, 1, 5), feedback))
-                .otherwise(verdict(F.lit(1), _excerpt("Invalid JSON from judge: ", json)))
+                .otherwise(verdict(F.lit(1), _excerpt(JUDGE_BAD_JSON, json, limits)))
             )
 
         return let(_fields(json), with_fields)
@@ -108,15 +119,17 @@ def parse_judge(raw: Columnish) -> Column:
     return let(_json_object(reply), read)
 
 
-def parse_check(raw: Columnish, finish_reason: Columnish | None = None) -> Column:
+def parse_check(
+    raw: Columnish, finish_reason: Columnish | None = None, limits: Thresholds = THRESHOLDS
+) -> Column:
     """A self-check verdict as ``CHECK_TYPE``.
 
     An unreadable reply is incoherent with score 0 and no quotes, and says in
-    its notes whether it was cut at the answer ceiling or badly formed.
+    its notes whether it was cut at the answer ceiling or badly formed. Of the
+    quotes the first ``limits.max_quotes`` are kept, or all.
     """
     reply = as_column(raw)
     finish = F.lit("") if finish_reason is None else F.coalesce(as_column(finish_reason), F.lit(""))
-    limits = THRESHOLDS
 
     def verdict(coherent, coherence, evidence, missing, notes) -> Column:
         return F.struct(
@@ -145,18 +158,14 @@ def parse_check(raw: Columnish, finish_reason: Columnish | None = None) -> Colum
             falsy = ("", "false", "0", "0.0", "[]", "{}")
             coherent = F.coalesce(~field("coherent").isin(*falsy), F.lit(False))
             missing = F.coalesce(json_list(field("missing")), F.array().cast("array<string>"))
-            missing = F.transform(
-                F.slice(missing, 1, limits.max_quotes), lambda q: F.coalesce(q, F.lit("None"))
-            )
-            ceiling = (
-                f"Reply cut at the {BUDGETS.check_answer_tokens} token ceiling, "
-                "not a formatting error: "
-            )
+            kept = missing if limits.max_quotes is None else F.slice(missing, 1, limits.max_quotes)
+            missing = F.transform(kept, lambda q: F.coalesce(q, F.lit("None")))
+            ceiling = CHECK_CUT.format(tokens=BUDGETS.check_answer_tokens)
             return (
                 F.when(
-                    json.isNull() & (finish == FINISH_TRUNCATED), unusable(_excerpt(ceiling, reply))
+                    json.isNull() & (finish == FINISH_TRUNCATED), unusable(_excerpt(ceiling, reply, limits))
                 )
-                .when(json.isNull(), unusable(_excerpt("No JSON object in reply: ", reply)))
+                .when(json.isNull(), unusable(_excerpt(CHECK_WITHOUT_JSON, reply, limits)))
                 .when(
                     F.coalesce(complete, F.lit(False)),
                     verdict(
@@ -167,7 +176,7 @@ def parse_check(raw: Columnish, finish_reason: Columnish | None = None) -> Colum
                         F.coalesce(field("notes"), F.lit("None")),
                     ),
                 )
-                .otherwise(unusable(_excerpt("Invalid JSON from model: ", json)))
+                .otherwise(unusable(_excerpt(CHECK_BAD_JSON, json, limits)))
             )
 
         return let(_fields(json), with_fields)

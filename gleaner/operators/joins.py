@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 32
+ROWS_PER_TASK = 2_000_000
+
+
+def salts_for(facts: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> int:
+    """How many parts the most frequent key must be cut into to leave ``rows_per_task`` rows in each."""
+    largest = facts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return max(1, -(-largest // rows_per_task))
 
 
 def spread_join(
@@ -14,17 +20,21 @@ def spread_join(
     keys: list[str],
     spread_on: list[str],
     how: str = "inner",
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join a large table with one row per key of ``lookup``, whatever the key's share.
 
-    A run or a domain may own a third of all pages. Its rows are spread over
-    ``salts`` join keys by a hash of ``spread_on`` (stable, so a retried task
-    agrees with itself) and ``lookup`` is repeated once per salt. No broadcast
-    is forced: Catalyst still picks one where its own size check allows it.
+    A run or a domain may own a third of all pages. The rows per key are counted
+    first; while none has more than a task should hold, this is a plain join, in
+    which Catalyst may broadcast the lookup. Else the rows are spread over as
+    many join keys as the count asks for, by a hash of ``spread_on`` (stable, so
+    a retried task agrees with itself), and ``lookup`` is repeated once per salt.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a spread join keeps the side of the facts: {how}")
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    parts = salts_for(facts, keys) if salts is None else salts
+    if parts == 1:
+        return facts.join(lookup, keys, how)
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), F.lit(parts)).cast("int"))
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -17,6 +17,7 @@ from ..config import (
     QUOTE_PRESENT,
     QUOTE_TOO_SHORT,
     THRESHOLDS,
+    Thresholds,
 )
 from ..functions.basic import Columnish, as_column, let, lines, ratio, strip
 from ..functions.markup import normalise, strip_markdown, visible_text
@@ -158,12 +159,11 @@ def all_scores(parsed: Columnish, gold: Columnish) -> Column:
 def with_scores(df: DataFrame, parsed: str = "parsed_text", gold: str = "gold_text") -> DataFrame:
     """Add the six metrics and the token counts for each row's pair of texts.
 
-    A row without a gold text gets NULLs: nothing was measured, which is not a
-    score of zero.
+    A row without a gold text or without an extraction gets NULLs: nothing was
+    measured, which is not a score of zero. An empty extraction is one.
     """
-    scored = df.withColumn(
-        "_scores", F.when(F.col(gold).isNotNull(), all_scores(parsed, gold))
-    )
+    both = F.col(gold).isNotNull() & F.col(parsed).isNotNull()
+    scored = df.withColumn("_scores", F.when(both, all_scores(parsed, gold)))
     return scored.select(
         *df.columns,
         *[F.col(f"_scores.tokens.{n}").alias(n) for n in TOKEN_FIELDS],
@@ -192,10 +192,12 @@ def word_counts(
     )
 
 
-def judge_previews(df: DataFrame, parsed: str = "parsed_text", gold: str = "gold_text") -> DataFrame:
+def judge_previews(
+    df: DataFrame, parsed: str = "parsed_text", gold: str = "gold_text", chars: int = THRESHOLDS.preview_chars
+) -> DataFrame:
     """The opening of both texts as a judge is shown them."""
     def preview(name: str) -> Column:
-        return F.substring(strip_markdown(F.col(name)), 1, THRESHOLDS.preview_chars)
+        return F.substring(strip_markdown(F.col(name)), 1, chars)
 
     return df.withColumn("parsed_preview", preview(parsed)).withColumn("gold_preview", preview(gold))
 
@@ -203,13 +205,11 @@ def judge_previews(df: DataFrame, parsed: str = "parsed_text", gold: str = "gold
 # --- reference-free checks ---------------------------------------------------
 
 
-def is_anchored(passage: Column, haystack: Column) -> Column:
-    """Whether a run of words of ``passage`` occurs in an already normalised text.
+def is_anchored(passage: Column, haystack: Column, size: int = THRESHOLDS.anchor_words) -> Column:
+    """Whether a run of ``size`` words of ``passage`` occurs in an already normalised text.
 
     ``haystack`` is used per window; bind it with ``let`` when it is computed.
     """
-    size = THRESHOLDS.anchor_words
-
     def look_up(text: Column) -> Column:
         def in_windows(parts: Column) -> Column:
             starts = F.sequence(F.lit(1), F.size(parts) - (size - 1))
@@ -226,14 +226,14 @@ def is_anchored(passage: Column, haystack: Column) -> Column:
     return let(normalise(passage), look_up)
 
 
-def grounded_fraction(markdown: Columnish, html: Columnish) -> Column:
+def grounded_fraction(markdown: Columnish, html: Columnish, limits: Thresholds = THRESHOLDS) -> Column:
     """Share of an extraction's long lines found on the page; NULL without long lines."""
     long_lines = F.filter(
-        lines(as_column(markdown)), lambda line: F.length(strip(line)) >= THRESHOLDS.line_chars
+        lines(as_column(markdown)), lambda line: F.length(strip(line)) >= limits.line_chars
     )
 
     def share(parts: Column) -> Column:
-        found = F.filter(parts.lines, lambda line: is_anchored(line, parts.page))
+        found = F.filter(parts.lines, lambda line: is_anchored(line, parts.page, limits.anchor_words))
         return F.try_divide(F.size(found).cast("double"), F.size(parts.lines))
 
     def measured(kept: Column) -> Column:
@@ -246,7 +246,9 @@ def grounded_fraction(markdown: Columnish, html: Columnish) -> Column:
     return let(long_lines, measured)
 
 
-def check_quotes(quotes: Columnish, markdown: Columnish, html: Columnish) -> Column:
+def check_quotes(
+    quotes: Columnish, markdown: Columnish, html: Columnish, limits: Thresholds = THRESHOLDS
+) -> Column:
     """array<struct<quote, verdict, in_page, in_extraction>>, blank quotes left out."""
     wanted = F.filter(
         F.transform(F.coalesce(as_column(quotes), F.array().cast("array<string>")), strip),
@@ -257,7 +259,7 @@ def check_quotes(quotes: Columnish, markdown: Columnish, html: Columnish) -> Col
         def one(quote: Column) -> Column:
             def judged(found: Column) -> Column:
                 verdict = (
-                    F.when(F.length(quote) < THRESHOLDS.quote_chars, QUOTE_TOO_SHORT)
+                    F.when(F.length(quote) < limits.quote_chars, QUOTE_TOO_SHORT)
                     .when(~found.in_page, QUOTE_INVENTED)
                     .when(found.in_extraction, QUOTE_PRESENT)
                     .otherwise(QUOTE_CONFIRMED)
@@ -271,8 +273,8 @@ def check_quotes(quotes: Columnish, markdown: Columnish, html: Columnish) -> Col
 
             return let(
                 F.struct(
-                    is_anchored(quote, parts.page).alias("in_page"),
-                    is_anchored(quote, parts.extraction).alias("in_extraction"),
+                    is_anchored(quote, parts.page, limits.anchor_words).alias("in_page"),
+                    is_anchored(quote, parts.extraction, limits.anchor_words).alias("in_extraction"),
                 ),
                 judged,
             )

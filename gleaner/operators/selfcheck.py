@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import THRESHOLDS
+from ..config import THRESHOLDS, Thresholds
 from ..functions.basic import strip
 from ..functions.replies import parse_check
 from .metrics import check_quotes, confirmed_omissions, grounded_fraction
 
 
-def with_verdicts(replies: DataFrame, raw: str = "raw", finish_reason: str = "finish_reason") -> DataFrame:
+def with_verdicts(
+    replies: DataFrame, raw: str = "raw", finish_reason: str = "finish_reason", limits: Thresholds = THRESHOLDS
+) -> DataFrame:
     """Add the parsed verdict of every reply as the struct ``verdict``."""
-    return replies.withColumn("verdict", parse_check(raw, finish_reason))
+    return replies.withColumn("verdict", parse_check(raw, finish_reason, limits))
 
 
-def merge_verdicts(verdicts: DataFrame, keys: list[str]) -> DataFrame:
+def merge_verdicts(verdicts: DataFrame, keys: list[str], limits: Thresholds = THRESHOLDS) -> DataFrame:
     """One verdict per page: incoherent if any piece is, with the lowest score any piece gave.
 
     Expects ``n`` and ``verdict``. A page has as many verdicts as fragments.
     The notes are those of the pieces that objected; a page checked in one
-    piece keeps its own words.
+    piece keeps its own words. ``claimed_total`` counts the quotes of all
+    pieces, of which the first ``limits.max_quotes`` are kept, or all.
     """
     gathered = verdicts.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("n", "verdict"))).alias("_pieces"),
@@ -34,7 +37,7 @@ def merge_verdicts(verdicts: DataFrame, keys: list[str]) -> DataFrame:
 
     def complaint(piece: Column, i: Column) -> Column:
         objects = (
-            ~piece.coherent | (piece.coherence < THRESHOLDS.coherence_max) | (F.size(piece.missing) > 0)
+            ~piece.coherent | (piece.coherence < limits.coherence_max) | (F.size(piece.missing) > 0)
         )
         place = F.concat(F.lit("[pezzo "), (i + 1).cast("string"), F.lit("/"), total, F.lit("] "))
         return F.when(objects, F.concat(place, strip(piece.notes)))
@@ -56,13 +59,16 @@ def merge_verdicts(verdicts: DataFrame, keys: list[str]) -> DataFrame:
         F.when(single, pieces[0].coherence_evidence)
         .otherwise(F.coalesce(F.get(worst, F.lit(0)).coherence_evidence, F.lit("")))
         .alias("coherence_evidence"),
-        F.slice(quotes, 1, THRESHOLDS.max_quotes).alias("claimed_missing"),
+        (quotes if limits.max_quotes is None else F.slice(quotes, 1, limits.max_quotes)).alias("claimed_missing"),
+        F.size(quotes).alias("claimed_total"),
         F.when(single, pieces[0].notes).otherwise(merged_notes).alias("notes"),
         "check_fragments",
     )
 
 
-def check_records(merged: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+def check_records(
+    merged: DataFrame, texts: DataFrame, keys: list[str], limits: Thresholds = THRESHOLDS
+) -> DataFrame:
     """Verdicts with their quotes looked up in the whole page and the whole extraction.
 
     ``texts`` holds ``html_text`` and ``parsed_text`` per key. Completeness is
@@ -70,14 +76,14 @@ def check_records(merged: DataFrame, texts: DataFrame, keys: list[str]) -> DataF
     """
     checked = merged.join(texts.select(*keys, "html_text", "parsed_text"), keys).withColumns(
         {
-            "quote_checks": check_quotes("claimed_missing", "parsed_text", "html_text"),
-            "grounded": grounded_fraction("parsed_text", "html_text"),
+            "quote_checks": check_quotes("claimed_missing", "parsed_text", "html_text", limits),
+            "grounded": grounded_fraction("parsed_text", "html_text", limits),
         }
     )
     return checked.drop("html_text", "parsed_text").withColumns(
         {
             "omissions": confirmed_omissions("quote_checks"),
             "complete": confirmed_omissions("quote_checks") == 0,
-            "coherent_by_score": F.col("coherence") >= THRESHOLDS.coherent_from,
+            "coherent_by_score": F.col("coherence") >= limits.coherent_from,
         }
     )

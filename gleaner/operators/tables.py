@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import OK
@@ -26,33 +26,46 @@ def _union(left: DataFrame, right: DataFrame) -> DataFrame:
 def one_per_key(
     rows: DataFrame, keys: list[str], order: str | None = None, last: bool = True
 ) -> DataFrame:
-    """One row per key: the last (or first) by ``order``, any one when no order is given.
+    """One row per key: the last (or first) by ``order``, in the same way on every run.
 
-    Copies of a key are reduced before the shuffle, and a join that follows on
-    the same keys needs no further one.
+    Rows that ``order`` does not tell apart, all of a key when none is given, are
+    told apart by a hash of their content. Spark drops the other copies before
+    the shuffle, and a join that follows on the same keys needs no further one.
     """
-    if order is None:
-        return rows.dropDuplicates(keys)
-    rest = [c for c in rows.columns if c not in keys]
-    pick = F.max_by if last else F.min_by
-    return rows.groupBy(*keys).agg(pick(F.struct(*rest), F.col(order)).alias("_row")).select(*keys, "_row.*")
+    content = F.xxhash64(*[c for c in rows.columns if c not in keys])
+    places = [*([F.col(order)] if order is not None else []), content]
+    by = [p.desc_nulls_last() if last else p.asc_nulls_last() for p in places]
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+    return placed.where(F.col("_place") == 1).drop("_place")
+
+
+def _without(df: DataFrame, order: str | None, columns: list[str]) -> DataFrame:
+    """``df`` without the column that only told copies apart."""
+    return df if order is None or order in columns else df.drop(order)
 
 
 def insert_absent(
     existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None
 ) -> DataFrame:
     """Add rows whose key is not there yet; of several with one key the first by ``order``."""
-    fresh = one_per_key(new, keys, order, last=False)
-    if order is not None and order not in existing.columns:
-        fresh = fresh.drop(order)
+    fresh = _without(one_per_key(new, keys, order, last=False), order, existing.columns)
     return _union(existing, fresh.join(existing.select(*keys), keys, "left_anti"))
 
 
-def insert_entries(pages: DataFrame, gold: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bulk load of pages with their gold texts, existing rows untouched."""
-    new_pages = entries.select(*[c for c in pages.columns if c in entries.columns])
-    new_gold = entries.select(*[c for c in gold.columns if c in entries.columns])
-    return insert_absent(pages, new_pages, ["url"]), insert_absent(gold, new_gold, ["url"])
+def insert_entries(
+    pages: DataFrame, gold: DataFrame, entries: DataFrame, order: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Bulk load of pages with their gold texts, existing rows untouched.
+
+    Of several entries for a URL the first by ``order`` gives both, page and gold.
+    """
+    once = one_per_key(entries, ["url"], order, last=False)
+
+    def added(table: DataFrame) -> DataFrame:
+        fresh = once.select(*[c for c in table.columns if c in entries.columns])
+        return _union(table, fresh.join(table.select("url"), "url", "left_anti"))
+
+    return added(pages), added(gold)
 
 
 def upsert(
@@ -62,9 +75,11 @@ def upsert(
 
     Of several new rows with one key the last by ``order`` counts.
     """
-    new = one_per_key(new, keys, order)
-    if order is not None and order not in existing.columns:
-        new = new.drop(order)
+    return _replace(existing, _without(one_per_key(new, keys, order), order, existing.columns), keys)
+
+
+def _replace(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Replace rows by key; ``new`` has one row per key."""
     kept = [c for c in existing.columns if c not in new.columns]
     untouched = existing.join(new.select(*keys), keys, "left_anti")
     if not kept:
@@ -73,20 +88,20 @@ def upsert(
     return untouched.unionByName(carried)
 
 
-def upsert_pages(pages: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Store fetched pages (``url, html_text``); domain and title are read off them."""
-    return upsert(
-        pages,
-        fetched.select(
-            "url",
-            domain_of("url").alias("domain"),
-            title_of("html_text").alias("title"),
-            "html_text",
-        ),
-        ["url"],
+def _as_pages(fetched: DataFrame) -> DataFrame:
+    return fetched.select(
+        "url", domain_of("url").alias("domain"), title_of("html_text").alias("title"), "html_text"
     )
 
 
+def upsert_pages(pages: DataFrame, fetched: DataFrame, order: str | None = None) -> DataFrame:
+    """Store fetched pages (``url, html_text``), of several fetches of a URL the last by ``order``.
+
+    Domain and title are read off them.
+    """
+    return _replace(pages, _as_pages(one_per_key(fetched, ["url"], order)), ["url"])
+
+
 @dataclass(frozen=True)
 class Guarded:
     """A table after a guarded write, and the rows that were turned away."""
@@ -95,21 +110,28 @@ class Guarded:
     rejected: DataFrame
 
 
-def upsert_gold(gold: DataFrame, pages: DataFrame, new: DataFrame) -> Guarded:
-    """Store gold texts of known pages; the others are handed back."""
+def upsert_gold(gold: DataFrame, pages: DataFrame, new: DataFrame, order: str | None = None) -> Guarded:
+    """Store gold texts of known pages, of several for a URL the last by ``order``; the others are handed back."""
     known = pages.select("url")
     return Guarded(
-        upsert(gold, new.join(known, "url", "left_semi"), ["url"]),
+        upsert(gold, new.join(known, "url", "left_semi"), ["url"], order),
         new.join(known, "url", "left_anti"),
     )
 
 
 def save_pages_with_gold(
-    pages: DataFrame, gold: DataFrame, entries: DataFrame
+    pages: DataFrame, gold: DataFrame, entries: DataFrame, order: str | None = None
 ) -> tuple[DataFrame, Guarded]:
-    """Pages first, then their gold texts against the pages as just written."""
-    stored = upsert_pages(pages, entries.select("url", "html_text"))
-    return stored, upsert_gold(gold, stored, entries.select("url", "gold_text"))
+    """Pages first, then their gold texts against the pages as just written.
+
+    Of several entries for a URL the last by ``order`` gives both, page and gold;
+    none can be turned away, as each brings its page.
+    """
+    once = one_per_key(entries, ["url"], order)
+    stored = _replace(pages, _as_pages(once), ["url"])
+    return stored, Guarded(
+        _replace(gold, once.select("url", "gold_text"), ["url"]), once.select("url", "gold_text").where("false")
+    )
 
 
 def delete_pages(
@@ -129,9 +151,11 @@ def removed_rows(urls: DataFrame, table: DataFrame) -> DataFrame:
     return table.join(urls.select("url").distinct(), "url", "left_semi")
 
 
-def upsert_group(evaluations: DataFrame, new: DataFrame, group: tuple[str, ...]) -> DataFrame:
-    """Write one group of columns per URL and leave the other groups as they are."""
-    fresh = one_per_key(new, ["url"]).select("url", F.lit(True).alias("_written"), *[F.col(c).alias(f"_new_{c}") for c in group])
+def upsert_group(
+    evaluations: DataFrame, new: DataFrame, group: tuple[str, ...], order: str | None = None
+) -> DataFrame:
+    """Write one group of columns per URL, the last by ``order``, and leave the other groups as they are."""
+    fresh = one_per_key(new, ["url"], order).select("url", F.lit(True).alias("_written"), *[F.col(c).alias(f"_new_{c}") for c in group])
     joined = evaluations.join(fresh, "url", "full_outer")
     written = F.coalesce(F.col("_written"), F.lit(False))
 
@@ -143,12 +167,12 @@ def upsert_group(evaluations: DataFrame, new: DataFrame, group: tuple[str, ...])
     return joined.select(*[value(c) for c in evaluations.columns])
 
 
-def save_metrics(evaluations: DataFrame, scores: DataFrame) -> DataFrame:
-    return upsert_group(evaluations, scores, METRIC_GROUP)
+def save_metrics(evaluations: DataFrame, scores: DataFrame, order: str | None = None) -> DataFrame:
+    return upsert_group(evaluations, scores, METRIC_GROUP, order)
 
 
-def save_judge_scores(evaluations: DataFrame, scores: DataFrame) -> DataFrame:
-    return upsert_group(evaluations, scores, JUDGE_GROUP)
+def save_judge_scores(evaluations: DataFrame, scores: DataFrame, order: str | None = None) -> DataFrame:
+    return upsert_group(evaluations, scores, JUDGE_GROUP, order)
 
 
 def replace_runs(
@@ -179,14 +203,14 @@ CHECK_COLUMNS = {
 }
 
 
-def attach_checks(page_results: DataFrame, results: DataFrame) -> Guarded:
+def attach_checks(page_results: DataFrame, results: DataFrame, order: str | None = None) -> Guarded:
     """Write verdicts onto the pages they belong to; results without a page are handed back.
 
-    Only finished checks count. An empty list is stored as NULL, and a
+    Only finished checks count, of several for a page the last by ``order``. An empty list is stored as NULL, and a
     grounding already there survives a result that has none.
     """
     keys = ["run_id", "url"]
-    done = one_per_key(results.where(F.col("status") == OK), keys)
+    done = one_per_key(results.where(F.col("status") == OK), keys, order)
     sources = {k: v for k, v in CHECK_COLUMNS.items() if v in results.columns}
 
     def incoming(name: str) -> Column:
@@ -216,9 +240,9 @@ def attach_checks(page_results: DataFrame, results: DataFrame) -> Guarded:
     )
 
 
-def set_measured_cost(runs: DataFrame, costs: DataFrame) -> DataFrame:
-    """Record what whole runs cost (``label, cost_eur``); other runs keep theirs."""
-    fresh = one_per_key(costs, ["label"]).select("label", F.col("cost_eur").alias("_cost"), F.lit(True).alias("_given"))
+def set_measured_cost(runs: DataFrame, costs: DataFrame, order: str | None = None) -> DataFrame:
+    """Record what whole runs cost (``label, cost_eur``), the last by ``order``; other runs keep theirs."""
+    fresh = one_per_key(costs, ["label"], order).select("label", F.col("cost_eur").alias("_cost"), F.lit(True).alias("_given"))
     return (
         runs.join(fresh, "label", "left")
         .withColumn(
@@ -251,6 +275,12 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
 # --- selecting pages to work on ----------------------------------------------
 
 
+def supported_urls(pages: DataFrame, gold: DataFrame) -> DataFrame:
+    """``url`` of the pages of domains with at least one gold text; no other column takes part."""
+    domains = gold.select(domain_of("url").alias("domain")).distinct()
+    return spread_join(pages.select("url", "domain"), domains, ["domain"], ["url"], "left_semi").select("url")
+
+
 def supported_pages(pages: DataFrame, gold: DataFrame) -> DataFrame:
     """Pages of domains with at least one gold text."""
     domains = gold.select(domain_of("url").alias("domain")).distinct()
@@ -283,22 +313,29 @@ def checkable(page_results: DataFrame) -> DataFrame:
     return page_results.where((F.col("status") == OK) & (F.coalesce(F.col("parsed_text"), F.lit("")) != ""))
 
 
-def with_stored_fallback(fetched: DataFrame, pages: DataFrame) -> Guarded:
+def with_stored_fallback(
+    fetched: DataFrame, pages: DataFrame, wanted: DataFrame | None = None
+) -> Guarded:
     """Fetched pages, the stored copy standing in where the fetch failed.
 
     ``fetched`` holds ``url, html_text`` with NULL for a failed fetch; pages
-    that failed and were never stored are handed back. Stored HTML is only
-    read for the failed ones, whose URLs alone take part in that join.
+    that failed and were never stored are handed back. ``wanted`` (``url``)
+    leaves out the others. What is stored and wanted is decided on URLs alone;
+    the fetched HTML then moves once, and stored HTML is only read for the
+    failed pages.
     """
-    stored = pages.select("url", F.lit(True).alias("_stored"))
-    seen = fetched.join(stored, "url", "left")
+    facts = pages.select("url", F.lit(True).alias("_stored"))
+    if wanted is not None:
+        facts = wanted.select("url").distinct().withColumn("_wanted", F.lit(True)).join(facts, "url", "left")
+    how = "left" if wanted is None else "inner"
+    seen = fetched.join(facts, "url", how)
     live = seen.where(F.col("html_text").isNotNull()).select(
         *fetched.columns,
         F.lit(False).alias("fallback_used"),
         F.col("_stored").isNull().alias("first_seen"),
     )
-    failed = seen.where(F.col("html_text").isNull())
     rest = [c for c in fetched.columns if c != "html_text"]
+    failed = fetched.where(F.col("html_text").isNull()).select(*rest).join(facts, "url", how)
     replaced = (
         failed.where(F.col("_stored"))
         .select(*rest)

@@ -9,7 +9,7 @@ from ..functions.markup import strip_markdown
 from ..functions.urls import domain_of, title_of
 from ..operators.fragments import assemble_answers
 from ..operators.metrics import grounded_fraction
-from ..operators.tables import Guarded, supported_pages, upsert_pages, with_stored_fallback
+from ..operators.tables import Guarded, supported_urls, upsert_pages, with_stored_fallback
 from .evaluate import extract
 
 
@@ -49,8 +49,8 @@ def parse_fetched(
     first-seen pages added, and the fetches with their fallback copies and
     rejects.
     """
-    wanted = supported_pages(fetched.withColumn("domain", domain_of("url")), gold).drop("domain")
-    resolved = with_stored_fallback(wanted, pages)
+    wanted = supported_urls(fetched.select("url", domain_of("url").alias("domain")), gold)
+    resolved = with_stored_fallback(fetched, pages, wanted)
     parsed = extract(
         resolved.table.withColumns({"domain": domain_of("url"), "title": title_of("html_text")})
     ).withColumn("cleaned_text", strip_markdown("parsed_text"))

@@ -99,39 +99,52 @@ def domain_quality(evaluations: DataFrame, pages: DataFrame) -> DataFrame:
     return measured.groupBy("domain").agg(*[F.avg(m).alias(m) for m in METRIC_COLUMNS])
 
 
+def _domain_facts(pages: DataFrame, gold: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """One row per domain from one pass over the three tables, joined on their key.
+
+    ``_evaluated`` counts the pages with metrics or a judge score, ``_anything``
+    those of all domains: one row per domain takes part in that sum.
+    """
+    measured = F.col("precision_val").isNotNull()
+    either = measured | F.col("judge_score").isNotNull()
+    marked = (
+        pages.select("url", "domain")
+        .join(gold.select("url", F.lit(1).alias("_gold")), "url", "left")
+        .join(evaluations.select("url", *METRIC_COLUMNS, "judge_score"), "url", "left")
+    )
+    facts = marked.groupBy("domain").agg(
+        F.count("*").alias("pages"),
+        F.count("_gold").alias("gold_pages"),
+        F.count(F.when(either, 1)).alias("_evaluated"),
+        *[F.avg(F.when(measured, F.col(m))).alias(m) for m in METRIC_COLUMNS],
+        *[F.avg(F.when(either, F.col(n))).alias(f"_judged_{n}") for n in ("judge_score", "f1", "cosine")],
+    )
+    return facts.withColumn("_anything", F.sum("_evaluated").over(Window.partitionBy(F.lit(0))))
+
+
+def _judged(name: str) -> Column:
+    """A mean over the evaluated pages, 0.0 where they lack it or nothing is evaluated anywhere."""
+    return F.when(
+        (F.col("_evaluated") > 0) | (F.col("_anything") == 0), F.coalesce(F.col(f"_judged_{name}"), F.lit(0.0))
+    )
+
+
 def domain_judge(evaluations: DataFrame, pages: DataFrame, gold: DataFrame) -> DataFrame:
     """Mean judge score, F1 and cosine per domain, 0.0 where nothing is known.
 
     With no evaluation at all, every gold domain is listed with zeros.
     """
-    either = F.col("precision_val").isNotNull() | F.col("judge_score").isNotNull()
-    names = ("judge_score", "f1", "cosine")
-    known = (
-        _evaluated_pages(evaluations, pages, either)
-        .groupBy("domain")
-        .agg(*[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names])
-    )
-    # One row at most, so the broadcast is bounded whatever the tables hold.
-    anything = evaluations.where(either).limit(1).select(F.lit(1).alias("_any"))
-    zeros = (
-        gold_per_domain(gold, pages)
-        .select("domain", F.lit(1).alias("_any"))
-        .join(F.broadcast(anything), "_any", "left_anti")
-        .select("domain", *[F.lit(0.0).alias(n) for n in names])
-    )
-    return known.unionByName(zeros)
+    facts = _domain_facts(pages, gold, evaluations)
+    listed = facts.where((F.col("_evaluated") > 0) | ((F.col("_anything") == 0) & (F.col("gold_pages") > 0)))
+    return listed.select("domain", *[_judged(n).alias(n) for n in ("judge_score", "f1", "cosine")])
 
 
 def domain_dashboard(pages: DataFrame, gold: DataFrame, evaluations: DataFrame) -> DataFrame:
     """Per gold domain: pages, gold pages, the six means and the judge's, NULL where not computed."""
-    judge = domain_judge(evaluations, pages, gold).select("domain", "judge_score")
-    return (
-        gold_per_domain(gold, pages)
-        .join(pages_per_domain(pages), "domain", "left")
-        .join(domain_quality(evaluations, pages), "domain", "left")
-        .join(judge, "domain", "left")
-        .orderBy("domain")
-    )
+    facts = _domain_facts(pages, gold, evaluations).where(F.col("gold_pages") > 0)
+    return facts.select(
+        "domain", "gold_pages", "pages", *METRIC_COLUMNS, _judged("judge_score").alias("judge_score")
+    ).orderBy("domain")
 
 
 def corpus_listing(

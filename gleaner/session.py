@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Page texts run to megabytes, so input splits stay small and AQE merges what
@@ -34,12 +32,12 @@ def build_session(app_name: str = "gleaner", master: str | None = None, **extra:
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the cluster's shared folder, so a lost executor costs no recomputation.
 
-    Only a local session without ``spark.checkpoint.dir`` gets a folder of its own.
+    A session without ``spark.checkpoint.dir`` uses a folder below its
+    warehouse, which all executors share as well.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
+        warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(shared or f"{warehouse}/_checkpoints")
     return df.checkpoint()

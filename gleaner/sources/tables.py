@@ -30,10 +30,11 @@ def save_keyed(df: DataFrame, name: str, buckets: int, key: str = "url") -> None
 def save_page_results(df: DataFrame, path: str) -> None:
     """Store page results one folder per run, so reading a run reads only its files.
 
-    Rows are spread by URL within a run first: a large run is written by many
-    tasks and does not end up in one file.
+    Spark balances the rows by run before they are written: small runs share a
+    task, a large one is cut into as many as its bytes ask for
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``).
     """
-    spread = df.repartition(F.col("run_id"), F.pmod(F.xxhash64("url"), F.lit(32)))
+    spread = df.hint("rebalance", F.col("run_id"))
     spread.write.mode("overwrite").partitionBy("run_id").parquet(path)
 
 

@@ -8,8 +8,6 @@ pages are, such as their scheme or whether their HTML is complete.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,26 +84,13 @@ JUDGE_REPLY = """CASE
  ELSE concat('```json', chr(10), '{"feedback": "f', page_id, '", "score": ', (page_id + n) % 6, '}', chr(10), '```') END"""
 
 
-KEYS = {
-    "pages": "page_id", "documents": "doc_id", "labels": "doc_id", "benchmark": "item_id",
-    "conversations": "conv_id",
-}
-SPREAD_BELOW = 256 << 20
-
-
-def table(spark: SparkSession, base: str, name: str, spread: bool = True) -> DataFrame:
-    """A given table. The small ones are one row group each, which is one task however many cores
-    there are, so below a checked size they are spread over the cores first; a large table has
-    splits enough and is left where it lies."""
-    path = f"{base}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if spread and name in KEYS and os.path.isfile(path) and os.path.getsize(path) < SPREAD_BELOW:
-        return df.repartition(spark.sparkContext.defaultParallelism, KEYS[name])
-    return df
+def table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """A given table, split as Spark splits its files."""
+    return spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def raw_pages(spark: SparkSession, base: str, spread: bool = True) -> DataFrame:
-    return table(spark, base, "pages", spread).select(
+def raw_pages(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "pages").select(
         "page_id", "url", domain_of("url").alias("domain"), F.col("html").alias("html_text")
     )
 
@@ -171,7 +156,7 @@ def evaluations(spark: SparkSession, base: str) -> DataFrame:
         "jaccard": "CAST(page_id % 967 AS DOUBLE) / 971",
         "excess_ratio": "CAST(page_id % 953 AS DOUBLE) / 967",
     }
-    return raw_pages(spark, base, spread=False).where(f"{SECURE} OR {DOT_COM}").select(
+    return raw_pages(spark, base).where(f"{SECURE} OR {DOT_COM}").select(
         "url",
         *[F.expr(f"CASE WHEN {SECURE} THEN {e} END").alias(n) for n, e in metrics.items()],
         F.expr(f"CASE WHEN {DOT_COM} THEN CAST(1 + page_id % 5 AS INT) END").alias("judge_score"),
@@ -195,7 +180,7 @@ def page_results(spark: SparkSession, base: str) -> DataFrame:
         )
     ).alias("r")
     base_rows = (
-        raw_pages(spark, base, spread=False)
+        raw_pages(spark, base)
         .select(
             "page_id", "url", "domain",
             F.floor(F.length("html_text") / F.lit(3.0)).cast("long").alias("input_tokens"),

@@ -197,7 +197,7 @@ CTES = {
         ("verdicts",),
         """SELECT page_id, url, bool_and(coherent) AS coherent, min(coherence) AS coherence,
  coalesce(first(coherence_evidence ORDER BY n) FILTER (WHERE coherence = worst AND trim(coherence_evidence) <> ''), '') AS coherence_evidence,
- flatten(list(missing ORDER BY n))[1:3] AS claimed_missing,
+ flatten(list(missing ORDER BY n)) AS claimed_missing,
  coalesce(string_agg(concat('[pezzo ', n, '/3] ', trim(notes)), ' ' ORDER BY n)
   FILTER (WHERE NOT coherent OR coherence < 5 OR len(missing) > 0), 'Nessun problema trovato in 3 pezzi.') AS notes,
  3 AS check_fragments
@@ -537,7 +537,7 @@ def _doc_scores() -> str:
 
 
 def oracles() -> dict[str, str]:
-    size = "length(html_text) AS chars"
+    size = "md5(html_text) AS html"
     out: dict[str, str] = {}
 
     out["token_level_eval"] = sql(f"SELECT page_id, {TOKEN_COLUMNS} FROM tl", "tl", extra=PAIR_SCORES)
@@ -820,7 +820,7 @@ def oracles() -> dict[str, str]:
         "SELECT page_id, n, coherent, coherence, coherence_evidence, array_to_string(missing, '|') AS missing, notes FROM verdicts", "verdicts"
     )
     out["merge_checks"] = sql(
-        "SELECT page_id, coherent, coherence, coherence_evidence, array_to_string(claimed_missing, '|') AS claimed_missing, notes, check_fragments FROM merged",
+        "SELECT page_id, coherent, coherence, coherence_evidence, array_to_string(claimed_missing, '|') AS claimed_missing, notes, len(claimed_missing) AS claimed_total, check_fragments FROM merged",
         "merged",
     )
     out["json_lists"] = sql(
@@ -922,21 +922,23 @@ GROUP BY 1"""
  {h1} AS context_heading FROM p""", "p",
     )
 
-    absent = "SELECT * FROM incoming WHERE url NOT IN (SELECT url FROM stored)"
+    absent = "SELECT * REPLACE (concat(html_text, ' copy 1') AS html_text) FROM incoming WHERE url NOT IN (SELECT url FROM stored)"
     sized = f"url, domain, title, {size}"
     out["insert_absent"] = sql(f"SELECT {sized} FROM (SELECT * FROM stored UNION ALL {absent})", "stored", "incoming")
     out["insert_entries"] = sql(
-        f"SELECT {sized}, length({ARTICLE}) AS gold_chars FROM p", "p"
+        f"""SELECT url, domain, title, md5(concat(html_text, CASE WHEN NOT {fx.SECURE} THEN ' copy 1' ELSE '' END)) AS html,
+ concat({ARTICLE}, CASE WHEN NOT ({fx.SECURE} AND {fx.COMPLETE}) THEN ' copy 1' ELSE '' END) AS gold_text FROM p""", "p"
     )
-    upserted = "(SELECT * FROM stored WHERE url NOT IN (SELECT url FROM incoming) UNION ALL SELECT * FROM incoming)"
+    upserted = "(SELECT * FROM stored WHERE url NOT IN (SELECT url FROM incoming) UNION ALL SELECT * REPLACE (concat(html_text, ' copy 3') AS html_text) FROM incoming)"
     out["upsert_pages"] = sql(f"SELECT {sized} FROM {upserted}", "stored", "incoming")
     out["guarded_gold"] = sql(
         f"""SELECT url, gold_text, false AS rejected FROM gold WHERE {fx.SECURE} AND url NOT IN (SELECT url FROM incoming)
- UNION ALL SELECT url, concat('gold of ', url), url NOT IN (SELECT url FROM stored) FROM incoming""", "gold", "stored", "incoming",
+ UNION ALL SELECT url, concat('gold of ', url, ' copy ', k), url NOT IN (SELECT url FROM stored) FROM incoming, range(1, 4) AS r(k)
+ WHERE k = 3 OR url NOT IN (SELECT url FROM stored)""", "gold", "stored", "incoming",
     )
     out["save_pages_with_gold"] = sql(
         f"""SELECT {sized}, gold_text FROM {upserted} LEFT JOIN (SELECT url, gold_text FROM gold WHERE {fx.SECURE} AND url NOT IN (SELECT url FROM incoming)
- UNION ALL SELECT url, concat('gold of ', url) FROM incoming) USING (url)""", "gold", "stored", "incoming",
+ UNION ALL SELECT url, concat('gold of ', url, ' copy 3') FROM incoming) USING (url)""", "gold", "stored", "incoming",
     )
     out["cascade_delete"] = sql(
         f"""SELECT url, 'pages' AS kept_in FROM p WHERE NOT {fx.DOT_COM} UNION ALL SELECT url, 'gold' FROM gold WHERE NOT {fx.DOT_COM}
@@ -998,7 +1000,8 @@ GROUP BY 1"""
  (SELECT run_id, count(*) AS n FROM res GROUP BY 1) USING (run_id)""", "res",
     )
     out["check_records"] = sql(
-        f"""SELECT url, coherent, coherence, coherence >= 3 AS coherent_by_score, 0 AS omissions, true AS complete, check_fragments FROM merged""",
-        "merged",
+        """SELECT url, coherent, coherence, coherence >= 3 AS coherent_by_score, CAST(missed AS INT) AS omissions, NOT missed AS complete,
+ check_fragments FROM merged JOIN (SELECT url, page_id % 2 = 1 AND length(title) >= 25 AND NOT contains(title, '&') AS missed FROM p) USING (url)""",
+        "merged", "p",
     )
     return out

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.config import SETTLED_PARSE
+from gleaner.config import SETTLED_PARSE, THRESHOLDS
 from gleaner.functions import markup, replies as reply_functions
 from gleaner.functions.tokens import estimate_tokens, token_bag, token_set
 from gleaner.functions.urls import domain_of, host_of, page_context, title_of
@@ -26,6 +27,7 @@ from . import fixtures as fx
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
+ALL_QUOTES = replace(THRESHOLDS, max_quotes=None)
 SMALL_BUDGET = 400
 SWEEP = (200, 400, 800, 1600)
 
@@ -431,7 +433,7 @@ def cleaning_audit(spark, base):
 
 @query
 def check_parse(spark, base):
-    verdicts = selfcheck.with_verdicts(fx.check_replies(spark, base))
+    verdicts = selfcheck.with_verdicts(fx.check_replies(spark, base), limits=ALL_QUOTES)
     return verdicts.select(
         "page_id", "n", "verdict.coherent", "verdict.coherence", "verdict.coherence_evidence",
         F.array_join("verdict.missing", "|").alias("missing"), "verdict.notes",
@@ -440,15 +442,22 @@ def check_parse(spark, base):
 
 @query
 def merge_checks(spark, base):
-    merged = selfcheck.merge_verdicts(selfcheck.with_verdicts(fx.check_replies(spark, base)), ["page_id"])
+    verdicts = selfcheck.with_verdicts(fx.check_replies(spark, base), limits=ALL_QUOTES)
+    merged = selfcheck.merge_verdicts(verdicts, ["page_id"], ALL_QUOTES)
     return merged.withColumn("claimed_missing", F.array_join("claimed_missing", "|"))
 
 
 @query
 def check_records(spark, base):
-    merged = selfcheck.merge_verdicts(selfcheck.with_verdicts(fx.check_replies(spark, base)), ["url"])
-    texts = fx.raw_pages(spark, base).select("url", "html_text", fx.article_text().alias("parsed_text"))
-    records = selfcheck.check_records(merged, texts, ["url"])
+    verdicts = selfcheck.with_verdicts(fx.check_replies(spark, base), limits=ALL_QUOTES)
+    merged = selfcheck.merge_verdicts(verdicts, ["url"], ALL_QUOTES)
+    # The title is a quote of every page; every second extraction lacks it, as it is empty.
+    titles = fx.pages(spark, base).select("url", "title")
+    quoted = merged.join(titles, "url").withColumn("claimed_missing", F.concat("claimed_missing", F.array("title"))).drop("title")
+    texts = fx.raw_pages(spark, base).select(
+        "url", "html_text", F.when(F.col("page_id") % 2 == 0, fx.article_text()).otherwise("").alias("parsed_text")
+    )
+    records = selfcheck.check_records(quoted, texts, ["url"])
     return records.select("url", "coherent", "coherence", "coherent_by_score", "omissions", "complete", "check_fragments")
 
 
@@ -682,33 +691,40 @@ def _incoming(spark, base):
     )
 
 
-def _page_sizes(df):
-    return df.select("url", "domain", "title", F.length("html_text").alias("chars"))
+def _copies(df, column):
+    """Three rows per key that differ in ``column``; ``seq`` tells which came first."""
+    copies = df.withColumn("seq", F.explode(F.array(F.lit(2), F.lit(1), F.lit(3))))
+    return copies.withColumn(column, F.concat(column, F.lit(" copy "), "seq"))
+
+
+def _page_hashes(df):
+    return df.select("url", "domain", "title", F.md5("html_text").alias("html"))
 
 
 @query
 def insert_absent(spark, base):
     incoming = _incoming(spark, base).select("url", domain_of("url").alias("domain"), title_of("html_text").alias("title"), "html_text")
-    return _page_sizes(tables.insert_absent(_stored_pages(spark, base), incoming, ["url"]))
+    return _page_hashes(tables.insert_absent(_stored_pages(spark, base), _copies(incoming, "html_text"), ["url"], "seq"))
 
 
 @query
 def insert_entries(spark, base):
     entries = fx.pages(spark, base).select("url", "domain", "title", "html_text", fx.article_text().alias("gold_text"))
     gold = fx.gold(spark, base).where(fx.SECURE)
-    new_pages, new_gold = tables.insert_entries(_stored_pages(spark, base), gold, entries)
-    return _page_sizes(new_pages).join(new_gold.select("url", F.length("gold_text").alias("gold_chars")), "url")
+    entries = _copies(entries, "html_text").withColumn("gold_text", F.concat("gold_text", F.lit(" copy "), "seq"))
+    new_pages, new_gold = tables.insert_entries(_stored_pages(spark, base), gold, entries, "seq")
+    return _page_hashes(new_pages).join(new_gold.select("url", "gold_text"), "url")
 
 
 @query
 def upsert_pages(spark, base):
-    return _page_sizes(tables.upsert_pages(_stored_pages(spark, base), _incoming(spark, base)))
+    return _page_hashes(tables.upsert_pages(_stored_pages(spark, base), _copies(_incoming(spark, base), "html_text"), "seq"))
 
 
 @query
 def guarded_gold(spark, base):
     new = _incoming(spark, base).select("url", F.concat(F.lit("gold of "), "url").alias("gold_text"))
-    written = tables.upsert_gold(fx.gold(spark, base).where(fx.SECURE), _stored_pages(spark, base), new)
+    written = tables.upsert_gold(fx.gold(spark, base).where(fx.SECURE), _stored_pages(spark, base), _copies(new, "gold_text"), "seq")
     kept = written.table.select("url", "gold_text", F.lit(False).alias("rejected"))
     return kept.unionByName(written.rejected.select("url", "gold_text", F.lit(True).alias("rejected")))
 
@@ -717,9 +733,11 @@ def guarded_gold(spark, base):
 def save_pages_with_gold(spark, base):
     entries = _incoming(spark, base).withColumn("gold_text", F.concat(F.lit("gold of "), "url"))
     stored, written = tables.save_pages_with_gold(
-        _stored_pages(spark, base), fx.gold(spark, base).where(fx.SECURE), entries
+        _stored_pages(spark, base), fx.gold(spark, base).where(fx.SECURE),
+        _copies(entries, "html_text").withColumn("gold_text", F.concat("gold_text", F.lit(" copy "), "seq")),
+        "seq",
     )
-    return _page_sizes(stored).join(written.table.select("url", "gold_text"), "url", "left")
+    return _page_hashes(stored).join(written.table.select("url", "gold_text"), "url", "left")
 
 
 @query
@@ -739,8 +757,9 @@ def delete_gold(spark, base):
 
 @query
 def upsert_metrics(spark, base):
-    fresh = _incoming(spark, base).select("url", *[F.lit(0.25).alias(m) for m in METRIC_GROUP])
-    return rounded(tables.save_metrics(fx.evaluations(spark, base), fresh))
+    seq = F.explode(F.array(F.lit(1), F.lit(4), F.lit(2))).alias("seq")
+    fresh = _incoming(spark, base).select("url", seq).select("url", "seq", *[(F.col("seq") / 16).alias(m) for m in METRIC_GROUP])
+    return rounded(tables.save_metrics(fx.evaluations(spark, base), fresh, "seq"))
 
 
 @query
@@ -774,7 +793,9 @@ def _check_results(spark, base):
 
 @query
 def attach_checks(spark, base):
-    attached = tables.attach_checks(fx.page_results(spark, base), _check_results(spark, base))
+    results = _check_results(spark, base).withColumn("seq", F.explode(F.array(F.lit(2), F.lit(1))))
+    results = results.withColumn("coherence", F.col("seq") - 1)
+    attached = tables.attach_checks(fx.page_results(spark, base), results, "seq")
     return rounded(
         attached.table.select(
             "run_id", "url", "check_complete", "check_coherent", "check_coherence", "check_omissions",
@@ -793,9 +814,9 @@ def unmatched_checks(spark, base):
 def measured_costs(spark, base):
     spent = fx.page_results(spark, base).groupBy("run_id").agg(F.count("*").alias("pages"))
     costs = fx.runs(spark).join(spent, "run_id").where("label <> 'rules'").select(
-        "label", (F.col("pages") / 8).alias("cost_eur")
-    )
-    return tables.set_measured_cost(fx.runs(spark), costs).select("run_id", "label", "measured_cost_eur")
+        "label", (F.col("pages") / 8).alias("cost_eur"), F.explode(F.array(F.lit(2), F.lit(1))).alias("seq")
+    ).withColumn("cost_eur", F.col("cost_eur") + F.col("seq") - 2)
+    return tables.set_measured_cost(fx.runs(spark), costs, "seq").select("run_id", "label", "measured_cost_eur")
 
 
 @query
@@ -818,8 +839,8 @@ def seeded_pages(spark, base):
     stored = _stored_pages(spark, base)
     seeded = tables.seed_if_empty(stored.where("url = ''"), fx.pages(spark, base))
     untouched = tables.seed_if_empty(stored, fx.pages(spark, base))
-    return _page_sizes(seeded).withColumn("was_empty", F.lit(True)).unionByName(
-        _page_sizes(untouched).withColumn("was_empty", F.lit(False))
+    return _page_hashes(seeded).withColumn("was_empty", F.lit(True)).unionByName(
+        _page_hashes(untouched).withColumn("was_empty", F.lit(False))
     )
 
 
