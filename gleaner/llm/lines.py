@@ -2,8 +2,8 @@
 
 For every host and line: the share of the host's pages that hold the line. Lines
 above a ratio are boilerplate of that host and go. All of it is DataFrame
-expressions; texts are only moved when the boilerplate of all hosts is too large
-for Spark to broadcast by its own size check.
+expressions. Texts stay where they are while all hosts together have at most
+``BROADCAST_LINES`` boilerplate lines; beyond that they are joined by host.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.basic import let
-from gleaner.llm.storage import durable
+from gleaner.llm.storage import lookup
 
 RATIO = 0.1
 LEAST_PAGES = 5
+# Hosts and lines whose keys, 8 bytes each beside the host, are broadcast.
+BROADCAST_LINES = 500_000
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -81,7 +83,8 @@ def drop_boilerplate(
     is dropped. With ``counts`` there are ``n_lines`` and ``n_dropped`` as well,
     replacing columns of these names.
     """
-    known = durable(boilerplate(docs, host, text, ratio, least_pages)).select(
+    found = boilerplate(docs, host, text, ratio, least_pages)
+    known = lookup(found, "1 + size(_lines)", BROADCAST_LINES).select(
         F.col("_host").alias("_site"), F.col("_lines").alias("_gone")
     )
     joined = docs.join(known, F.col(host).eqNullSafe(F.col("_site")), "left")

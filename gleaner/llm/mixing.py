@@ -15,11 +15,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.storage import durable
+from gleaner.llm.storage import durable, lookup
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_ROUNDS = 3
 RANGE_ROWS = 1_000
+# Sources whose budgets are broadcast; a source is one short row.
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -160,7 +162,8 @@ def mix(
     one place. Rows that repeat the id at the cut are cut alike. A source
     without words has target 0.
     """
-    known = durable(plan(docs, weights, most_rounds, seed, doc_id, source, text, range_rows))
+    budgets = plan(docs, weights, most_rounds, seed, doc_id, source, text, range_rows)
+    known = lookup(budgets, "1", BROADCAST_SOURCES)
     placed = docs.drop(*OUTPUT).withColumn("_p", place_of(doc_id, seed)).withColumn("_w", word_count(text))
     more = (
         F.when(F.col("_cut").isNull() | (F.col("_p") > F.col("_cut")), F.lit(0))

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(session: SparkSession) -> str:
@@ -23,6 +24,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lookup(table: DataFrame, weight: str, most: int) -> DataFrame:
+    """``table``, checkpointed, and marked for broadcast if its ``weight`` adds up to ``most`` at most.
+
+    The sum is taken before anything is broadcast. Above it the join is left to
+    Spark, which moves both sides and splits keys that are too frequent.
+    """
+    kept = durable(table)
+    total = kept.agg(F.sum(F.expr(weight).cast("bigint"))).first()[0] or 0
+    return F.broadcast(kept) if total <= most else kept
+
+
 def in_stages(first: DataFrame, steps: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Apply ``steps`` one after the other, each result written as Parquet and read again.
 
