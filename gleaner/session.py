@@ -29,15 +29,15 @@ def build_session(app_name: str = "gleaner", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the cluster's shared folder, so a lost executor costs no recomputation.
+def shared_folder(session: SparkSession) -> str:
+    """A folder that all executors share: ``spark.checkpoint.dir``, else one below the warehouse."""
+    warehouse = session.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return session.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints"
+
 
-    A session without ``spark.checkpoint.dir`` uses a folder below its
-    warehouse, which all executors share as well.
-    """
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the cluster's shared folder, so a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        context.setCheckpointDir(shared or f"{warehouse}/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -30,32 +30,58 @@ from ..schema import (
 HEADER = [f.name for f in SEED_FILE.fields if f.name != "pages"]
 
 
+BAD = "_bad_record"
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType, one_per_line: bool = False) -> DataFrame:
     """Pretty-printed documents are read a file at a time, others line by line and splittable.
 
-    An empty file yields no row.
+    An empty file yields no row. A document that is broken or of another type
+    fails the job; ``bad_records`` tells which.
     """
-    return spark.read.schema(schema).option("multiLine", not one_per_line).json(path)
+    reader = spark.read.schema(schema).option("multiLine", not one_per_line).option("mode", "FAILFAST")
+    return reader.json(path)
+
+
+def bad_records(spark: SparkSession, path: str, schema: T.StructType, one_per_line: bool = False) -> DataFrame:
+    """The documents a reader would fail on: the file's name and the text as it stands."""
+    marked = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    reader = spark.read.schema(marked).option("multiLine", not one_per_line).option("mode", "PERMISSIVE")
+    rows = reader.option("columnNameOfCorruptRecord", BAD).json(path)
+    # All columns take part, else Spark would not parse them and find nothing wrong.
+    read = rows.select(F.col("_metadata.file_name").alias("file"), F.col(BAD).alias("text"), F.xxhash64(*[c for c in schema.names if c != BAD]).alias("_all"))
+    return read.where(F.col("text").isNotNull() & (F.col("_all") != 0)).select("file", "text")
 
 
-def read_gold(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+def read_gold(spark: SparkSession, path: str, ordered: bool = False, one_per_line: bool = False) -> DataFrame:
     """Entries of all gold files under a path or glob.
 
     ``ordered`` sorts them by domain and URL, which moves the HTML; the jobs
-    do not need it.
+    do not need it. An entry without a URL fails the job.
     """
-    entries = _read(spark, path, GOLD_ENTRY).where(F.col("url").isNotNull())
-    return entries.orderBy("domain", "url") if ordered else entries
+    entries = _read(spark, path, GOLD_ENTRY, one_per_line)
+    message = F.concat(F.lit("gold entry without a URL in "), F.col("_metadata.file_name"))
+    named = F.when(F.col("url").isNotNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    kept = entries.where(named)
+    return kept.orderBy("domain", "url") if ordered else kept
 
 
 def _file_stem() -> Column:
     return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
 
 
-def read_runs(spark: SparkSession, path: str, label: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Run files as (runs, page results). A run's label is its file name unless given."""
-    named = F.lit(label) if label else _file_stem()
-    files = _read(spark, path, RUN_FILE).select("*", named.alias("label"))
+def read_runs(
+    spark: SparkSession, path: str, label: str | None = None, one_per_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Run files as (runs, page results).
+
+    A run's label is its file name; ``label`` names the run of a single file and
+    is ignored when there are several. With ``one_per_line`` a file holds its
+    run in several documents with the same header.
+    """
+    documents = _read(spark, path, RUN_FILE, one_per_line)
+    named = F.lit(label) if label and len(documents.inputFiles()) == 1 else _file_stem()
+    files = documents.select("*", named.alias("label"))
     header = files.select(
         run_id_of(F.col("label")).alias("run_id"),
         "label",
@@ -65,6 +91,8 @@ def read_runs(spark: SparkSession, path: str, label: str | None = None) -> tuple
         "budget_tokens",
         "eur_per_usd",
     )
+    if one_per_line:
+        header = header.distinct()
     records = files.select(run_id_of(F.col("label")).alias("run_id"), F.explode("records").alias("r")).select(
         "run_id", "r.*"
     )
@@ -74,15 +102,15 @@ def read_runs(spark: SparkSession, path: str, label: str | None = None) -> tuple
     return conform(header, RUNS), conform(renamed, PAGE_RESULTS)
 
 
-def read_raw_replies(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_replies(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """Replies as they arrived, one row each, of runs that kept them."""
-    files = _read(spark, path, RUN_FILE).select(_file_stem().alias("label"), F.explode("records").alias("r"))
+    files = _read(spark, path, RUN_FILE, one_per_line).select(_file_stem().alias("label"), F.explode("records").alias("r"))
     return files.select("label", "r.url", F.posexplode("r.raw_responses").alias("n", "raw"))
 
 
-def read_checks(spark: SparkSession, path: str, run_label: str) -> DataFrame:
+def read_checks(spark: SparkSession, path: str, run_label: str, one_per_line: bool = False) -> DataFrame:
     """Self-check results, addressed to the run they were made for."""
-    files = _read(spark, path, CHECK_FILE)
+    files = _read(spark, path, CHECK_FILE, one_per_line)
     return files.select(F.explode("results").alias("r")).select(
         run_id_of(F.lit(run_label)).alias("run_id"), "r.*"
     )
@@ -93,9 +121,13 @@ def read_seeds(
 ) -> tuple[DataFrame, DataFrame]:
     """Seed documents as (runs, page results); unknown columns are ignored, missing ones NULL.
 
-    ``one_per_line`` reads what ``write_seeds`` wrote.
+    ``one_per_line`` reads what ``write_seeds`` wrote. A document without a
+    label fails the job.
     """
-    documents = _read(spark, path, SEED_FILE, one_per_line).where(F.col("label").isNotNull())
+    documents = _read(spark, path, SEED_FILE, one_per_line)
+    message = F.concat(F.lit("seed document without a label in "), F.col("_metadata.file_name"))
+    named = F.when(F.col("label").isNotNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    documents = documents.where(named)
     run_id = run_id_of(F.col("label")).alias("run_id")
     header = documents.select(run_id, *HEADER).dropDuplicates(["run_id"])
     pages = documents.select(run_id, F.explode("pages").alias("p")).select("run_id", "p.*")
@@ -111,14 +143,22 @@ def slug(label: Column) -> Column:
 
 
 def seed_documents(
-    runs: DataFrame, page_results: DataFrame, pages_per_document: int = 1_000
+    runs: DataFrame,
+    page_results: DataFrame,
+    pages_per_document: int = 1_000,
+    chars_per_document: int = 16 << 20,
 ) -> DataFrame:
     """Runs as nested documents: the header, ``part`` and a list of pages.
 
-    Parts are filled by a hash of the URL, so no list grows with the run.
+    Parts are filled by a hash of the URL, so no list grows with the run; there
+    are as many as keep a document to about ``pages_per_document`` pages and
+    ``chars_per_document`` characters of text.
     """
-    sizes = page_results.groupBy("run_id").agg(F.count("*").alias("_pages"))
-    parts = F.ceil(F.col("_pages") / pages_per_document).cast("int")
+    text = F.length("parsed_text") if "parsed_text" in page_results.columns else F.lit(0)
+    sizes = page_results.groupBy("run_id").agg(F.count("*").alias("_pages"), F.sum(text).alias("_chars"))
+    parts = F.greatest(
+        F.ceil(F.col("_pages") / pages_per_document), F.ceil(F.col("_chars") / chars_per_document)
+    ).cast("int")
     sized = runs.join(sizes, "run_id", "left").select(
         "run_id", *HEADER, F.greatest(F.lit(1), F.coalesce(parts, F.lit(1))).alias("_parts")
     )
@@ -141,10 +181,14 @@ def seed_documents(
 
 
 def write_seeds(
-    runs: DataFrame, page_results: DataFrame, path: str, pages_per_document: int = 1_000
+    runs: DataFrame,
+    page_results: DataFrame,
+    path: str,
+    pages_per_document: int = 1_000,
+    chars_per_document: int = 16 << 20,
 ) -> None:
     """A folder per run, one document per line."""
-    documents = seed_documents(runs, page_results, pages_per_document)
+    documents = seed_documents(runs, page_results, pages_per_document, chars_per_document)
     documents.drop("part").write.mode("overwrite").partitionBy("slug").json(path)
 
 

@@ -4,6 +4,7 @@ import io
 import json
 from contextlib import redirect_stdout
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.plans import reports
@@ -161,3 +162,35 @@ def test_arrivals_are_scored_once(spark, tmp_path):
     run()
     rows = sorted((r["url"], r["f1"]) for r in spark.read.parquet(store).collect())
     assert rows == [("http://d/1", 1.0), ("http://d/2", 0.0), ("http://d/3", 1.0)]
+
+
+def test_bad_records_fail_and_are_reported(spark, tmp_path):
+    from gleaner.schema import GOLD_ENTRY
+
+    write(tmp_path / "good_gs.json", [entry("http://a/1")])
+    write(tmp_path / "bad_gs.json", '[{"url": "http://a/2", ')
+    with pytest.raises(Exception, match="(?i)malformed|parse|bad"):
+        json_files.read_gold(spark, f"{tmp_path}/*_gs.json").collect()
+    bad = json_files.bad_records(spark, f"{tmp_path}/*_gs.json", GOLD_ENTRY).collect()
+    assert [r["file"] for r in bad] == ["bad_gs.json"] and bad[0]["text"].startswith("[{")
+    (tmp_path / "lines.json").write_text('{"url": "u1"}\n{broken\n{"url": "u2"}\n')
+    bad = json_files.bad_records(spark, str(tmp_path / "lines.json"), GOLD_ENTRY, one_per_line=True).collect()
+    assert [r["text"] for r in bad] == ["{broken"]
+    write(tmp_path / "nameless.json", [{"domain": "d"}])
+    with pytest.raises(Exception, match="without a URL"):
+        json_files.read_gold(spark, str(tmp_path / "nameless.json")).collect()
+
+
+def test_a_label_names_the_run_of_one_file_only(spark, tmp_path):
+    for name in ("one", "two"):
+        write(tmp_path / f"{name}.json", {"model": "m", "records": [{"url": name, "domain": "d", "status": "ok"}]})
+    runs, results = json_files.read_runs(spark, f"{tmp_path}/*.json", "mine")
+    assert sorted(r["label"] for r in runs.collect()) == ["one", "two"] and results.select("run_id").distinct().count() == 2
+    assert json_files.read_runs(spark, str(tmp_path / "one.json"), "mine")[0].first()["label"] == "mine"
+
+
+def test_seed_documents_are_bounded_by_characters(spark):
+    runs, results = sample_runs(spark)
+    results = results.withColumn("parsed_text", F.lit("x" * 100))
+    few = json_files.seed_documents(runs, results).count()
+    assert json_files.seed_documents(runs, results, chars_per_document=10).count() > few

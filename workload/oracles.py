@@ -1004,4 +1004,29 @@ GROUP BY 1"""
  check_fragments FROM merged JOIN (SELECT url, page_id % 2 = 1 AND length(title) >= 25 AND NOT contains(title, '&') AS missed FROM p) USING (url)""",
         "merged", "p",
     )
+    out["gold_files"] = sql(f"SELECT url, domain, title, md5(html_text) AS html, {ARTICLE} AS gold_text FROM p", "p")
+    out["run_files"] = sql(
+        """SELECT url, domain, status, round(f1, 6) AS f1, round(precision_val, 6) AS precision_val, parsed_text, 'm/a' AS model_name,
+ 1500 AS budget_tokens FROM res WHERE run_id = 2""", "res",
+    )
+    out["check_files"] = sql(
+        f"""SELECT CASE WHEN {fx.DOT_COM} THEN concat(url, '#gone') ELSE url END AS url, CASE WHEN {fx.COMPLETE} THEN 'ok' ELSE 'error' END AS status,
+ true AS complete, false AS coherent, 1 AS coherence, 0 AS omissions, 0.125 AS cost_eur, CASE WHEN length(html_text) > 3000 THEN 0.75 END AS grounded
+ FROM p WHERE {fx.SECURE}""", "p",
+    )
+    out["seed_files"] = sql(
+        f"""SELECT runs.label, url, status, round(f1, 6) AS f1, CASE WHEN status = 'ok' THEN
+ array_to_string(list_transform(range(1, coalesce(fragments, 1) + 1), lambda i: {fx.PROVIDER}), ',') END AS providers
+ FROM runs LEFT JOIN res USING (run_id)""", "runs", "res",
+    )
+    out["written_results"] = sql(
+        f"""SELECT url, domain, status, round(f1, 6) AS f1 FROM res WHERE run_id = 2 AND status IN ('ok', 'too_long', 'empty') AND {fx.SECURE}""", "res"
+    )
+    out["known_records"] = sql("SELECT url, status FROM res WHERE run_id = 3", "res")
+    out["newest_runs"] = sql("SELECT run_id, label FROM runs ORDER BY created_at DESC LIMIT 2", "runs")
+    out["empty_domain"] = sql(
+        """SELECT 'nowhere.example' AS domain, CAST(0 AS BIGINT) AS pages, CAST(NULL AS DOUBLE) AS judge_score UNION ALL
+ SELECT 'all of org', count(*), round(avg(judge_score), 6) FROM gold JOIN p USING (url) JOIN judged USING (url) WHERE n = 1 AND domain LIKE '%.org'""",
+        "gold", "judged",
+    )
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -19,7 +20,8 @@ from gleaner.operators.cost import call_rollup, run_cost
 from gleaner.operators.html_markdown import with_markdown
 from gleaner.operators.rules import ENCYCLOPEDIA, FINANCE, NEWS, SPORTS
 from gleaner.plans import evaluate, extract, reports
-from gleaner.schema import METRIC_GROUP, PAGE_RESULTS, conform
+from gleaner.schema import METRIC_GROUP, PAGE_RESULTS, RUNS, conform
+from gleaner.session import shared_folder
 from gleaner.sources import json_files
 
 from . import fixtures as fx
@@ -902,3 +904,91 @@ def seed_documents(spark, base):
         fx.page_results(spark, base).drop("providers", "check_quote_verdicts"), pages_per_document=100,
     )
     return documents.groupBy("slug", "label", "provider").agg(F.sum(F.size("pages")).alias("pages"))
+
+
+# --- interchange files ---------------------------------------------------------
+# Each writes rows derived from the given pages as JSON lines to a folder that the
+# session shares with its executors, and returns what the reader makes of them.
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/interchange-{uuid.uuid4()}"
+
+
+@query
+def gold_files(spark, base):
+    path = _folder(spark)
+    fx.pages(spark, base).withColumn("gold_text", fx.article_text()).drop("page_id").write.json(path)
+    entries = json_files.read_gold(spark, path, one_per_line=True)
+    return entries.select("url", "domain", "title", F.md5("html_text").alias("html"), "gold_text")
+
+
+@query
+def run_files(spark, base):
+    path = _folder(spark)
+    records = fx.page_results(spark, base).where("run_id = 2").select(
+        F.lit("m/a").alias("model"), F.lit("p").alias("provider"), F.lit("raw").alias("condition"),
+        F.lit(1500).alias("budget_tokens"),
+        F.array(F.struct("url", "domain", "status", "f1", F.col("precision_val").alias("precision"), "parsed_text")).alias("records"),
+    )
+    records.write.json(path)
+    runs, results = json_files.read_runs(spark, path, one_per_line=True)
+    joined = results.join(runs, "run_id")
+    return rounded(joined.select("url", "domain", "status", "f1", "precision_val", "parsed_text", "model_name", "budget_tokens"))
+
+
+@query
+def check_files(spark, base):
+    path = _folder(spark)
+    _check_results(spark, base).select(
+        F.array(F.struct("url", "status", "complete", "coherent", "coherence", "omissions", "cost_eur", "grounded")).alias("results")
+    ).write.json(path)
+    checks = json_files.read_checks(spark, path, "model-a", one_per_line=True)
+    return rounded(checks.select("url", "status", "complete", "coherent", "coherence", "omissions", "cost_eur", "grounded"))
+
+
+@query
+def seed_files(spark, base):
+    path = _folder(spark)
+    runs = conform(fx.runs(spark).drop("created_at"), RUNS)
+    json_files.write_seeds(runs, fx.page_results(spark, base), path, pages_per_document=50, chars_per_document=2_000)
+    read_runs, results = json_files.read_seeds(spark, path, one_per_line=True)
+    listed = read_runs.select("run_id", "label").join(
+        results.select("run_id", "url", "status", "f1", F.array_join("providers", ",").alias("providers")), "run_id", "left"
+    )
+    return rounded(listed.select("label", "url", "status", "f1", "providers"))
+
+
+@query
+def written_results(spark, base):
+    path = _folder(spark)
+    known = fx.pages(spark, base).where(fx.SECURE)
+    results = fx.page_results(spark, base).where("run_id = 2").select("url", "domain", "status", "f1")
+    json_files.write_run_results(known, results, path, "json")
+    read = spark.read.schema("url string, domain string, status string, f1 double").json(path)
+    return rounded(read.select("url", "domain", "status", "f1"))
+
+
+@query
+def known_records(spark, base):
+    records = fx.page_results(spark, base).where("run_id = 3").select("url", "status")
+    return evaluate.assert_all_known(records, fx.raw_pages(spark, base)).select("url", "status")
+
+
+@query
+def newest_runs(spark, base):
+    """The two newest runs; a top list is the feature."""
+    headlines = reports.run_headlines(fx.runs(spark), fx.page_results(spark, base))
+    return reports.newest_first(headlines).limit(2).select("run_id", "label")
+
+
+@query
+def empty_domain(spark, base):
+    """Means of a domain without pages are zeros."""
+    gold, source = fx.gold(spark, base), fx.pages(spark, base)
+    nothing = evaluate.evaluate_domain(gold, source, "nowhere.example")
+    judged = evaluate.evaluate_domain(
+        gold, source.where("domain LIKE '%.org'").withColumn("domain", F.lit("all of org")), "all of org",
+        fx.judge_replies(spark, base).where("n = 1").select("url", "raw"),
+    )
+    return rounded(tables.union_all([nothing, judged]).select("domain", "pages", "judge_score"))
