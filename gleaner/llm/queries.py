@@ -188,7 +188,7 @@ measured AS (
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM docs LEFT JOIN lines USING (n) LEFT JOIN repeats USING (n)),
 ruled AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
-failing AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines AS failed FROM ruled),
+failing AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) AS failed FROM ruled),
 hosts AS (SELECT source, count(*)::DOUBLE AS d, sum(failed::INT)::DOUBLE AS f FROM failing GROUP BY source),
 moments AS (
   SELECT sum(d) AS n, count(*) AS h, sum(f) / sum(d) AS mean, sum(d * d) AS squares, sum(f * f / d) AS spread FROM hosts),

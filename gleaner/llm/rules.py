@@ -36,6 +36,7 @@ class Limits:
     repeat_percent: int = 50
     symbol_percent: int = 10
     dup_line_percent: int = 30
+    least_dup_lines: int = 3
     host_rate: float = 0.5
 
 
@@ -137,8 +138,8 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", limits: Lim
 
     ``base_failed``: fewer words than ``least_words``, or more than
     ``repeat_percent`` of the words lie in repeated runs of three. ``failed``:
-    that, or too many symbols per word or too many lines that repeat an earlier
-    one. ``host_rate`` is the host's share of failed documents after shrinking.
+    that, or too many symbols per word, or ``least_dup_lines`` and more than
+    ``dup_line_percent`` of the lines repeat an earlier one. ``host_rate`` is the host's share of failed documents after shrinking.
     ``kept``: not failed, and the host is not refused. Documents without a host
     are a host of their own; an empty table gives an empty result.
     """
@@ -146,7 +147,10 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", limits: Lim
     base = (n < limits.least_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * n)
     failed = (
         base | (100 * F.col("n_symbols") > limits.symbol_percent * n)
-        | (100 * F.col("n_dup_lines") > limits.dup_line_percent * F.col("n_lines"))
+        | (
+            (F.col("n_dup_lines") >= limits.least_dup_lines)
+            & (100 * F.col("n_dup_lines") > limits.dup_line_percent * F.col("n_lines"))
+        )
     )
     rows = durable(measured(docs, text).withColumn("base_failed", base).withColumn("failed", failed))
     hosts = durable(
