@@ -17,23 +17,26 @@ def stored_or_live(pages: DataFrame, stored: DataFrame, live: DataFrame, fresh:
     """Per page the stored extraction unless a fresh one is asked for, else the live one.
 
     ``stored`` and ``live`` hold ``url, parsed_text``. ``source`` says which
-    it was; pages with neither have no text and no source.
+    it was; pages with neither have no text and no source. What ``stored`` says
+    besides about its extraction (run, date, model, seconds, cost, fragments,
+    grounding) comes along and is NULL for pages that have none or were read live.
     """
+    told = [c for c in stored.columns if c not in (*pages.columns, "url", "parsed_text", "source")]
     live_side = live.select("url", F.col("parsed_text").alias("_live"))
     joined = pages.join(live_side, "url", "left")
     if fresh:
-        text = F.col("_live")
+        unknown = {c: F.lit(None).cast(stored.schema[c].dataType) for c in told}
         source = F.when(F.col("_live").isNotNull(), "live")
-        return joined.withColumns({"parsed_text": text, "source": source}).drop("_live")
-    stored_side = stored.select("url", F.col("parsed_text").alias("_stored"))
+        return joined.withColumns({"parsed_text": F.col("_live"), "source": source, **unknown}).drop("_live")
+    stored_side = stored.select("url", F.col("parsed_text").alias("_stored"), *told)
+    is_stored = F.col("_stored").isNotNull()
     return (
         joined.join(stored_side, "url", "left")
         .withColumns(
             {
                 "parsed_text": F.coalesce("_stored", "_live"),
-                "source": F.when(F.col("_stored").isNotNull(), "stored").when(
-                    F.col("_live").isNotNull(), "live"
-                ),
+                "source": F.when(is_stored, "stored").when(F.col("_live").isNotNull(), "live"),
+                **{c: F.when(is_stored, F.col(c)) for c in told},
             }
         )
         .drop("_stored", "_live")

@@ -728,7 +728,8 @@ def oracles() -> dict[str, str]:
     )
     out["stored_or_live"] = sql(
         """SELECT page_id, coalesce(newest.parsed_text, gold_text) AS parsed_text, CASE WHEN newest.url IS NOT NULL THEN 'stored'
- WHEN gold_text IS NOT NULL THEN 'live' END AS source FROM p LEFT JOIN newest USING (url) LEFT JOIN gold USING (url)""",
+ WHEN gold_text IS NOT NULL THEN 'live' END AS source, run_label, model_name, run_date, round(seconds, 6) AS seconds,
+ round(cost_eur, 6) AS cost_eur, fragments, round(grounded, 6) AS grounded FROM p LEFT JOIN newest USING (url) LEFT JOIN gold USING (url)""",
         "newest", "gold", extra=newest,
     )
     out["worst_pages"] = sql(
@@ -988,6 +989,9 @@ GROUP BY 1"""
     out["work_list"] = sql(
         "SELECT url, true AS exists FROM incoming UNION ALL SELECT concat(url, '#typo'), false FROM incoming", "incoming"
     )
+    out["work_list_first"] = sql(
+        f"SELECT url, domain FROM p WHERE {fx.DOT_COM} AND domain = 'blog.tiontion.example.com' ORDER BY domain, url LIMIT 3", "p"
+    )
     out["resume"] = sql("SELECT url FROM res WHERE run_id = 2 AND status = 'error'", "res")
     out["checkable"] = sql("SELECT run_id, url FROM res WHERE status = 'ok' AND parsed_text <> ''", "res")
     out["fallback_copies"] = sql(

@@ -311,10 +311,14 @@ def latest_extraction(spark, base):
 
 @query
 def stored_or_live(spark, base):
-    stored = reports.newest_extractions(fx.runs(spark), fx.page_results(spark, base)).select("url", "parsed_text")
+    stored = reports.newest_extractions(fx.runs(spark), fx.page_results(spark, base))
     live = fx.gold(spark, base).select("url", F.col("gold_text").alias("parsed_text"))
     wanted = fx.raw_pages(spark, base).select("page_id", "url")
-    return extract.stored_or_live(wanted, stored, live).select("page_id", "parsed_text", "source")
+    return rounded(
+        extract.stored_or_live(wanted, stored, live).select(
+            "page_id", "parsed_text", "source", "run_label", "model_name", "run_date", "seconds", "cost_eur", "fragments", "grounded"
+        )
+    )
 
 
 @query
@@ -863,6 +867,14 @@ def work_list(spark, base):
     )
 
 
+@query
+def work_list_first(spark, base):
+    """The first three wanted pages of one domain; the short list is the feature."""
+    wanted = _incoming(spark, base).select("url")
+    chosen = tables.work_list(fx.raw_pages(spark, base), wanted, domain="blog.tiontion.example.com", first=3)
+    return chosen.table.select("url", "domain")
+
+
 @query
 def resume(spark, base):
     done = fx.page_results(spark, base).where("run_id = 2")
