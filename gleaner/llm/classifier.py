@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.storage import in_small_batches
 from gleaner.llm.texts import BASE, BLANK_LOWER, BLANK_PLAIN, mixed, slices, span_hashes, split_words, window_hashes
 
 DIMENSIONS = 1 << 18
@@ -166,7 +167,7 @@ def fit(
         .sortWithinPartitions("_order", "_label", "_text")
     )
     # One vector of fixed size per shard.
-    found = rows.mapInArrow(run, "model binary, rows bigint").collect()
+    found = in_small_batches(rows).mapInArrow(run, "model binary, rows bigint").collect()
     total = np.zeros(dimensions + 1)
     for row in sorted(found, key=lambda r: (r["rows"], bytes(r["model"]))):
         total += np.frombuffer(row["model"], np.float32).astype(float) * row["rows"]
@@ -224,7 +225,7 @@ def score(
             )
 
     schema = type(docs.schema)([*rest]).add(output, "double")
-    return docs.mapInArrow(run, schema)
+    return in_small_batches(docs).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.storage import durable
+from gleaner.llm.storage import durable, in_small_batches
 from gleaner.llm.texts import SIGN_LOWER, Words, slices, split_words, window_hashes
 
 WINDOW_WORDS = 10
@@ -62,7 +62,7 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, size: int)
             )
 
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "item string, size int, hash bigint, words binary").distinct()
+    return in_small_batches(rows).mapInArrow(run, "item string, size int, hash bigint, words binary").distinct()
 
 
 class WindowSet:
@@ -156,7 +156,7 @@ def scan(
             WindowSet(mine.select("item", "size", "hash", "words").collect())
         )
         last = block == blocks - 1
-        rows = rows.mapInArrow(_pass(held, text, output, cut and last), schema)
+        rows = in_small_batches(rows).mapInArrow(_pass(held, text, output, cut and last), schema)
     return rows.drop(text) if drop_text else rows
 
 

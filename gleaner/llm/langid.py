@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.storage import durable
+from gleaner.llm.storage import durable, in_small_batches
 from gleaner.llm.texts import byte_table, mixed, slices, split_words
 
 DIMENSIONS = 1 << 14
@@ -136,7 +136,7 @@ def fit_text_model(
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
 
     total = np.zeros((len(languages), DIMENSIONS))
-    for row in chosen.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for row in in_small_batches(chosen).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         total[divmod(row["cell"], DIMENSIONS)] = row["n"]
     total += SMOOTHING
     return TextModel(languages, np.log(total / total.sum(axis=1, keepdims=True)))
@@ -183,7 +183,7 @@ def evidence(pages: DataFrame, model: TextModel, page_id: str, url: str, html: s
 
     kind = pages.schema[page_id].dataType.simpleString()
     rows = pages.select(F.col(page_id).alias("_id"), host_of(F.col(url)).alias("_host"), F.col(html).alias("_html"))
-    found = rows.mapInArrow(run, f"_id {kind}, _host string, _declared string, _logs array<double>")
+    found = in_small_batches(rows).mapInArrow(run, f"_id {kind}, _host string, _declared string, _logs array<double>")
     return found.withColumn("_parent", parent_of(F.col("_host"))).withColumn("_suffix", suffix_of(F.col("_host")))
 
 

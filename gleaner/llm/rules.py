@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.storage import durable
+from gleaner.llm.storage import durable, in_small_batches
 from gleaner.llm.texts import BLANK_PLAIN, buffer_of, slices, span_hashes, split_words, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -106,7 +106,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = type(docs.schema)([*rest])
     for name in MEASURES:
         schema = schema.add(name, "long")
-    return docs.mapInArrow(run, schema)
+    return in_small_batches(docs).mapInArrow(run, schema)
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:

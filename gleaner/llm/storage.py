@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """``df``, to be handed to Python about ``most`` bytes at a time.
+
+    Rows of texts differ in size, so a number of rows bounds no memory. The
+    setting is the session's, which lowers it for its other Arrow functions as
+    well; a smaller one is left.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    session = df.sparkSession
+    now = session._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(session.conf.get(key))
+    if now > most:
+        session.conf.set(key, str(most))
+    return df
+
+
 def shared_folder(session: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, one below the
     warehouse, which executors share as well."""

@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.storage import in_small_batches
 from gleaner.llm.texts import slices, texts_of
 
 # Fixed value: the pre-token pattern of the byte-level vocabularies.
@@ -185,7 +186,7 @@ def count_tokens(
     kind = docs.schema[doc_id].dataType.simpleString()
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("_id"), F.octet_length(body).cast("bigint").alias("_bytes"), body.alias("_text"))
-    counted = rows.mapInArrow(run, f"_id {kind}, n_bytes bigint, n_tokens bigint")
+    counted = in_small_batches(rows).mapInArrow(run, f"_id {kind}, n_bytes bigint, n_tokens bigint")
     return counted.select(
         F.col("_id").alias(doc_id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
