@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.storage import durable
+from gleaner.llm.storage import durable, in_small_batches, lookup
 from gleaner.llm.texts import slices, texts_of
 
 SEED = 42
@@ -29,6 +29,8 @@ SHARD_LIMIT = 40_000
 # Trees are built and searched over so many fingerprints at once, whole shards each.
 FOREST_ROWS = 100_000
 FRONTIER = 2_000_000
+# Ids of dropped documents that are broadcast; beyond it documents are joined by id.
+BROADCAST_IDS = 1_000_000
 
 
 # -- fingerprints ---------------------------------------------------------------------------------
@@ -78,7 +80,7 @@ def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, f"_id {kind}, _fp bigint")
+    return in_small_batches(rows).mapInArrow(run, f"_id {kind}, _fp bigint")
 
 
 # -- BK-trees --------------------------------------------------------------------------------------
@@ -234,7 +236,7 @@ def links(prints: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMI
 
     Only as many links as it takes: every fingerprint is joined to the first one
     it reaches inside a shard, so a shard of near copies gives a star and not all
-    its pairs.
+    its pairs. No star has more ends than a shard has members, which is bounded.
     """
     out = None
     # A cell is a way of cutting: the bits its shards agree on so far. At the start, none.
@@ -260,16 +262,18 @@ def links(prints: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMI
         pieces = rows.select("_fp", F.explode(F.filter(F.array(*cut), lambda c: c.isNotNull())).alias("at")).select(
             "_fp", "at.cell", "at.key"
         )
-        crowded = pieces.groupBy("key").count().where(F.col("count") > shard_limit).select("key")
+        crowded = pieces.groupBy("cell", "key").count().where(F.col("count") > shard_limit).select("cell", "key")
         last = all(len(free) < 16 for free in next_cells.values())
         crowded = durable(crowded) if not last else None
-        full = crowded is not None and not crowded.isEmpty()
-        here = pieces.join(crowded, "key", "left_anti") if full else pieces
+        # Ways of cutting that left a shard crowded; there are few ways, whatever the data.
+        open_cells = [] if crowded is None else [r["cell"] for r in crowded.select("cell").distinct().collect()]
+        here = pieces.join(crowded, ["cell", "key"], "left_anti") if open_cells else pieces
         found = linked_in_shards(here, radius)
         out = found if out is None else out.unionByName(found)
-        if not full:
+        if not open_cells:
             return out
-        rows, cells = pieces.join(crowded, "key", "left_semi"), next_cells
+        rows = pieces.join(crowded, ["cell", "key"], "left_semi")
+        cells = {cell: next_cells[cell] for cell in open_cells}
 
 
 # -- groups ----------------------------------------------------------------------------------------
@@ -359,8 +363,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
             F.max(F.col(doc_id) == F.col("component_id")).alias("kept"), F.count("*").alias("rows")
         )
     )
-    plain = docs.join(verdicts.where("NOT kept OR rows > 1"), F.col(doc_id) == F.col("_id"), "left_anti")
-    repeated = docs.join(verdicts.where("kept AND rows > 1"), F.col(doc_id) == F.col("_id"), "left_semi")
+    gone = lookup(verdicts.where("NOT kept OR rows > 1").select("_id"), "1", BROADCAST_IDS)
+    plain = docs.join(gone, F.col(doc_id) == F.col("_id"), "left_anti")
+    repeats = verdicts.where("kept AND rows > 1").select("_id")
+    if repeats.isEmpty():
+        return plain
+    repeated = docs.join(repeats, F.col(doc_id) == F.col("_id"), "left_semi")
     first = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last(), *[c for c in docs.columns if c not in (doc_id, text)])
     once = repeated.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
     return plain.unionByName(once)

@@ -34,7 +34,7 @@ def plain_groups(ids, prints, radius=3):
     return [least.get(g) for g in group]
 
 
-@pytest.mark.parametrize("shard_limit", [simhash.SHARD_LIMIT, 4])
+@pytest.mark.parametrize("shard_limit", [simhash.SHARD_LIMIT, 8])
 def test_groups_agree_with_comparing_all(odd, odd_rows, shard_limit):
     prints = [plain_fingerprint(r[1]) for r in odd_rows]
     ids = [r[0] for r in odd_rows]
