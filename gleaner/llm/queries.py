@@ -64,7 +64,7 @@ def op5_decontamination(spark: SparkSession, base: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, base: str) -> DataFrame:
     docs = read(spark, base, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op7_pii(spark: SparkSession, base: str) -> DataFrame:
@@ -85,7 +85,8 @@ def op7_pii(spark: SparkSession, base: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, base: str) -> DataFrame:
     docs = read(spark, base, "documents").select("doc_id", "source", "text")
     return rules.judge(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("host_rate", 6).alias("host_rate"),
     )
 
 
@@ -163,7 +164,7 @@ line AS (
   SELECT doc_id, size, s, target, b, sum(size) OVER (PARTITION BY docs.source ORDER BY place, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until
   FROM docs JOIN budgets ON docs.source IS NOT DISTINCT FROM budgets.source)
-SELECT doc_id, size, s AS source_size, target,
+SELECT doc_id, size, s AS source_size, round(target, 6) AS target,
   CAST((b // greatest(s, 1)) * size + greatest(0, least(size, b % greatest(s, 1) - (until - size))) AS BIGINT) AS taken
 FROM line
 """
@@ -199,7 +200,7 @@ prior AS (
   SELECT mean, greatest(1, 1 / least(1, greatest(CASE WHEN room > 0 THEN between_ / room ELSE 0 END, 1 / (n + 1))) - 1) AS m FROM apart)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT failed AND (f + greatest(mean * m, 1e-9)) / (d + greatest(mean * m, 1e-9) + greatest((1 - mean) * m, 1e-9)) <= 0.5 AS kept,
-  (f + greatest(mean * m, 1e-9)) / (d + greatest(mean * m, 1e-9) + greatest((1 - mean) * m, 1e-9)) AS host_rate
+  round((f + greatest(mean * m, 1e-9)) / (d + greatest(mean * m, 1e-9) + greatest((1 - mean) * m, 1e-9)), 6) AS host_rate
 FROM failing JOIN hosts ON failing.source IS NOT DISTINCT FROM hosts.source CROSS JOIN prior
 """
 
