@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm import near
 from gleaner.llm.storage import durable, in_small_batches, lookup
 from gleaner.llm.texts import slices, texts_of
 
@@ -350,14 +351,30 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None, **options
+) -> DataFrame:
     """``docs`` with one document of each group: the one whose id names the group.
 
+    Groups are those of ``near_duplicates``; with ``similarity`` they are what
+    links of at least that Jaccard similarity of shingles reach
+    (``near.similar_texts``), and texts without words are one group.
+
     Rows that repeat a kept id are one document and one of them stays, the first
     by text; an id is kept if any of its rows names a group. A row without an id
     cannot be told from others and stays.
     """
-    classes = near_duplicates(docs, doc_id, text, **options).where(F.col(doc_id).isNotNull())
+    if similarity is None:
+        classes = near_duplicates(docs, doc_id, text, **options)
+    else:
+        rows, roots = near.similar_texts(docs, doc_id, text, similarity=similarity, **options)
+        texts = durable(rows.groupBy("_key").agg(F.min("_id").alias("_least")).join(
+            roots.withColumnRenamed("node", "_key"), "_key", "left"
+        ).select("_key", "_least", F.coalesce("root", "_key").alias("_root")))
+        least = texts.groupBy("_root").agg(F.min("_least").alias("component_id"))
+        named = durable(texts.join(least, "_root").select("_key", "component_id"))
+        classes = rows.join(named, "_key").select(F.col("_id").alias(doc_id), "component_id")
+    classes = classes.where(F.col(doc_id).isNotNull())
     verdicts = durable(
         classes.groupBy(F.col(doc_id).alias("_id")).agg(
             F.max(F.col(doc_id) == F.col("component_id")).alias("kept"), F.count("*").alias("rows")
