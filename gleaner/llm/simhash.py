@@ -71,17 +71,25 @@ def fingerprints_of(texts: list[str], size: int = SHINGLE_WORDS) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id`` and ``_fp`` (the fingerprint as a signed long) of every row; a null text has no words."""
+def with_fingerprints(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, keyed: bool = False
+) -> DataFrame:
+    """``_id`` and ``_fp`` (the fingerprint as a signed long) of every row; a null text has no words.
+
+    With ``keyed`` there is ``_row`` as well, which tells texts under one id apart.
+    """
+    beside = ["_id", "_row"] if keyed else ["_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             prints = fingerprints_of(texts_of(batch, "_text"), shingle_words)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(prints.view(np.int64))], ["_id", "_fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, beside), pa.array(prints.view(np.int64))], [*beside, "_fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    return in_small_batches(rows).mapInArrow(run, f"_id {kind}, _fp bigint")
+    rows = docs.select(F.col(doc_id).alias("_id"), near.row_key(text).alias("_row"), F.col(text).alias("_text"))
+    return in_small_batches(rows.select(*beside, "_text")).mapInArrow(
+        run, f"_id {kind}, {'_row bigint, ' if keyed else ''}_fp bigint"
+    )
 
 
 # -- BK-trees --------------------------------------------------------------------------------------
@@ -352,40 +360,50 @@ def near_duplicates(
 
 
 def keep_one(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None, **options
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    similarity: float | None = None,
+    shingle_words: int | None = None,
+    radius: int = RADIUS,
+    shard_limit: int = SHARD_LIMIT,
 ) -> DataFrame:
-    """``docs`` with one document of each group: the one whose id names the group.
+    """``docs`` with one row of each group: the one with the smallest id.
 
     Groups are those of ``near_duplicates``; with ``similarity`` they are what
     links of at least that Jaccard similarity of shingles reach
     (``near.similar_texts``), and texts without words are one group.
 
-    Rows that repeat a kept id are one document and one of them stays, the first
-    by text; an id is kept if any of its rows names a group. A row without an id
-    cannot be told from others and stays.
+    Rows are told apart by id and text, so texts under one id that are not linked
+    all stay. Of several texts under a group's smallest id one stays, and one row
+    of those that repeat it. A row without an id stays if no other of its group
+    has one.
     """
     if similarity is None:
-        classes = near_duplicates(docs, doc_id, text, **options)
+        rows = durable(with_fingerprints(docs, doc_id, text, shingle_words or SHINGLE_WORDS, keyed=True)).withColumnRenamed("_fp", "_key")
+        roots = connected(links(rows.select(F.col("_key").alias("_fp")).distinct(), radius, shard_limit))
     else:
-        rows, roots = near.similar_texts(docs, doc_id, text, similarity=similarity, **options)
-        texts = durable(rows.groupBy("_key").agg(F.min("_id").alias("_least")).join(
-            roots.withColumnRenamed("node", "_key"), "_key", "left"
-        ).select("_key", "_least", F.coalesce("root", "_key").alias("_root")))
-        least = texts.groupBy("_root").agg(F.min("_least").alias("component_id"))
-        named = durable(texts.join(least, "_root").select("_key", "component_id"))
-        classes = rows.join(named, "_key").select(F.col("_id").alias(doc_id), "component_id")
-    classes = classes.where(F.col(doc_id).isNotNull())
-    verdicts = durable(
-        classes.groupBy(F.col(doc_id).alias("_id")).agg(
-            F.max(F.col(doc_id) == F.col("component_id")).alias("kept"), F.count("*").alias("rows")
-        )
+        rows, roots = near.similar_texts(docs, doc_id, text, shingle_words or near.SHINGLE_WORDS, similarity)
+    marks = durable(
+        rows.join(roots.withColumnRenamed("node", "_key"), "_key", "left")
+        .groupBy("_id", "_row").agg(F.first(F.coalesce("root", "_key")).alias("_root"), F.count("*").alias("rows"))
     )
-    gone = lookup(verdicts.where("NOT kept OR rows > 1").select("_id"), "1", BROADCAST_IDS)
-    plain = docs.join(gone, F.col(doc_id) == F.col("_id"), "left_anti")
-    repeats = verdicts.where("kept AND rows > 1").select("_id")
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")).alias("_first")
+    kept = durable(marks.groupBy("_root").agg(first).select("_first._id", "_first._row"))
+
+    def matches(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """Rows of ``left``, which may be ``docs``, that are or are not among ``right``."""
+        own, key = (F.col(doc_id), near.row_key(text)) if left is docs else (left["_id"], left["_row"])
+        right = right.select(F.col("_id").alias("_their_id"), F.col("_row").alias("_their_row"))
+        return left.join(right, own.eqNullSafe(F.col("_their_id")) & (key == F.col("_their_row")), how)
+
+    lost = matches(marks, kept, "left_anti").select("_id", "_row")
+    repeats = durable(matches(marks.where("rows > 1"), kept, "left_semi").select("_id", "_row"))
+    gone = lookup(lost.unionByName(repeats), "1", BROADCAST_IDS)
+    plain = matches(docs, gone, "left_anti")
     if repeats.isEmpty():
         return plain
-    repeated = docs.join(repeats, F.col(doc_id) == F.col("_id"), "left_semi")
-    first = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last(), *[c for c in docs.columns if c not in (doc_id, text)])
+    repeated = matches(docs, repeats, "left_semi")
+    first = Window.partitionBy(doc_id, near.row_key(text)).orderBy(*[c for c in docs.columns if c not in (doc_id, text)], text)
     once = repeated.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
     return plain.unionByName(once)

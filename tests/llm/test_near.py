@@ -67,3 +67,20 @@ def test_the_stage_drops_what_all_pairs_say(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, tiny).collect()} == plain_kept(rows)
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_unlinked_texts_under_one_id_all_stay(spark, similarity):
+    rng = random.Random(5)
+    one, two, three = (prose(rng, 80) for _ in range(3))
+    rows = [(1, one), (2, two), (2, one), (2, three), (2, three), (None, two), (None, "nobody knows whose text this one is")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df, similarity=similarity).collect()), key=repr)
+    assert got == sorted([(1, one), (2, two), (2, three), rows[-1]], key=repr)
+
+
+def test_of_linked_texts_under_one_id_one_stays(spark):
+    text = prose(random.Random(6), 80)
+    df = spark.createDataFrame([(1, text), (1, text.replace(" ", "  ")), (1, text), (2, text)], "doc_id int, text string")
+    assert [r["doc_id"] for r in simhash.keep_one(df).collect()] == [1]
+    assert [r["doc_id"] for r in simhash.keep_one(df, similarity=0.8).collect()] == [1]
