@@ -7,17 +7,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, decontaminate, langid, lines, lm, mixing, pii, rules, simhash, tokens
+from gleaner.llm import classifier, crosstok, decontaminate, langid, lines, lm, mixing, pii, rules, simhash, tokens
 
 
-def tokenizer_path() -> str:
-    """The vocabulary that the token counts are asked for; ``GLEANER_TOKENIZER`` names another file."""
-    path = os.environ.get("GLEANER_TOKENIZER")
+def tokenizer_path(name: str = "byte_bpe_50k.json", variable: str = "GLEANER_TOKENIZER") -> str:
+    """A vocabulary of the public tokenizers; the environment's ``variable`` names another file."""
+    path = os.environ.get(variable)
     if path:
         return path
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def read(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -99,9 +99,15 @@ def op10_lm_scoring(spark: SparkSession, base: str) -> DataFrame:
     return lm.score(read(spark, base, "documents"), classifier.held_out(folds=7, fold=2))
 
 
+def op13_cross_tokenizer(spark: SparkSession, base: str) -> DataFrame:
+    pieces = tokenizer_path("piece_bpe_32k.model", "GLEANER_PIECES")
+    found = crosstok.align(read(spark, base, "documents"), tokenizer_path(), pieces, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_classifier, op3_simhash, op4_token_counts, op5_decontamination, op6_mixing,
-    op7_pii, op8_quality_rules, op9_language_id, op10_lm_scoring,
+    op7_pii, op8_quality_rules, op9_language_id, op10_lm_scoring, op13_cross_tokenizer,
 )}
 
 # The words and windows of both tables, the windows joined by their words.
