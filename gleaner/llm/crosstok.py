@@ -18,10 +18,11 @@ stored pairs of each text. Texts are tokenized once.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.storage import durable, in_small_batches, in_stages
-from gleaner.llm.texts import slices, texts_of
-from gleaner.llm.tokens import byte_letters
+from gleaner.llm.texts import ragged, slices, texts_of
+from gleaner.llm.tokens import PATTERN, byte_letters, plain_byte_level
 
 # Bytes of text whose lanes advance together.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 # Tokens of A after which a long text goes on in another lane.
 LANE = 2048
 # Links that are written out at once; the links of a larger group are counted by its distinct ids.
@@ -44,6 +45,7 @@ BROADCAST_PAIRS = 4_000_000
 # Pieces of text whose tokens are remembered, and the longest of them.
 REMEMBERED = 300_000
 LONGEST = 64
+UNITS_AT_ONCE = 5_000
 
 # The characters of Unicode's White_Space, and the sign that stands for a space in pieces.
 SPACES = "\t-\r \x85\xa0  -     　"
@@ -73,19 +75,29 @@ def _tokenizer(encode: Callable[[list[str]], list[list[int]]], tokens: list[byte
 
 
 def byte_level(spec: bytes) -> Tokenizer:
-    """A byte-level BPE of the ``tokenizers`` library, from the content of its file."""
-    from tokenizers import Tokenizer as Library
+    """A byte-level BPE from the content of a ``tokenizers`` file; special strings in texts are plain text.
 
-    library = Library.from_str(spec.decode())
-    library.encode_special_tokens = True
+    Where ids rise in the order of the merges, an id is a token's rank, which is all that a
+    byte pair encoding asks for; a file that asks for more is refused.
+    """
+    import tiktoken
+
+    model = json.loads(spec)["model"]
+    ids = model["vocab"]
+    merged = [ids["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:])) or not plain_byte_level(json.loads(spec)):
+        raise ValueError("not a plain byte-level BPE in the order of its merges")
     byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
-    tokens = [b""] * library.get_vocab_size(with_added_tokens=True)
-    for token, number in library.get_vocab(with_added_tokens=True).items():
+    tokens, ranks = [b""] * (max(ids.values()) + 1), {}
+    for token, number in ids.items():
         known = all(c in byte_of for c in token)
         tokens[number] = bytes(byte_of[c] for c in token) if known else token.encode()
+        if known and (len(token) == 1 or number >= merged[0]) and number <= merged[-1]:
+            ranks[tokens[number]] = number
+    library = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(units: list[str]) -> list[list[int]]:
-        return [e.ids for e in library.encode_batch(units, add_special_tokens=False)]
+        return list(map(library.encode_ordinary, units))
 
     return _tokenizer(encode, tokens)
 
@@ -128,40 +140,41 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per tokenizer the ids of all texts, each with a space in front, and where each text begins."""
         units = [UNITS(" " + text) for text in texts]
+        per_text = np.concatenate(([0], np.cumsum([len(one) for one in units]))).astype(np.int64)
         if len(self.place) > self.remembered:
             self.forget()
-        unknown = list(set().union(*units) - self.place.keys())
+        every = list(chain.from_iterable(units))
+        places = np.fromiter(map(self.place.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(places < 0).tolist()
+        asked = [every[i] for i in missing]
         # Longer units come last, so that they can be forgotten after this batch.
-        unknown.sort(key=lambda u: len(u) > LONGEST)
+        fresh = sorted(dict.fromkeys(asked), key=lambda u: len(u) > LONGEST)
         begin = len(self.place)
-        self.place.update(zip(unknown, range(begin, begin + len(unknown))))
-        for side, tokenizer in enumerate(self.tokenizers):
-            found = tokenizer.encode(unknown) if unknown else []
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
-            self.ids[side] = np.concatenate((self.ids[side], flat))
-            self.first[side] = np.concatenate((self.first[side], self.first[side][-1] + np.cumsum(counts)))
-        places = np.fromiter(map(self.place.__getitem__, chain.from_iterable(units)), np.int64, sum(map(len, units)))
-        per_text = np.concatenate(([0], np.cumsum([len(one) for one in units]))).astype(np.int64)
+        self.place.update(zip(fresh, range(begin, begin + len(fresh))))
+        places[missing] = [self.place[u] for u in asked]
         out = []
-        for side in range(2):
+        for side, tokenizer in enumerate(self.tokenizers):
+            self._learn(side, tokenizer, fresh)
             first = self.first[side]
             begins, sizes = first[places], first[places + 1] - first[places]
             ends = np.concatenate(([0], np.cumsum(sizes)))
             out.append((self.ids[side][ragged(begins, sizes)], ends[per_text]))
-        short = begin + sum(len(u) <= LONGEST for u in unknown)
-        for unit in unknown[short - begin :]:
+        long = [u for u in reversed(fresh) if len(u) > LONGEST]
+        for unit in long:
             del self.place[unit]
-        for side in range(2):
-            self.first[side] = self.first[side][: short + 1]
+        for side in range(2) if long else ():
+            self.first[side] = self.first[side][: len(self.place) + 1]
             self.ids[side] = self.ids[side][: self.first[side][-1]]
         return out
 
-
-def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The positions ``begins[i] .. begins[i] + sizes[i]`` of all ``i``, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - begins, sizes)
+    def _learn(self, side: int, tokenizer: Tokenizer, fresh: list[str]) -> None:
+        ids, sizes = [self.ids[side]], []
+        for at in range(0, len(fresh), UNITS_AT_ONCE):
+            found = tokenizer.encode(fresh[at : at + UNITS_AT_ONCE])
+            sizes.extend(map(len, found))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int64))
+        self.ids[side] = np.concatenate(ids)
+        self.first[side] = np.concatenate((self.first[side], self.first[side][-1] + np.cumsum(sizes, dtype=np.int64)))
 
 
 # -- cuts ------------------------------------------------------------------------------------------
@@ -337,6 +350,22 @@ def content(path: str) -> bytes:
         return file.read()
 
 
+class Aligners:
+    """The content of both files; the aligner is made once per Python worker and stays there."""
+
+    def __init__(self, byte_level_path: str, pieces_path: str):
+        self.specs = content(byte_level_path), content(pieces_path)
+        self.made: Aligner | None = None
+
+    def __getstate__(self) -> dict:
+        return {"specs": self.specs, "made": None}
+
+    def get(self) -> Aligner:
+        if self.made is None:
+            self.made = Aligner(byte_level(self.specs[0]), pieces(self.specs[1]))
+        return self.made
+
+
 def alignments(
     docs: DataFrame, byte_level_path: str, pieces_path: str, doc_id: str = "doc_id", text: str = "text", digest: bool = False
 ) -> DataFrame:
@@ -349,10 +378,10 @@ def alignments(
     their own; other columns are not read. The vocabularies are read on the driver
     and broadcast; their size is fixed.
     """
-    specs = docs.sparkSession.sparkContext.broadcast((content(byte_level_path), content(pieces_path)))
+    held = docs.sparkSession.sparkContext.broadcast(Aligners(byte_level_path, pieces_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_level(specs.value[0]), pieces(specs.value[1]))
+        aligner = held.value.get()
         for batch in slices(batches, "_text", BATCH_BYTES):
             found = aligner.align(texts_of(batch, "_text"))
             groups = found["groups"]

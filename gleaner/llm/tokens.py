@@ -55,19 +55,24 @@ def byte_letters() -> list[str]:
     return letters
 
 
-def load_vocabulary(path: str) -> Vocabulary:
-    """Read a ``tokenizers`` file with a byte-level BPE; a file that asks for more is refused."""
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
+def plain_byte_level(spec: dict) -> bool:
+    """Whether a ``tokenizers`` file is a byte-level BPE and nothing else."""
     model, split = spec["model"], spec["pre_tokenizer"]
-    plain = (
+    return (
         model["type"] == "BPE" and split["type"] == "ByteLevel" and split.get("use_regex", True)
         and not split["add_prefix_space"] and spec["normalizer"] is None and spec["post_processor"] is None
         and not model.get("ignore_merges") and not model.get("dropout")
         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
     )
-    if not plain:
+
+
+def load_vocabulary(path: str) -> Vocabulary:
+    """Read a ``tokenizers`` file with a byte-level BPE; a file that asks for more is refused."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    if not plain_byte_level(spec):
         raise ValueError(f"not a plain byte-level BPE: {path}")
+    model = spec["model"]
     ids = model["vocab"]
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     size = max(ids.values()) + 1
