@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, crosstok, decontaminate, langid, lines, lm, mixing, pii, rules, simhash, tokens
+from gleaner.llm import (
+    classifier, crosstok, decontaminate, langid, lines, lm, mixing, pii, rules, simhash, spelling, tokens, wrappers,
+)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json", variable: str = "GLEANER_TOKENIZER") -> str:
@@ -99,6 +101,14 @@ def op10_lm_scoring(spark: SparkSession, base: str) -> DataFrame:
     return lm.score(read(spark, base, "documents"), classifier.held_out(folds=7, fold=2))
 
 
+def op11_spelling_variants(spark: SparkSession, base: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, base, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, base: str) -> DataFrame:
+    return wrappers.extract(read(spark, base, "pages"))
+
+
 def op13_cross_tokenizer(spark: SparkSession, base: str) -> DataFrame:
     pieces = tokenizer_path("piece_bpe_32k.model", "GLEANER_PIECES")
     found = crosstok.align(read(spark, base, "documents"), tokenizer_path(), pieces, digest=True)
@@ -107,7 +117,8 @@ def op13_cross_tokenizer(spark: SparkSession, base: str) -> DataFrame:
 
 REGISTRY = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_classifier, op3_simhash, op4_token_counts, op5_decontamination, op6_mixing,
-    op7_pii, op8_quality_rules, op9_language_id, op10_lm_scoring, op13_cross_tokenizer,
+    op7_pii, op8_quality_rules, op9_language_id, op10_lm_scoring, op11_spelling_variants,
+    op12_html_extraction, op13_cross_tokenizer,
 )}
 
 # The words and windows of both tables, the windows joined by their words.
@@ -210,9 +221,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failing JOIN hosts ON failing.source IS NOT DISTINCT FROM hosts.source CROSS JOIN prior
 """
 
+# CRC-32 by its table; near words share what is left when one letter of each is deleted.
+OP11_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i AS c FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, xor(c >> 1, 3988292384 * (c & 1)) FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT id, run, hex(id || ':' || run) AS h, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2),
+    lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS code FROM counted, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN code % 31 = 0 THEN run[1:code % length(run)] || run[code % length(run) + 2:] ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM cuts a JOIN words w ON a.rest = w.word
+  UNION SELECT w.word, a.word, a.n FROM cuts a JOIN words w ON a.rest = w.word),
+tops AS (
+  SELECT word, count(*) AS n_near, max(m) AS form_n FROM pairs GROUP BY word),
+firsts AS (SELECT word, n_near, form_n, min(other) AS form FROM pairs JOIN tops USING (word) WHERE m = form_n GROUP BY ALL),
+judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form,
+    CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM words LEFT JOIN firsts USING (word)),
+paths AS (
+  SELECT word, form AS last FROM judged WHERE form IS NOT NULL
+  UNION ALL SELECT paths.word, judged.form FROM paths JOIN judged ON paths.last = judged.word WHERE judged.form IS NOT NULL),
+ends AS (SELECT paths.word, last FROM paths JOIN judged ON last = judged.word WHERE judged.form IS NULL)
+SELECT judged.word AS word, form, coalesce(last, judged.word) AS root, n, n_near, form_n FROM judged LEFT JOIN ends ON judged.word = ends.word
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op5_decontamination": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
