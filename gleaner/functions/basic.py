@@ -35,6 +35,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def held(value: Columnish) -> Column:
+    """``value`` as the argument of a Python function.
+
+    Spark cannot hand nested lambdas to Python. A column that is named twice is
+    computed by the projection below, however it is made, and handed over as it is.
+    """
+    column = as_column(value)
+    return F.when(column.isNotNull(), column)
+
+
 def strip(text: Columnish) -> Column:
     """Trim Unicode white space at both ends."""
     return F.btrim(as_column(text), F.lit(SPACE_CHARS))

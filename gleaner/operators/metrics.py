@@ -2,6 +2,8 @@
 
 All of it is row-local: a pair of texts is scored where it lies, without a
 shuffle, so a page of any size and a domain of any size cost the same per row.
+Words are counted and passages are looked up batch by batch, in time that grows
+with the texts.
 """
 
 from __future__ import annotations
@@ -19,141 +21,38 @@ from ..config import (
     THRESHOLDS,
     Thresholds,
 )
-from ..functions.basic import Columnish, as_column, let, lines, ratio, strip
-from ..functions.markup import normalise, strip_markdown, visible_text
-from ..functions.tokens import token_bag, token_set
+from ..functions.basic import Columnish, as_column, let, strip
+from ..functions.markup import strip_markdown
+from ..functions.tokens import token_bag
+from .scorer import BAG_FIELDS, TOKEN_FIELDS, scores
+from .windows import grounded, look_up
 
-TOKEN_FIELDS = ("precision", "recall", "f1", "extracted_count", "sample_count", "intersection_count")
-BAG_FIELDS = ("cosine", "jaccard", "excess_ratio")
 METRICS = ("precision", "recall", "f1", "cosine", "jaccard", "excess_ratio")
 
 
-def _token_level(texts: Column) -> Column:
-    """``texts`` is the array of the parsed and the gold text, both plain."""
-    def from_counts(n: Column) -> Column:
-        precision = ratio(n.shared, n.extracted)
-        recall = ratio(n.shared, n.sample)
-        f1 = ratio(2 * precision * recall, precision + recall)
-        return F.struct(
-            precision.alias("precision"),
-            recall.alias("recall"),
-            f1.alias("f1"),
-            n.extracted.alias("extracted_count"),
-            n.sample.alias("sample_count"),
-            n.shared.alias("intersection_count"),
-        )
-
-    def counts(sets: Column) -> Column:
-        return F.struct(
-            F.size(F.array_intersect(sets[0], sets[1])).alias("shared"),
-            F.size(sets[0]).alias("extracted"),
-            F.size(sets[1]).alias("sample"),
-        )
-
-    return let(let(F.transform(texts, token_set), counts), from_counts)
-
-
-def _bag_similarity(texts: Column) -> Column:
-    """One sorted pass over the bags of the parsed and the gold text together.
-
-    Sorted by word and then side, a word's gold occurrences come first, so when
-    its parsed ones arrive every sum can grow by what the new occurrence adds.
-    """
-    names = ("word", "parsed", "gold", "dot", "overlap", "parsed_squares", "gold_squares", "union", "shared")
-
-    def state(acc: Column | None, **changed: Column) -> Column:
-        return F.struct(*[(changed[n] if n in changed else acc[n]).alias(n) for n in names])
-
-    def number(value: int) -> Column:
-        return F.lit(value).cast("long")
-
-    def step(acc: Column, item: Column) -> Column:
-        same_word = acc.word == item.word
-        return (
-            F.when(
-                item.from_parsed & same_word,
-                state(
-                    acc,
-                    parsed=acc.parsed + 1,
-                    dot=acc.dot + acc.gold,
-                    overlap=acc.overlap + (acc.parsed < acc.gold).cast("long"),
-                    parsed_squares=acc.parsed_squares + acc.parsed * 2 + 1,
-                    shared=acc.shared + ((acc.parsed == 0) & (acc.gold > 0)).cast("long"),
-                ),
-            )
-            .when(
-                same_word,
-                state(acc, gold=acc.gold + 1, gold_squares=acc.gold_squares + acc.gold * 2 + 1),
-            )
-            .when(
-                item.from_parsed,
-                state(
-                    acc,
-                    word=item.word,
-                    parsed=number(1),
-                    gold=number(0),
-                    parsed_squares=acc.parsed_squares + 1,
-                    union=acc.union + 1,
-                ),
-            )
-            .otherwise(
-                state(
-                    acc,
-                    word=item.word,
-                    parsed=number(0),
-                    gold=number(1),
-                    gold_squares=acc.gold_squares + 1,
-                    union=acc.union + 1,
-                )
-            )
-        )
-
-    def tagged(bag: Column, from_parsed: bool) -> Column:
-        return F.transform(bag, lambda w: F.struct(w.alias("word"), F.lit(from_parsed).alias("from_parsed")))
-
-    start = state(None, word=F.lit(""), **{n: number(0) for n in names if n != "word"})
-
-    def score(bags: Column) -> Column:
-        parsed, gold = bags[0], bags[1]
-        merged = F.sort_array(F.concat(tagged(parsed, True), tagged(gold, False)))
-
-        def from_totals(t: Column) -> Column:
-            return F.struct(
-                (t.dot / (F.sqrt(t.parsed_squares) * F.sqrt(t.gold_squares))).alias("cosine"),
-                (t.shared / t.union).alias("jaccard"),
-                (1.0 - t.overlap / F.size(parsed)).alias("excess_ratio"),
-            )
-
-        nothing = F.struct(*[F.lit(0.0).alias(name) for name in BAG_FIELDS])
-        return F.when((F.size(parsed) == 0) | (F.size(gold) == 0), nothing).otherwise(
-            let(F.aggregate(merged, start, step), from_totals)
-        )
-
-    return let(F.transform(texts, token_bag), score)
-
-
 def _plain(parsed: Columnish, gold: Columnish) -> Column:
     """Both texts without their markdown; one expression serves both sides."""
     texts = F.array(*[F.coalesce(as_column(t), F.lit("")) for t in (parsed, gold)])
     return F.transform(texts, strip_markdown)
 
 
+def all_scores(parsed: Columnish, gold: Columnish) -> Column:
+    """struct of both families; each text is read once."""
+    return scores(as_column(parsed), as_column(gold))
+
+
+def _fields(parsed: Columnish, gold: Columnish, names: tuple[str, ...]) -> Column:
+    return let(all_scores(parsed, gold), lambda s: F.struct(*[s[n].alias(n) for n in names]))
+
+
 def token_level(parsed: Columnish, gold: Columnish) -> Column:
     """struct of precision, recall, f1 and the three set sizes."""
-    return let(_plain(parsed, gold), _token_level)
+    return _fields(parsed, gold, TOKEN_FIELDS)
 
 
 def similarity(parsed: Columnish, gold: Columnish) -> Column:
     """struct of cosine, Jaccard and excess ratio over word counts."""
-    return let(_plain(parsed, gold), _bag_similarity)
-
-
-def all_scores(parsed: Columnish, gold: Columnish) -> Column:
-    """Both families in one struct; the markdown is stripped once."""
-    return let(
-        _plain(parsed, gold),
-        lambda texts: F.struct(_token_level(texts).alias("tokens"), _bag_similarity(texts).alias("bags")),
-    )
+    return _fields(parsed, gold, BAG_FIELDS)
 
 
 def with_scores(df: DataFrame, parsed: str = "parsed_text", gold: str = "gold_text") -> DataFrame:
@@ -166,8 +65,7 @@ def with_scores(df: DataFrame, parsed: str = "parsed_text", gold: str = "gold_te
     scored = df.withColumn("_scores", F.when(both, all_scores(parsed, gold)))
     return scored.select(
         *df.columns,
-        *[F.col(f"_scores.tokens.{n}").alias(n) for n in TOKEN_FIELDS],
-        *[F.col(f"_scores.bags.{n}").alias(n) for n in BAG_FIELDS],
+        *[F.col(f"_scores.{n}").alias(n) for n in (*TOKEN_FIELDS, *BAG_FIELDS)],
     )
 
 
@@ -205,45 +103,9 @@ def judge_previews(
 # --- reference-free checks ---------------------------------------------------
 
 
-def is_anchored(passage: Column, haystack: Column, size: int = THRESHOLDS.anchor_words) -> Column:
-    """Whether a run of ``size`` words of ``passage`` occurs in an already normalised text.
-
-    ``haystack`` is used per window; bind it with ``let`` when it is computed.
-    """
-    def look_up(text: Column) -> Column:
-        def in_windows(parts: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.size(parts) - (size - 1))
-            return F.when(F.size(parts) < size, F.contains(haystack, text)).otherwise(
-                F.exists(
-                    starts,
-                    lambda i: F.contains(haystack, F.array_join(F.slice(parts, i, size), " ")),
-                )
-            )
-
-        # A passage found whole needs no windows; one without words is trivially there.
-        return F.when(F.contains(haystack, text), F.lit(True)).otherwise(let(F.split(text, " "), in_windows))
-
-    return let(normalise(passage), look_up)
-
-
 def grounded_fraction(markdown: Columnish, html: Columnish, limits: Thresholds = THRESHOLDS) -> Column:
     """Share of an extraction's long lines found on the page; NULL without long lines."""
-    long_lines = F.filter(
-        lines(as_column(markdown)), lambda line: F.length(strip(line)) >= limits.line_chars
-    )
-
-    def share(parts: Column) -> Column:
-        found = F.filter(parts.lines, lambda line: is_anchored(line, parts.page, limits.anchor_words))
-        return F.try_divide(F.size(found).cast("double"), F.size(parts.lines))
-
-    def measured(kept: Column) -> Column:
-        # The page is only read when there is a line to look for.
-        return F.when(
-            F.size(kept) > 0,
-            let(F.struct(kept.alias("lines"), visible_text(html).alias("page")), share),
-        )
-
-    return let(long_lines, measured)
+    return grounded(as_column(markdown), as_column(html), limits.line_chars, limits.anchor_words)
 
 
 def check_quotes(
@@ -255,43 +117,20 @@ def check_quotes(
         lambda q: F.coalesce(q != "", F.lit(False)),
     )
 
-    def check(parts: Column) -> Column:
-        def one(quote: Column) -> Column:
-            def judged(found: Column) -> Column:
-                verdict = (
-                    F.when(F.length(quote) < limits.quote_chars, QUOTE_TOO_SHORT)
-                    .when(~found.in_page, QUOTE_INVENTED)
-                    .when(found.in_extraction, QUOTE_PRESENT)
-                    .otherwise(QUOTE_CONFIRMED)
-                )
-                return F.struct(
-                    quote.alias("quote"),
-                    verdict.alias("verdict"),
-                    found.in_page.alias("in_page"),
-                    found.in_extraction.alias("in_extraction"),
-                )
-
-            return let(
-                F.struct(
-                    is_anchored(quote, parts.page, limits.anchor_words).alias("in_page"),
-                    is_anchored(quote, parts.extraction, limits.anchor_words).alias("in_extraction"),
-                ),
-                judged,
-            )
-
-        return F.transform(parts.quotes, one)
-
-    def read_if_needed(kept: Column) -> Column:
-        texts = F.struct(
-            kept.alias("quotes"),
-            visible_text(html).alias("page"),
-            normalise(markdown).alias("extraction"),
+    def judged(quote: Column, found: Column) -> Column:
+        verdict = (
+            F.when(F.length(quote) < limits.quote_chars, QUOTE_TOO_SHORT)
+            .when(~found.in_page, QUOTE_INVENTED)
+            .when(found.in_extraction, QUOTE_PRESENT)
+            .otherwise(QUOTE_CONFIRMED)
         )
-        return F.when(F.size(kept) > 0, let(texts, check)).otherwise(
-            F.array().cast("array<struct<quote:string,verdict:string,in_page:boolean,in_extraction:boolean>>")
+        return F.struct(
+            quote.alias("quote"), verdict.alias("verdict"), found.in_page.alias("in_page"),
+            found.in_extraction.alias("in_extraction"),
         )
 
-    return let(wanted, read_if_needed)
+    found = look_up(wanted, as_column(markdown), as_column(html), limits.anchor_words)
+    return F.zip_with(wanted, found, judged)
 
 
 def confirmed_omissions(quote_checks: Columnish) -> Column:

@@ -115,14 +115,14 @@ def run_records(
         *carried,
         F.when(is_ok, F.length("parsed_text")).alias("chars"),
         "grounded",
-        F.col("_scores.tokens.precision").alias("precision_val"),
-        F.col("_scores.tokens.recall").alias("recall_val"),
-        F.col("_scores.tokens.f1").alias("f1"),
-        F.col("_scores.bags.cosine").alias("cosine"),
-        F.col("_scores.bags.jaccard").alias("jaccard"),
-        F.col("_scores.bags.excess_ratio").alias("excess_ratio"),
-        F.col("_scores.tokens.extracted_count").alias("extracted_count"),
-        F.col("_scores.tokens.sample_count").alias("sample_count"),
+        F.col("_scores.precision").alias("precision_val"),
+        F.col("_scores.recall").alias("recall_val"),
+        F.col("_scores.f1").alias("f1"),
+        F.col("_scores.cosine").alias("cosine"),
+        F.col("_scores.jaccard").alias("jaccard"),
+        F.col("_scores.excess_ratio").alias("excess_ratio"),
+        F.col("_scores.extracted_count").alias("extracted_count"),
+        F.col("_scores.sample_count").alias("sample_count"),
         F.when(is_ok, F.col("parsed_text")).alias("parsed_text"),
     )
 

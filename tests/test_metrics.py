@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import math
 import random
+import re
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import metrics
+from gleaner.functions import markup
+from gleaner.operators import metrics, scorer, windows
 from gleaner.operators.metrics import METRICS, with_scores
 
 
@@ -159,3 +162,72 @@ def test_judge_previews_are_cut_after_stripping(spark):
     df = spark.createDataFrame([("**" + "a" * 1500 + "**", "# short")], "parsed_text string, gold_text string")
     row = metrics.judge_previews(df).first()
     assert row["parsed_preview"] == "a" * 1000 and row["gold_preview"] == "short"
+
+
+def plain_anchor(passage, text, size):
+    words = passage.split(" ") if passage else []
+    if len(words) < size:
+        return passage in text
+    return any(" ".join(words[i : i + size]) in text for i in range(len(words) - size + 1))
+
+
+def test_windows_are_found_as_a_search_for_strings_finds_them(monkeypatch):
+    rng = random.Random(3)
+    words = ["a", "b", "ab", "ba", "aab", "c"]
+    for scans in (0, 32):
+        monkeypatch.setattr(windows, "SCANS", scans)
+        for _ in range(600):
+            text = " ".join(rng.choices(words, k=rng.randint(0, 60)))
+            index = windows.WindowIndex(text)
+            for _ in range(6):
+                at = rng.randrange(len(text) + 1)
+                passage = text[at : at + rng.randint(1, 30)].strip(" ") + rng.choice(["", " c", " ab ab"])
+                for size in (1, 2, 3, 5, 8):
+                    assert index.anchors(passage.strip(" "), size) == plain_anchor(passage.strip(" "), text, size)
+
+
+def test_lookups_grow_with_the_page():
+    """Foreign lines of a page of megabytes: four times the text takes about four times as long, not sixteen."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(20_000)]
+
+    def seconds(scale):
+        text = " ".join(rng.choices(vocabulary, k=60_000 * scale))
+        lines = [" ".join(rng.choices(vocabulary, k=12)) for _ in range(1500 * scale)]
+        started = time.perf_counter()
+        assert not any(windows.anchored_in(lines, text, 8))
+        return time.perf_counter() - started
+
+    seconds(1)
+    assert seconds(4) < 10 * max(seconds(1), 0.05)
+    # A text of one sentence over and over has few distinct runs.
+    started = time.perf_counter()
+    windows.anchored_in([f"x the cat sat on the cat sat on y{i}" for i in range(1000)], "the cat sat on " * 100_000 + "end", 8)
+    assert time.perf_counter() - started < 20
+
+
+def test_both_scorers_against_plain_counts():
+    rng = random.Random(8)
+    for _ in range(300):
+        parsed, gold = (" ".join(rng.choices(["a", "b", "c", "1,400", "1.400", "(12%)", "d\te"], k=rng.randint(0, 30))) for _ in range(2))
+        one, other = Counter(parsed.split()), Counter(gold.split())
+        got = dict(zip(scorer.SCORES.names, scorer.score_pair(parsed, gold)))
+        sets = [{{"1,400": "1400", "1.400": "1400", "(12%)": "12"}.get(t, t) for t in re.split("[ \n]", x.replace("\t", " ")) if t} for x in (parsed, gold)]
+        assert (got["extracted_count"], got["sample_count"], got["intersection_count"]) == (*map(len, sets), len(sets[0] & sets[1]))
+        if one and other:
+            dot = sum(one[w] * other[w] for w in one)
+            assert got["cosine"] == pytest.approx(dot / (sum(n * n for n in one.values()) * sum(n * n for n in other.values())) ** 0.5)
+            assert got["jaccard"] == pytest.approx(len(one.keys() & other.keys()) / len(one.keys() | other.keys()))
+            assert got["excess_ratio"] == pytest.approx(1 - (one & other).total() / one.total())
+        else:
+            assert got["cosine"] == got["jaccard"] == got["excess_ratio"] == 0.0
+
+
+def test_arguments_may_hold_nested_lambdas(spark):
+    """Texts made by column functions with lambdas in lambdas reach the Python scorers."""
+    df = spark.createDataFrame([("a *b* c &amp; d", "<p>a b c &amp; d and so on, a line of more than forty characters</p>")], "m string, h string")
+    made = df.select(markup.strip_markdown("m").alias("parsed_text"), markup.unescape("h").alias("html_text"))
+    row = made.select(metrics.all_scores("parsed_text", "parsed_text").f1.alias("f1")).first()
+    assert row["f1"] == 1.0
+    assert made.select(metrics.grounded_fraction("html_text", "html_text").alias("g")).first()["g"] == 1.0
+    assert with_scores(made.select("parsed_text", F.col("html_text").alias("gold_text"))).first()["f1"] > 0

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import html as html_lib
+import random
+import time
 from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions import markup, tokens, urls
+from gleaner.functions import markup, plain, tokens, urls
 from gleaner.functions.basic import signed_difference, strip, words
 
 
@@ -162,3 +164,42 @@ def test_signed_difference(spark):
     rows = spark.createDataFrame([(0.5, 0.5004), (0.5, 0.7), (None, 1.0)], "a double, b double")
     got = [r[0] for r in rows.select(signed_difference("a", "b")).collect()]
     assert got[0] == 0.0 and got[1] == pytest.approx(0.2) and got[2] is None
+
+
+MARKS = [
+    "a", "b c", "word", " ", "  ", "\n", "\n\n", "*", "**", "***", "_", "__", "___", "`", "``", "```\n", "~~~", "~~", "|", "|-|-|", "\n|-|-|\n",
+    "---|---", "# ", "- ", "1. ", "> ", "[a]", "[a](b)", "![x](y)", "[a]: http://x\n", "[a][b]", "[b]: z\n", "\\*", "\\", "&amp;", "&lt", "&#65;",
+    "<b>", "</b>", "<http://x.y>", "é", "\t", "===\n", "---\n", "\xa0", "’", "x_y", "\ue0000\ue001", "&#xE000;", "İ",
+]
+TAGS = [
+    "<p>", "</p>", "<script>", "</script>", "<style>", "</style >", "a", "b c", " ", "\n", "<!--", "-->", "<br/>", "<a href='x>y'>", "<rt>", "</rt>",
+    "</ruby>", '<div class="a>b">', "<", "</", "&amp;", "&#x41;", "[12]", "x_y", "é", "İ", "²", "<template>", "</template>", "1<2", "\u0301", "٣",
+]
+
+
+def test_python_reads_texts_as_the_column_functions_do(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices(MARKS, k=rng.randint(1, 25))) for _ in range(1500)]
+    for mark in "*_":
+        texts += ["".join(rng.choices([mark, "a", " ", "b", "\n", mark * 2, mark * 3], k=rng.randint(1, 30))) for _ in range(1000)]
+    pages = ["".join(rng.choices(TAGS, k=rng.randint(1, 25))) for _ in range(1500)]
+    df = spark.createDataFrame(list(zip(texts, pages)), "t string, h string")
+    rows = df.select("*", markup.strip_markdown("t").alias("plain"), markup.visible_text("h").alias("visible"))
+    for row in rows.select("*", tokens.normalise_for_compare("plain").alias("compared"), markup.normalise("t").alias("normal")).collect():
+        assert plain.strip_markdown(row["t"]) == row["plain"]
+        assert plain.normalise_for_compare(row["plain"]) == row["compared"]
+        assert plain.normalise(row["t"]) == row["normal"]
+        assert plain.visible_text(row["h"]) == row["visible"]
+
+
+def test_emphasis_of_any_depth_takes_one_pass():
+    started = time.perf_counter()
+    for text in ("*" * 10_000 + "a" + "*" * 10_000, "_" * 10_000 + "a" + "_" * 10_000):
+        assert plain.strip_markdown(text) == "a"
+    nested = "*x " * 5_000 + "y" + " x*" * 5_000
+    assert plain.strip_markdown(nested) == nested.replace("*", "")
+    assert time.perf_counter() - started < 5
+
+
+def test_windows_line_ends():
+    assert plain.strip_markdown("# Title\r\n\r\n---\r\nText **bold**\r\n").split() == ["Title", "Text", "bold"]
