@@ -14,22 +14,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import near
-from gleaner.llm.storage import durable, in_small_batches, lookup
-from gleaner.llm.texts import slices, texts_of
+from gleaner.llm.groups import connected
+from gleaner.llm.storage import durable, free_prefix, in_small_batches, lookup
+from gleaner.llm.texts import shingle_hashes, slices, texts_of
+from gleaner.llm.trees import Forest, merge_labels
 
-SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 3
 # Fingerprints of one shard. Above 2**15, so that the last cut always suffices.
 SHARD_LIMIT = 40_000
 # Trees are built and searched over so many fingerprints at once, whole shards each.
 FOREST_ROWS = 100_000
-FRONTIER = 2_000_000
 # Ids of dropped documents that are broadcast; beyond it documents are joined by id.
 BROADCAST_IDS = 1_000_000
 
@@ -37,23 +36,6 @@ BROADCAST_IDS = 1_000_000
 # -- fingerprints ---------------------------------------------------------------------------------
 
 
-def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> list[int]:
-    """XXH64 of every run of ``size`` words, repeats included; of all words when there are fewer."""
-    words = text.encode().lower().split()
-    if not words:
-        return []
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return [digest(joined, SEED)]
-    at, starts = 0, []
-    for word in words:
-        starts.append(at)
-        at += len(word) + 1
-    starts.append(at)
-    return [digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[size:])]
-
-
 def fingerprints_of(texts: list[str], size: int = SHINGLE_WORDS) -> np.ndarray:
     """A 64-bit fingerprint per text: a bit is set if it is in over half of the shingle hashes."""
     per_text = [shingle_hashes(t, size) for t in texts]
@@ -92,79 +74,7 @@ def with_fingerprints(
     )
 
 
-# -- BK-trees --------------------------------------------------------------------------------------
-
-
-class Forest:
-    """One BK-tree per shard, all held in flat arrays and walked level by level.
-
-    ``edges`` holds ``parent * 65 + distance`` of every child in ascending
-    order, ``children`` the child; a search for the edges within a radius is
-    thus a range of that array.
-    """
-
-    def __init__(self, prints: np.ndarray, tree: np.ndarray):
-        """``prints`` are distinct within a tree; ``tree`` is ascending."""
-        self.prints = prints
-        self.roots = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
-        self.root_of = np.repeat(self.roots, np.diff(np.append(self.roots, len(prints))))
-        waiting = np.setdiff1d(np.arange(len(prints)), self.roots, assume_unique=True)
-        at = self.root_of[waiting]
-        edges, children = [], []
-        while len(waiting):
-            edge = at * 65 + np.bitwise_count(prints[waiting] ^ prints[at]).astype(np.int64)
-            # The first that arrives over an edge becomes the child, the others go on below it.
-            kinds, chosen, which = np.unique(edge, return_index=True, return_inverse=True)
-            edges.append(kinds)
-            children.append(waiting[chosen])
-            stays = np.ones(len(waiting), bool)
-            stays[chosen] = False
-            at = waiting[chosen][which[stays]]
-            waiting = waiting[stays]
-        edge = np.concatenate(edges) if edges else np.empty(0, np.int64)
-        order = np.argsort(edge, kind="stable")
-        self.edges = edge[order]
-        self.children = (np.concatenate(children) if children else np.empty(0, np.int64))[order]
-
-    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions, the smaller first, whose prints differ in at most ``radius`` bits."""
-        sizes = np.diff(np.append(self.roots, len(self.prints)))
-        load = np.cumsum(np.repeat(sizes, sizes))
-        at = 0
-        while at < len(self.prints):
-            before = load[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(load, before + FRONTIER, "right")))
-            yield from self._search(np.arange(at, end), radius)
-            at = end
-
-    def _search(self, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        node = self.root_of[asked]
-        while len(asked):
-            distance = np.bitwise_count(self.prints[asked] ^ self.prints[node]).astype(np.int64)
-            near = (distance <= radius) & (asked < node)
-            if near.any():
-                yield asked[near], node[near]
-            low = np.searchsorted(self.edges, node * 65 + np.maximum(distance - radius, 0))
-            high = np.searchsorted(self.edges, node * 65 + np.minimum(distance + radius, 64), "right")
-            count = high - low
-            offsets = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            node = self.children[np.repeat(low, count) + offsets]
-            asked = np.repeat(asked, count)
-
-
-def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Give both ends of every link, and all they are already joined to, the smallest label."""
-    while True:
-        left, right = label[a], label[b]
-        open_ = left != right
-        if not open_.any():
-            return
-        a, b, left, right = a[open_], b[open_], left[open_], right[open_]
-        low = np.minimum(left, right)
-        np.minimum.at(label, left, low)
-        np.minimum.at(label, right, low)
-        while (shorter := label[label] != label).any():
-            label[shorter] = label[label[shorter]]
+# -- links in shards -------------------------------------------------------------------------------
 
 
 def shard_links(prints: np.ndarray, tree: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -288,46 +198,6 @@ def links(prints: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMI
 # -- groups ----------------------------------------------------------------------------------------
 
 
-def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """``node`` and ``root`` (the smallest node reachable) for every end of an edge (``a``, ``b``).
-
-    Each round gives every node's root the smallest root among the node's
-    neighbours and then shortens the paths, so the number of rounds grows with
-    the logarithm of the longest path. Sums and minima are combined before any
-    shuffle; tables are keyed by unique nodes and checkpointed, so a crowded
-    root can be split by the adaptive join.
-    """
-    edges = durable(edges.where("a <> b").distinct())
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    state = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("root")
-    ))
-    for _ in range(rounds):
-        root_of = state.select(F.col("node").alias("b"), F.col("root").alias("seen"))
-        own = state.select(F.col("node").alias("a"), F.col("root").alias("own"))
-        # The smallest root next to a root's members becomes that root's new root.
-        offers = (
-            both.join(root_of, "b").select("a", "seen").groupBy("a").agg(F.min("seen").alias("seen"))
-            .join(own, "a").where("seen < own").select(F.col("own").alias("node"), F.col("seen").alias("offer"))
-            .groupBy("node").agg(F.min("offer").alias("offer"))
-        )
-        changed = durable(offers)
-        if changed.isEmpty():
-            return state
-        state = durable(
-            state.join(changed, "node", "left").select("node", F.least("root", "offer").alias("root"))
-        )
-        while True:
-            above = state.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-            moved = state.join(above, "root").select("node", F.col("higher").alias("root"), (F.col("higher") < F.col("root")).alias("moved"))
-            state = durable(moved)
-            if state.where("moved").isEmpty():
-                state = state.drop("moved")
-                break
-            state = state.drop("moved")
-    raise RuntimeError(f"groups did not settle in {rounds} rounds")
-
-
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -377,8 +247,9 @@ def keep_one(
     Rows are told apart by id and text, so texts under one id that are not linked
     all stay. Of several texts under a group's smallest id one stays, and one row
     of those that repeat it. A row without an id stays if no other of its group
-    has one.
+    has one. Other columns may have any names.
     """
+    mark = free_prefix(docs.columns)
     if similarity is None:
         rows = durable(with_fingerprints(docs, doc_id, text, shingle_words or SHINGLE_WORDS, keyed=True)).withColumnRenamed("_fp", "_key")
         roots = connected(links(rows.select(F.col("_key").alias("_fp")).distinct(), radius, shard_limit))
@@ -394,8 +265,8 @@ def keep_one(
     def matches(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         """Rows of ``left``, which may be ``docs``, that are or are not among ``right``."""
         own, key = (F.col(doc_id), near.row_key(text)) if left is docs else (left["_id"], left["_row"])
-        right = right.select(F.col("_id").alias("_their_id"), F.col("_row").alias("_their_row"))
-        return left.join(right, own.eqNullSafe(F.col("_their_id")) & (key == F.col("_their_row")), how)
+        right = right.select(F.col("_id").alias(f"{mark}id"), F.col("_row").alias(f"{mark}row"))
+        return left.join(right, own.eqNullSafe(F.col(f"{mark}id")) & (key == F.col(f"{mark}row")), how)
 
     lost = matches(marks, kept, "left_anti").select("_id", "_row")
     repeats = durable(matches(marks.where("rows > 1"), kept, "left_semi").select("_id", "_row"))
@@ -405,5 +276,6 @@ def keep_one(
         return plain
     repeated = matches(docs, repeats, "left_semi")
     first = Window.partitionBy(doc_id, near.row_key(text)).orderBy(*[c for c in docs.columns if c not in (doc_id, text)], text)
-    once = repeated.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+    place = f"{mark}place"
+    once = repeated.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
     return plain.unionByName(once)

@@ -27,6 +27,14 @@ def in_small_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
     return df
 
 
+def free_prefix(columns: Iterable[str]) -> str:
+    """A prefix that none of the columns has, for columns of one's own beside them."""
+    taken, prefix = [c.lower() for c in columns], "_x_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix = "_x" + prefix
+    return prefix
+
+
 def shared_folder(session: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, one below the
     warehouse, which executors share as well."""

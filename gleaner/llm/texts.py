@@ -13,8 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 19
+SHINGLE_SEED = 42
 
 # Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -151,3 +153,20 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for place, power in enumerate(powers(BASE, size)):
         total += words[place : place + count] * power
     return mixed(total)
+
+
+def shingle_hashes(text: str, size: int) -> list[int]:
+    """XXH64 of every run of ``size`` words, repeats included; of all words when there are fewer."""
+    words = text.encode().lower().split()
+    if not words:
+        return []
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= size:
+        return [digest(joined, SHINGLE_SEED)]
+    at, starts = 0, []
+    for word in words:
+        starts.append(at)
+        at += len(word) + 1
+    starts.append(at)
+    return [digest(joined[a : b - 1], SHINGLE_SEED) for a, b in zip(starts, starts[size:])]

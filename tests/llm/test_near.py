@@ -1,29 +1,19 @@
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
-from llm_helpers import prose
+from llm_helpers import plain_kept, plain_set, prose
+from pyspark.sql import functions as F
 
 from gleaner.llm import near, simhash
 
-
-def plain_set(text):
-    return set(simhash.shingle_hashes(text or "", 5))
-
-
-def plain_kept(rows, bar=0.8):
-    """The smallest id of every group, all texts compared with all."""
-    sets = [plain_set(t) for _, t in rows]
-    group = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if group[i] != group[j] and (sets[i] == sets[j] or both >= bar * len(sets[i] | sets[j])):
-                old, new = group[i], group[j]
-                group = [new if g == old else g for g in group]
-    return {min(r[0] for r, g in zip(rows, group) if g == x) for x in set(group)}
+ROOT = Path(__file__).resolve().parents[2]
 
 
 def changed(rng, text, words):
@@ -84,3 +74,64 @@ def test_of_linked_texts_under_one_id_one_stays(spark):
     df = spark.createDataFrame([(1, text), (1, text.replace(" ", "  ")), (1, text), (2, text)], "doc_id int, text string")
     assert [r["doc_id"] for r in simhash.keep_one(df).collect()] == [1]
     assert [r["doc_id"] for r in simhash.keep_one(df, similarity=0.8).collect()] == [1]
+
+
+@pytest.fixture(scope="module")
+def template():
+    """Pages of one site: a common frame, so all are alike to 0.78, and copies in pairs at 0.82 and more."""
+    rng = random.Random(21)
+    frame = [f"w{i}" for i in range(300)]
+    rows = []
+    for page in range(150):
+        own = [f"p{page}x{i}" for i in range(36)]
+        text = frame[:150] + own + frame[150:]
+        other = list(text)
+        other[150 + rng.randrange(20)] = f"q{page}"
+        rows += [" ".join(text), " ".join(other)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [near.BLOCK, 20])
+def test_pairs_in_a_crowd_of_one_template_are_all_linked(spark, template, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    sets = [plain_set(t) for _, t in template[:40]]
+    alike = sorted(len(a & b) / len(a | b) for n, a in enumerate(sets) for b in sets[:n])
+    assert 0.7 < alike[0] < 0.8
+    df = spark.createDataFrame(template, "doc_id int, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in simhash.keep_one(df, similarity=0.8).collect())
+    assert len(got) == 150
+    assert got == sorted(plain_kept(template))
+
+
+def test_fingerprints_are_those_of_simhash():
+    rng = random.Random(2)
+    texts = [prose(rng, n) for n in (1, 4, 5, 9, 200)]
+    expected = simhash.fingerprints_of(texts, 5).view("int64").tolist()
+    assert [near.fingerprint(simhash.shingle_hashes(t, 5)) for t in texts] == expected
+
+
+def test_clashing_columns(spark):
+    text = prose(random.Random(6), 80)
+    rows = [(1, text, 7), (1, text, 7), (2, text, 7), (3, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _place int").withColumn("_their_id", F.col("_place")).withColumn("_id", F.lit(5))
+    for similarity in (None, 0.8):
+        got = simhash.keep_one(df, similarity=similarity)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == [(1, text, 7, 7, 5), (3, "", 7, 7, 5)]
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """The library on the driver's path only, the workers elsewhere."""
+    code = (
+        f"import sys; sys.path.insert(0, {str(ROOT)!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '1')"
+        f".config('spark.checkpoint.dir', {str(tmp_path)!r}).config('spark.sql.warehouse.dir', {str(tmp_path)!r}).getOrCreate()\n"
+        "from gleaner.llm import simhash\n"
+        "df = spark.createDataFrame([(1, 'a b c d e f'), (2, 'a b c d e f'), (3, 'g')], 'doc_id int, text string')\n"
+        "print('kept', sorted(r[0] for r in simhash.keep_one(df, similarity=0.8).collect()))\n"
+    )
+    beside = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=beside, capture_output=True, text=True, timeout=240)
+    assert "kept [1, 3]" in done.stdout, done.stderr[-2000:]
