@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.storage import durable, lookup
+from gleaner.llm.storage import durable, free_prefix, lookup
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_ROUNDS = 3
@@ -34,6 +34,11 @@ def place_of(doc_id: str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
 
 
+def text_of(text: str) -> Column:
+    """Tells rows of one id and size apart: a hash of the text; a null text is the empty one."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def range_of(place: Column, ranges: Column) -> Column:
     """Which of ``ranges`` equal ranges a place lies in."""
     fraction = F.conv(F.substring(place, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
@@ -84,6 +89,28 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most_rounds:
     return weighed.withColumn("_target", F.least("_most", level * F.col("_weight")))
 
 
+def narrowed(rows: DataFrame, level: Column) -> DataFrame:
+    """Of every source (``_s``) the rows of that value of ``level`` in which its budget ``_rest`` ends.
+
+    Values come in order; ``_rest`` becomes what is left of the budget for these rows.
+    Sums per value are made before anything is ordered.
+    """
+    valued = rows.withColumn("_level", level)
+    line = Window.partitionBy("_s").orderBy("_level").rowsBetween(Window.unboundedPreceding, 0)
+    ends = (
+        valued.groupBy("_s", "_rest", "_level").agg(F.sum("_words").alias("_sum"))
+        .withColumn("_until", F.sum("_sum").over(line))
+        .where((F.col("_until") >= F.col("_rest")) & (F.col("_until") - F.col("_sum") < F.col("_rest")))
+        .select(F.col("_s").alias("_of"), F.col("_level").alias("_in"), (F.col("_rest") - F.col("_until") + F.col("_sum")).alias("_now"))
+    )
+    here = F.col("_s").eqNullSafe(F.col("_of")) & (F.col("_level") == F.col("_in"))
+    return valued.join(ends, here).withColumn("_rest", F.col("_now")).drop("_of", "_in", "_now", "_level")
+
+
+# The order of a source's documents: by place, then size, then text.
+ORDER = ("_place", "_words", "_text")
+
+
 def plan(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -94,14 +121,18 @@ def plan(
     text: str = "text",
     range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """One row per source: its words, target, whole rounds, and the place and words of the cut.
+    """One row per source: its words, target, whole rounds, and the document at which its budget ends.
 
-    ``_cut`` is the place of the document at which the budget ends and ``_left``
-    how many of its words still belong to the mix; both are null where the
-    budget is whole rounds exactly.
+    ``_cut`` is that document's place, words and text (a hash), ``_left`` how many words of it still
+    belong to the mix and ``_same`` how many rows are just like it; they are null where the budget is
+    whole rounds exactly. The document is found by ranges of places, then by places, sizes and texts,
+    so rows that share an id, or have none, are not gathered to be ordered.
     """
     rows = durable(
-        docs.select(F.col(source).alias("_source"), place_of(doc_id, seed).alias("_place"), word_count(text).alias("_words"))
+        docs.select(
+            F.col(source).alias("_source"), place_of(doc_id, seed).alias("_place"), word_count(text).alias("_words"),
+            text_of(text).alias("_text"),
+        )
     )
     sources = rows.groupBy("_source").agg(F.count("*").alias("_docs"), F.sum("_words").alias("_size"))
     budget = F.round("_target").cast("bigint")
@@ -113,33 +144,40 @@ def plan(
         .select("_source", "_size", "_target", "_rounds", "_rest", F.ceil(F.col("_docs") / range_rows).alias("_ranges"))
     )
     of = shares.select(F.col("_source").alias("_s"), "_ranges", "_rest").where("_rest > 0")
-    placed = rows.join(of, F.col("_source").eqNullSafe(F.col("_s"))).withColumn(
-        "_range", range_of(F.col("_place"), F.col("_ranges"))
-    )
-    sums = placed.groupBy("_s", "_range", "_rest").agg(F.sum("_words").alias("_sum"))
-    line = Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    cut_ranges = (
-        sums.withColumn("_until", F.sum("_sum").over(line))
-        .where((F.col("_until") >= F.col("_rest")) & (F.col("_until") - F.col("_sum") < F.col("_rest")))
-        .select(F.col("_s").alias("_of"), F.col("_range").alias("_in"), (F.col("_until") - F.col("_sum")).alias("_start"))
-    )
-    inside = placed.join(
-        cut_ranges, F.col("_s").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in"))
-    )
-    along = Window.partitionBy("_s", "_range").orderBy("_place", "_words").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
-        inside.withColumn("_until", F.col("_start") + F.sum("_words").over(along))
-        .where((F.col("_until") >= F.col("_rest")) & (F.col("_until") - F.col("_words") < F.col("_rest")))
-        .select(
-            F.col("_s").alias("_cut_of"), F.col("_place").alias("_cut"),
-            (F.col("_rest") - F.col("_until") + F.col("_words")).alias("_left"),
-        )
+    placed = rows.join(of, F.col("_source").eqNullSafe(F.col("_s")))
+    inside = durable(narrowed(placed, range_of(F.col("_place"), F.col("_ranges"))))
+    inside = durable(narrowed(inside, F.col("_place")))
+    # Texts of one size are dealt to ranges of their hash first.
+    for level in (F.col("_words"), F.shiftright("_text", 48), F.col("_text")):
+        inside = narrowed(inside, level)
+    cuts = inside.groupBy(F.col("_s").alias("_cut_of"), F.col("_rest").alias("_left")).agg(
+        F.first(F.struct(*ORDER)).alias("_cut"), F.count("*").alias("_same")
     )
     return shares.join(cuts, F.col("_source").eqNullSafe(F.col("_cut_of")), "left").select(
-        "_source", "_size", "_target", "_rounds", "_cut", "_left"
+        "_source", "_size", "_target", "_rounds", "_cut", "_left", "_same"
     )
 
 
+def numbered(rows: DataFrame, keys: list[str], number: str, part: str) -> DataFrame:
+    """``rows`` with a number from 0 within their keys, for rows that nothing else tells apart.
+
+    Rows are counted where they lie: a partition's first number is the rows of the partitions before it.
+    """
+    stable = durable(rows.withColumn(part, F.spark_partition_id()))
+    counts = stable.groupBy(*keys, part).agg(F.count("*").alias(f"{part}_n"))
+    line = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+    before = counts.select(
+        *[F.col(k).alias(f"{k}_of") for k in keys], F.col(part).alias(f"{part}_of"),
+        (F.sum(f"{part}_n").over(line) - F.col(f"{part}_n")).alias(f"{part}_before"),
+    )
+    same = F.col(part) == F.col(f"{part}_of")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"{key}_of"))
+    own = F.row_number().over(Window.partitionBy(*keys, part).orderBy(F.lit(1)))
+    found = stable.withColumn(f"{part}_own", own).join(before, same)
+    return found.select(*rows.columns, (F.col(f"{part}_before") + F.col(f"{part}_own") - 1).alias(number))
+
+
 OUTPUT = ("size", "source_size", "target", "taken")
 
 
@@ -157,23 +195,39 @@ def mix(
 
     ``taken`` is how many words of the document the mix holds, repeats counted:
     its size for every whole round, once more if it lies before the cut, a part
-    of it at the cut. Columns named like these are replaced. A null text has no
-    words, rows without a source are the last source, rows without an id share
-    one place. Rows that repeat the id at the cut are cut alike. A source
-    without words has target 0.
+    of it at the cut. Documents of a source are ordered by a hash of the id, then
+    by size and text, so the cut falls into one row, whatever ids are repeated or
+    missing; of rows that are alike in all three the first in the table's order
+    are taken. Columns named like the results are replaced, others may have any
+    names. A null text has no words, rows without a source are the last source. A
+    source without words has target 0.
     """
     budgets = plan(docs, weights, most_rounds, seed, doc_id, source, text, range_rows)
+    mark = free_prefix(docs.columns)
     known = lookup(budgets, "1", BROADCAST_SOURCES)
-    placed = docs.drop(*OUTPUT).withColumn("_p", place_of(doc_id, seed)).withColumn("_w", word_count(text))
-    more = (
-        F.when(F.col("_cut").isNull() | (F.col("_p") > F.col("_cut")), F.lit(0))
-        .when(F.col("_p") < F.col("_cut"), F.col("_w"))
-        .otherwise(F.least("_w", "_left"))
-    )
-    return placed.join(known, F.col(source).eqNullSafe(F.col("_source"))).select(
-        *[c for c in docs.columns if c not in OUTPUT],
-        F.col("_w").alias("size"),
-        F.col("_size").alias("source_size"),
-        F.col("_target").cast("double").alias("target"),
-        (F.col("_rounds") * F.col("_w") + more).cast("bigint").alias("taken"),
+    known = known.select(*[F.col(c).alias(mark + c) for c in known.columns])
+
+    def own(name: str) -> Column:
+        return F.col(mark + name)
+
+    placed = docs.withColumns(
+        {mark + "_place": place_of(doc_id, seed), mark + "_words": word_count(text), mark + "_text": text_of(text)}
     )
+    joined = placed.join(known, F.col(source).eqNullSafe(own("_source")))
+    document = F.struct(*[own(c).alias(c) for c in ORDER])
+    words = own("_words")
+    more = F.when(own("_cut").isNull() | (document > own("_cut")), F.lit(0)).when(document < own("_cut"), words)
+
+    def result(rows: DataFrame, taken: Column) -> DataFrame:
+        return rows.select(
+            *[c for c in docs.columns if c not in OUTPUT], words.alias("size"), own("_size").alias("source_size"),
+            own("_target").cast("double").alias("target"), (own("_rounds") * words + taken).cast("bigint").alias("taken"),
+        )
+
+    if known.where(own("_same") > 1).isEmpty():
+        return result(joined, more.otherwise(own("_left")))
+    alike = F.coalesce((document == own("_cut")) & (own("_same") > 1), F.lit(False))
+    number = mark + "_number"
+    one_by_one = numbered(joined.where(alike), [mark + "_source"], number, mark + "_part")
+    share = F.greatest(F.lit(0), F.least(words, own("_left") - F.col(number) * words))
+    return result(joined.where(~alike), more.otherwise(own("_left"))).unionByName(result(one_by_one, share))

@@ -68,3 +68,29 @@ def test_edges(spark, none):
     assert mixing.mix(none).collect() == []
     blank = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id int, text string, source string")
     assert sorted((r["doc_id"], r["size"], r["target"], r["taken"]) for r in mixing.mix(blank).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+@pytest.mark.parametrize("range_rows", [mixing.RANGE_ROWS, 3])
+def test_repeated_and_missing_ids_keep_the_budget(spark, range_rows):
+    """Each source's words are the rounded target, whatever rows share an id, a size or all there is."""
+    rows = [(None, "n " * (n % 7 + 1) + f"t{n}", "a", 9) for n in range(30)]
+    rows += [(7, "same words again", "b", 9)] * 25 + [(7, f"other words {n}", "b", 9) for n in range(10)]
+    rows += [(None, None, "b", 9), (8, "x y", None, 9)] + [(n, "big " * 400, "c", 9) for n in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, n int").repartition(3)
+    found = mixing.mix(docs, range_rows=range_rows).collect()
+    again = mixing.mix(docs.repartition(5), range_rows=range_rows).collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, again))
+    assert len(found) == len(rows)
+    for source in ("a", "b", "c", None):
+        some = [r for r in found if r["source"] == source]
+        assert sum(r["taken"] for r in some) == round(some[0]["target"])
+        assert sum(r["taken"] % r["size"] > 0 for r in some if r["size"]) <= 1
+        assert all(r["taken"] <= 3 * r["size"] for r in some)
+
+
+def test_clashing_columns(spark, odd):
+    plain = sorted(map(repr, mixing.mix(odd).collect()))
+    extra = odd.withColumns({c: F.lit(7) for c in ("_size", "_cut", "_source", "_w", "_p", "_left", "_x_", "_x__place", "taken")})
+    found = mixing.mix(extra)
+    assert found.select("_w", "_cut", "_x__place").distinct().collect() == [(7, 7, 7)]
+    assert sorted(map(repr, found.select(*mixing.mix(odd).columns).collect())) == plain
