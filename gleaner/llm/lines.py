@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.basic import let
-from gleaner.llm.storage import lookup
+from gleaner.llm.storage import free_prefix, lookup
 
 RATIO = 0.1
 LEAST_PAGES = 5
@@ -81,29 +81,30 @@ def drop_boilerplate(
     stays as it is, byte by byte. Pages without a host are a host of their own. A
     null text stays null, a text of nothing but boilerplate becomes empty; no row
     is dropped. With ``counts`` there are ``n_lines`` and ``n_dropped`` as well,
-    replacing columns of these names.
+    replacing columns of these names. Other columns may have any names.
     """
+    site, gone, cut = (free_prefix(docs.columns) + name for name in ("site", "gone", "cut"))
     found = boilerplate(docs, host, text, ratio, least_pages)
     known = lookup(found, "1 + size(_lines)", BROADCAST_LINES).select(
-        F.col("_host").alias("_site"), F.col("_lines").alias("_gone")
+        F.col("_host").alias(site), F.col("_lines").alias(gone)
     )
-    joined = docs.join(known, F.col(host).eqNullSafe(F.col("_site")), "left")
+    joined = docs.join(known, F.col(host).eqNullSafe(F.col(site)), "left")
 
     def split(lines: Column) -> Column:
-        kept = F.filter(lines, lambda line: ~(_has_words(line) & F.array_contains("_gone", line_key(line))))
+        kept = F.filter(lines, lambda line: ~(_has_words(line) & F.array_contains(gone, line_key(line))))
         return let(kept, lambda k: F.struct(
             F.size(lines).cast("bigint").alias("n_lines"),
             (F.size(lines) - F.size(k)).cast("bigint").alias("n_dropped"),
             F.array_join(k, "\n").alias("text"),
         ))
 
-    changed = joined.withColumn("_cut", F.when(F.col("_gone").isNotNull() & F.col(text).isNotNull(), let(_lines(text), split)))
-    cleaned = F.when(F.col("_cut.n_dropped") > 0, F.col("_cut.text")).otherwise(F.col(text)).alias(text)
+    changed = joined.withColumn(cut, F.when(F.col(gone).isNotNull() & F.col(text).isNotNull(), let(_lines(text), split)))
+    cleaned = F.when(F.col(f"{cut}.n_dropped") > 0, F.col(f"{cut}.text")).otherwise(F.col(text)).alias(text)
     columns = [cleaned if c == text else F.col(c) for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     if counts:
         lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(_lines(text)))
         columns += [
-            F.coalesce("_cut.n_lines", lines).cast("bigint").alias("n_lines"),
-            F.coalesce("_cut.n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"),
+            F.coalesce(f"{cut}.n_lines", lines).cast("bigint").alias("n_lines"),
+            F.coalesce(f"{cut}.n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"),
         ]
     return changed.select(*columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.storage import durable, in_small_batches
+from gleaner.llm.storage import durable, free_prefix, in_small_batches
 from gleaner.llm.texts import BLANK_PLAIN, buffer_of, slices, span_hashes, split_words, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -141,8 +141,11 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", limits: Lim
     that, or too many symbols per word, or ``least_dup_lines`` and more than
     ``dup_line_percent`` of the lines repeat an earlier one. ``host_rate`` is the host's share of failed documents after shrinking.
     ``kept``: not failed, and the host is not refused. Documents without a host
-    are a host of their own; an empty table gives an empty result.
+    are a host of their own; an empty table gives an empty result. Columns named
+    like the results are replaced, unless it is the host or the text.
     """
+    docs = docs.drop(*({"base_failed", "failed", "host_rate", "kept"} - {host, text}))
+    own = free_prefix(docs.columns) + "host"
     n = F.col("n_words")
     base = (n < limits.least_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * n)
     failed = (
@@ -154,11 +157,11 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", limits: Lim
     )
     rows = durable(measured(docs, text).withColumn("base_failed", base).withColumn("failed", failed))
     hosts = durable(
-        rows.groupBy(F.col(host).alias("_host")).agg(
+        rows.groupBy(F.col(host).alias(own)).agg(
             F.count("*").alias("docs"), F.sum(F.col("failed").cast("bigint")).alias("failed")
         )
     )
     alpha, beta = beta_prior(hosts)
-    rates = hosts.select("_host", ((F.col("failed") + alpha) / (F.col("docs") + alpha + beta)).alias("host_rate"))
-    joined = rows.join(rates, F.col(host).eqNullSafe(F.col("_host"))).drop("_host")
+    rates = hosts.select(own, ((F.col("failed") + alpha) / (F.col("docs") + alpha + beta)).alias("host_rate"))
+    joined = rows.join(rates, F.col(host).eqNullSafe(F.col(own))).drop(own)
     return joined.withColumn("kept", ~F.col("failed") & (F.col("host_rate") <= limits.host_rate))

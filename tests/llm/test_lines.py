@@ -56,3 +56,11 @@ def test_edges(none, odd):
     assert lines.drop_boilerplate(none).collect() == []
     assert lines.drop_boilerplate(odd).columns == odd.columns
     assert lines.drop_boilerplate(odd).count() == odd.count()
+
+
+def test_clashing_columns(spark, odd):
+    plain = sorted(map(repr, lines.drop_boilerplate(odd, ratio=0.01, least_pages=2, counts=True).collect()))
+    extra = odd.withColumns({c: F.lit(7) for c in ("_gone", "_site", "_cut", "_host", "_lines", "_x_gone")})
+    found = lines.drop_boilerplate(extra, ratio=0.01, least_pages=2, counts=True)
+    assert found.select("_gone", "_cut", "_x_gone").distinct().collect() == [(7, 7, 7)]
+    assert sorted(map(repr, found.drop("_gone", "_site", "_cut", "_host", "_lines", "_x_gone").collect())) == plain

@@ -72,3 +72,12 @@ def test_edges(odd, none):
     assert rules.judge(none).collect() == []
     judged = rules.judge(odd.withColumns({"host_rate": F.lit(1), "kept": F.lit(None), "failed": F.lit("x")}).drop("host_rate", "kept", "failed"))
     assert judged.count() == odd.count()
+
+
+def test_clashing_columns(spark, odd):
+    names = ("doc_id", "n_words", "host_rate", "kept")
+    plain = sorted(map(repr, rules.judge(odd).select(*names).collect()))
+    extra = odd.withColumns({c: F.lit(7) for c in ("_host", "host_rate", "failed", "kept", "n_lines", "docs", "_x_host")})
+    found = rules.judge(extra)
+    assert sorted(map(repr, found.select(*names).collect())) == plain
+    assert found.select("_host", "docs").distinct().collect() == [(7, 7)]
