@@ -1033,4 +1033,7 @@ GROUP BY 1"""
  SELECT 'all of org', count(*), round(avg(judge_score), 6) FROM gold JOIN p USING (url) JOIN judged USING (url) WHERE n = 1 AND domain LIKE '%.org'""",
         "gold", "judged",
     )
+    # Stored tables hold what the table steps give.
+    for name in ("upsert_pages", "upsert_metrics", "guarded_gold", "replace_run"):
+        out[f"stored_{name}"] = out[name]
     return out

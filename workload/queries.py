@@ -22,7 +22,8 @@ from gleaner.operators.rules import ENCYCLOPEDIA, FINANCE, NEWS, SPORTS
 from gleaner.plans import evaluate, extract, reports
 from gleaner.schema import METRIC_GROUP, PAGE_RESULTS, RUNS, conform
 from gleaner.session import shared_folder
-from gleaner.sources import json_files
+from gleaner.sources import buckets, json_files
+from gleaner.sources.buckets import BucketTable
 
 from . import fixtures as fx
 
@@ -727,6 +728,49 @@ def upsert_pages(spark, base):
     return _page_hashes(tables.upsert_pages(_stored_pages(spark, base), _copies(_incoming(spark, base), "html_text"), "seq"))
 
 
+def _bucket_table(spark, rows, on, buckets=16):
+    """``rows`` stored in the shared folder, under a new name."""
+    table = BucketTable(spark, f"{shared_folder(spark)}/buckets-{uuid.uuid4()}", rows.schema, on, buckets)
+    table.replace(rows)
+    return table
+
+
+@query
+def stored_upsert_pages(spark, base):
+    """The same upsert on a stored table, of which only the touched buckets are rewritten, read back."""
+    pages = _bucket_table(spark, _stored_pages(spark, base), ("url",))
+    buckets.upsert_pages(pages, _copies(_incoming(spark, base), "html_text"), "seq")
+    return _page_hashes(pages.read())
+
+
+@query
+def stored_upsert_metrics(spark, base):
+    seq = F.explode(F.array(F.lit(1), F.lit(4), F.lit(2))).alias("seq")
+    fresh = _incoming(spark, base).select("url", seq).select("url", "seq", *[(F.col("seq") / 16).alias(m) for m in METRIC_GROUP])
+    evaluations = _bucket_table(spark, fx.evaluations(spark, base), ("url",))
+    buckets.save_metrics(evaluations, fresh, "seq")
+    return rounded(evaluations.read())
+
+
+@query
+def stored_guarded_gold(spark, base):
+    new = _incoming(spark, base).select("url", F.concat(F.lit("gold of "), "url").alias("gold_text"))
+    gold = _bucket_table(spark, fx.gold(spark, base).where(fx.SECURE).select("url", "gold_text"), ("url",))
+    pages = _bucket_table(spark, _stored_pages(spark, base), ("url",))
+    rejected = buckets.upsert_gold(gold, pages, _copies(new, "gold_text"), "seq")
+    kept = gold.read().select("url", "gold_text", F.lit(False).alias("rejected"))
+    return kept.unionByName(rejected.select("url", "gold_text", F.lit(True).alias("rejected")))
+
+
+@query
+def stored_replace_run(spark, base):
+    results = _bucket_table(spark, fx.page_results(spark, base).select("run_id", "url", "status"), ("run_id", "url"))
+    new_runs = fx.runs(spark).where("label = 'model-a'").withColumn("run_id", F.lit(20).cast("long"))
+    new_results = results.read().where("run_id = 3").withColumn("run_id", F.lit(20).cast("long"))
+    runs = buckets.replace_runs(fx.runs(spark), results, new_runs, new_results)
+    return results.read().join(runs.select("run_id", "label"), "run_id").select("run_id", "label", "url", "status")
+
+
 @query
 def guarded_gold(spark, base):
     new = _incoming(spark, base).select("url", F.concat(F.lit("gold of "), "url").alias("gold_text"))
