@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,11 @@ from .metrics import check_quotes, confirmed_omissions, grounded_fraction
 def with_verdicts(
     replies: DataFrame, raw: str = "raw", finish_reason: str = "finish_reason", limits: Thresholds = THRESHOLDS
 ) -> DataFrame:
-    """Add the parsed verdict of every reply as the struct ``verdict``."""
-    return replies.withColumn("verdict", parse_check(raw, finish_reason, limits))
+    """Add the parsed verdict of every reply as the struct ``verdict``, with all the quotes it claims.
+
+    What is kept of them is decided when a page's verdicts are merged, so their number is known there.
+    """
+    return replies.withColumn("verdict", parse_check(raw, finish_reason, replace(limits, max_quotes=None)))
 
 
 def merge_verdicts(verdicts: DataFrame, keys: list[str], limits: Thresholds = THRESHOLDS) -> DataFrame:
@@ -24,7 +29,8 @@ def merge_verdicts(verdicts: DataFrame, keys: list[str], limits: Thresholds = TH
     Expects ``n`` and ``verdict``. A page has as many verdicts as fragments.
     The notes are those of the pieces that objected; a page checked in one
     piece keeps its own words. ``claimed_total`` counts the quotes of all
-    pieces, of which the first ``limits.max_quotes`` are kept, or all.
+    pieces, of which the first ``limits.max_quotes`` are kept, or all; these are
+    the same whether or not each piece was cut to as many before.
     """
     gathered = verdicts.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("n", "verdict"))).alias("_pieces"),

@@ -103,10 +103,13 @@ def _domain_facts(pages: DataFrame, gold: DataFrame, evaluations: DataFrame) ->
     """One row per domain from one pass over the three tables, joined on their key.
 
     ``_evaluated`` counts the pages with metrics or a judge score, ``_anything``
-    those of all domains: one row per domain takes part in that sum.
+    tells whether there is such a page in any domain: one row, found by looking
+    for a single page.
     """
     measured = F.col("precision_val").isNotNull()
     either = measured | F.col("judge_score").isNotNull()
+    one = evaluations.where(either).join(pages.select("url"), "url", "left_semi").limit(1)
+    anything = one.agg(F.count("*").alias("_anything")).withColumn("_k", F.lit(1))
     marked = (
         pages.select("url", "domain")
         .join(gold.select("url", F.lit(1).alias("_gold")), "url", "left")
@@ -119,7 +122,8 @@ def _domain_facts(pages: DataFrame, gold: DataFrame, evaluations: DataFrame) ->
         *[F.avg(F.when(measured, F.col(m))).alias(m) for m in METRIC_COLUMNS],
         *[F.avg(F.when(either, F.col(n))).alias(f"_judged_{n}") for n in ("judge_score", "f1", "cosine")],
     )
-    return facts.withColumn("_anything", F.sum("_evaluated").over(Window.partitionBy(F.lit(0))))
+    # One side is a single row.
+    return facts.withColumn("_k", F.lit(1)).join(F.broadcast(anything), "_k").drop("_k")
 
 
 def _judged(name: str) -> Column:

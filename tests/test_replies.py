@@ -119,3 +119,12 @@ def test_merge_and_records(spark):
     assert records["u1"]["omissions"] == 1 and records["u1"]["complete"] is False
     assert records["u2"]["omissions"] == 0 and records["u2"]["grounded"] == 0.0
     assert records["u3"]["grounded"] is None and records["u3"]["coherent_by_score"] is True
+
+
+def test_quotes_the_limit_cuts_off_are_counted(spark):
+    quotes = [f"quote {i}" for i in range(7)]
+    raw = '{"coherent": true, "coherence": 4, "missing": %s, "notes": "n"}' % str(quotes).replace("'", '"')
+    df = spark.createDataFrame([("u", 1, raw, "stop"), ("u", 2, raw, "stop"), ("v", 1, "nothing", "stop")], "url string, n int, raw string, finish_reason string")
+    rows = {r["url"]: r for r in selfcheck.merge_verdicts(selfcheck.with_verdicts(df), ["url"]).collect()}
+    assert rows["u"]["claimed_total"] == 14 and rows["u"]["claimed_missing"] == quotes[:3]
+    assert rows["v"]["claimed_total"] == 0

@@ -1033,6 +1033,28 @@ GROUP BY 1"""
  SELECT 'all of org', count(*), round(avg(judge_score), 6) FROM gold JOIN p USING (url) JOIN judged USING (url) WHERE n = 1 AND domain LIKE '%.org'""",
         "gold", "judged",
     )
+    out["gold_urls"] = sql("SELECT url FROM p JOIN gold USING (url)", "p", "gold")
+    out["default_pairs"] = sql(
+        """SELECT "left", "right", CAST(CASE WHEN "left" = 1 THEN 1 ELSE first END AS BIGINT) AS left_id,
+ CAST(CASE "left" WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE second END AS BIGINT) AS right_id
+ FROM (VALUES (1, 2), (2, 9), (3, 9), (8, 9), (2, 2)) AS asked("left", "right"),
+ (SELECT max(run_id) AS first, (SELECT max(run_id) FROM res WHERE run_id < (SELECT max(run_id) FROM res)) AS second FROM res)""", "res",
+    )
+    out["cleaned_examples"] = sql(
+        f"""SELECT page_id, CAST(length(o) - length(cleaned) AS INT) AS removed_chars, o[:60] AS begins
+ FROM (SELECT *, {strip('raw')} AS o FROM cleaned) WHERE cleaned <> o ORDER BY page_id LIMIT 20""",
+        "cleaned", extra=cleaned,
+    )
+    out["claimed_quotes"] = sql("SELECT page_id, len(claimed_missing) AS claimed_total FROM merged", "merged")
+    out["raw_reply_files"] = sql(
+        """SELECT res.url AS url, CAST(k AS INT) AS n, CASE k WHEN 0 THEN judge.raw ELSE 'again' END AS raw
+ FROM res JOIN judge USING (url), (VALUES (0), (1)) AS t(k) WHERE run_id = 2""", "res", "judge",
+    )
+    out["element_fragments"] = sql(
+        f"""SELECT page_id, true AS adds_up, length(html_text) // 3 > {SMALL_BUDGET} AS is_split, 0 AS over_budget,
+ CAST(len(list_filter(regexp_extract_all(html_text, '<p>[^<]*</p>'), lambda x: length(x) // 3 <= {SMALL_BUDGET})) AS INT) AS paragraphs,
+ 0 AS broken FROM p""", "p",
+    )
     # Stored tables hold what the table steps give.
     for name in ("upsert_pages", "upsert_metrics", "guarded_gold", "replace_run"):
         out[f"stored_{name}"] = out[name]

@@ -14,7 +14,7 @@ from gleaner.config import SETTLED_PARSE, THRESHOLDS
 from gleaner.functions import markup, replies as reply_functions
 from gleaner.functions.tokens import estimate_tokens, token_bag, token_set
 from gleaner.functions.urls import domain_of, host_of, page_context, title_of
-from gleaner.operators import fragments, metrics, selfcheck, tables
+from gleaner.operators import elements, fragments, metrics, selfcheck, tables
 from gleaner.operators.cleaning import apply_pack
 from gleaner.operators.cost import call_rollup, run_cost
 from gleaner.operators.html_markdown import with_markdown
@@ -201,6 +201,11 @@ def gold_domains(spark, base):
     return reports.gold_domains(fx.gold(spark, base), fx.pages(spark, base))
 
 
+@query
+def gold_urls(spark, base):
+    return reports.gold_urls(fx.gold(spark, base), fx.pages(spark, base))
+
+
 @query
 def gold_entries(spark, base):
     return reports.gold_entries(fx.gold(spark, base), fx.pages(spark, base)).select(
@@ -299,6 +304,18 @@ def default_pair(spark, base):
     return reports.default_pair(used, left=1, right=9)
 
 
+@query
+def default_pairs(spark, base):
+    """What is compared when both runs are known, one of them, or none."""
+    used = fx.runs(spark).join(fx.page_results(spark, base).select("run_id").distinct(), "run_id", "left_semi")
+    asked = ((1, 2), (2, 9), (3, 9), (8, 9), (2, 2))
+    found = [
+        reports.default_pair(used, left, right).select(F.lit(left).alias("left"), F.lit(right).alias("right"), "left_id", "right_id")
+        for left, right in asked
+    ]
+    return tables.union_all(found)
+
+
 @query
 def latest_checked_run(spark, base):
     return reports.newest_checked_run(fx.runs(spark), fx.page_results(spark, base)).select("run_id", "label")
@@ -438,6 +455,12 @@ def cleaning_audit(spark, base):
     return reports.cleaning_audit(replies, keys=["domain"])
 
 
+@query
+def cleaned_examples(spark, base):
+    replies = fx.judge_replies(spark, base).withColumn("cleaned", reply_functions.clean_reply("raw"))
+    return reports.cleaned_examples(replies, 20, order=("page_id",))
+
+
 @query
 def check_parse(spark, base):
     verdicts = selfcheck.with_verdicts(fx.check_replies(spark, base), limits=ALL_QUOTES)
@@ -447,6 +470,13 @@ def check_parse(spark, base):
     )
 
 
+@query
+def claimed_quotes(spark, base):
+    """How many quotes were claimed beside the few that are kept."""
+    merged = selfcheck.merge_verdicts(selfcheck.with_verdicts(fx.check_replies(spark, base)), ["page_id"])
+    return merged.select("page_id", "claimed_total")
+
+
 @query
 def merge_checks(spark, base):
     verdicts = selfcheck.with_verdicts(fx.check_replies(spark, base), limits=ALL_QUOTES)
@@ -586,6 +616,22 @@ def page_fragments(spark, base):
     )
 
 
+@query
+def element_fragments(spark, base):
+    """Per page: whether the fragments add up, keep the budget and hold every paragraph that fits it as a whole."""
+    pages = fx.raw_pages(spark, base).select("page_id", "html_text")
+    cut = pages.select("*", elements.split_elements("html_text", SMALL_BUDGET).fragment.alias("pieces"))
+    paragraphs = F.filter(
+        F.regexp_extract_all("html_text", F.lit("<p>[^<]*</p>"), F.lit(0)), lambda p: estimate_tokens(p) <= SMALL_BUDGET
+    )
+    broken = F.filter(paragraphs, lambda p: ~F.exists("pieces", lambda f: F.contains(f, p)))
+    return cut.select(
+        "page_id", (F.array_join("pieces", "") == F.col("html_text")).alias("adds_up"), (F.size("pieces") > 1).alias("is_split"),
+        F.size(F.filter("pieces", lambda f: estimate_tokens(f) > SMALL_BUDGET)).alias("over_budget"),
+        F.size(paragraphs).alias("paragraphs"), F.size(broken).alias("broken"),
+    )
+
+
 @query
 def fragment_integrity(spark, base):
     report = fragments.integrity_report(fx.raw_pages(spark, base), SMALL_BUDGET)
@@ -993,6 +1039,17 @@ def run_files(spark, base):
     return rounded(joined.select("url", "domain", "status", "f1", "precision_val", "parsed_text", "model_name", "budget_tokens"))
 
 
+@query
+def raw_reply_files(spark, base):
+    path = _folder(spark)
+    replies = fx.judge_replies(spark, base).select("page_id", "raw")
+    kept = fx.page_results(spark, base).where("run_id = 2").join(fx.raw_pages(spark, base).select("url", "page_id"), "url").join(replies, "page_id")
+    kept.select(
+        F.lit("m/a").alias("model"), F.array(F.struct("url", F.array("raw", F.lit("again")).alias("raw_responses"))).alias("records")
+    ).write.json(path)
+    return json_files.read_raw_replies(spark, path, one_per_line=True).select("url", "n", "raw")
+
+
 @query
 def check_files(spark, base):
     path = _folder(spark)
