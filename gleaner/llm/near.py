@@ -11,12 +11,11 @@ similarity of the two sets of shingles reaches the bar.
 
 Texts with the same words are one text from the start; 64 bits stand for them. In
 a crowded shard, of more than ``SMALL`` texts, every text is compared with the
-shard's first, and the shard is settled if that joins all. If not, it is cut by
-every later band (a pair at 0.8 shares two bands with probability 0.996). What is
-crowded and unsettled even then is compared in blocks: the texts outside of the
-shard's largest group with all others, a tree and exact similarities per pair of
-blocks. No comparison is left out for the size of a shard. The blocks of a
-crowd of r texts outside of its largest group cost r times its size.
+shard's first, and the shard is settled if that joins all. Crowded shards that are
+not settled by then, and share texts, are one crowd. It is compared in blocks: the
+texts outside of its largest joined group with all others, a tree and exact
+similarities per pair of blocks. No comparison is left out for the size of a shard.
+A crowd of m texts, r of them outside of its largest group, costs r times m.
 """
 
 from __future__ import annotations
@@ -42,9 +41,8 @@ ROWS = 5
 RADIUS = 24
 # Texts of a shard whose pairs are written out; of a larger one, pairs are compared where they lie.
 SMALL = 32
-CUTS = 1
 # Texts of a block of a crowd.
-BLOCK = 256
+BLOCK = 1024
 # Fingerprints whose trees are searched at once, whole shards each.
 FOREST_ROWS = 50_000
 # Rows of lookups that are broadcast.
@@ -253,11 +251,11 @@ def _in_blocks(bar: float):
 
 
 def crowd_links(crowd: DataFrame, sets: DataFrame, bar: float) -> DataFrame:
-    """Links between texts of different roots in crowded shards (``bucket``, ``_key``, ``_fp``, ``root``).
+    """Links between texts of different roots in crowds (``bucket``, ``_key``, ``_fp``, ``root``).
 
-    A shard's largest group of joined texts is not compared with itself: the texts
+    A crowd's largest group of joined texts is not compared with itself: the texts
     outside of it are dealt to blocks, and every block of these meets every block
-    of the shard in a task of its own.
+    of the crowd on its own.
     """
     roots = crowd.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     totals = roots.groupBy("bucket").agg(F.sum("n").alias("_all"), F.max(F.struct("n", "root")).alias("_main"))
@@ -298,53 +296,35 @@ def similar_texts(
         rows.groupBy("_key").agg(F.first("_bands").alias("_bands"), F.first("_fp").alias("_fp"), F.min("_row").alias("_row"))
     )
 
-    def sets_of(keys: DataFrame) -> DataFrame:
-        """The sets of shingles of some texts."""
-        wanted = lookup(texts.join(keys, "_key", "left_semi").select("_key", "_row"), "1", BROADCAST_ROWS)
-        some = in_small_batches(source.join(wanted, "_row").select("_key", "_text"))
-        return durable(some.mapInArrow(_sets(shingle_words), "_key bigint, _set binary").dropDuplicates(["_key"]))
-
     pieces = texts.select("_key", "_fp", F.col("_key").alias("root"), F.posexplode("_bands").alias("place", "bucket"))
-    links = sets = None
-    for cut in range(CUTS + 1):
-        sizes = pieces.groupBy("bucket").agg(
-            F.count("*").alias("_size"), F.min(F.struct("_key", "root")).alias("_leader"),
-            F.min("root").alias("_low"), F.max("root").alias("_high"),
-        )
-        # Shards whose texts are joined already have nothing to compare.
-        sizes = durable(sizes.where("_low <> _high").drop("_low", "_high"))
-        large = lookup(sizes.where(F.col("_size") > SMALL).drop("_size"), "1", BROADCAST_ROWS)
-        crowd = durable(pieces.join(large, "bucket"))
-        few = pieces.join(sizes.where(F.col("_size") <= SMALL).select("bucket"), "bucket", "left_semi")
-        stars = crowd.where("_leader.root <> root").select(
-            F.least("_leader._key", "_key").alias("a"), F.greatest("_leader._key", "_key").alias("b")
-        )
-        edges = durable(near_pairs(few).unionByName(stars).distinct())
-        if sets is None:
-            # Later shards are parts of crowded ones, whose texts are all ends of the first edges or leaders.
-            sets = sets_of(edges.select(F.explode(F.array("a", "b")).alias("_key")).distinct())
-        found = durable(confirmed(edges, sets, similarity))
-        links = found if links is None else links.unionByName(found)
-        roots = connected(links)
-        if crowd.isEmpty():
-            return rows.select("_id", "_row", "_key"), roots
+    sizes = durable(
+        pieces.groupBy("bucket").agg(F.count("*").alias("_size"), F.min("_key").alias("_leader")).where(F.col("_size") > 1)
+    )
+    large = lookup(sizes.where(F.col("_size") > SMALL).select("bucket", "_leader"), "1", BROADCAST_ROWS)
+    crowd = durable(pieces.join(large, "bucket"))
+    few = pieces.join(sizes.where(F.col("_size") <= SMALL).select("bucket"), "bucket", "left_semi")
+    stars = crowd.where("_leader <> _key").select(F.least("_leader", "_key").alias("a"), F.greatest("_leader", "_key").alias("b"))
+    edges = durable(near_pairs(few).unionByName(stars).distinct())
+    # All texts of crowded shards are ends of these edges.
+    ends = edges.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    wanted = lookup(texts.join(ends, "_key", "left_semi").select("_key", "_row"), "1", BROADCAST_ROWS)
+    some = in_small_batches(source.join(wanted, "_row").select("_key", "_text"))
+    sets = durable(some.mapInArrow(_sets(shingle_words), "_key bigint, _set binary").dropDuplicates(["_key"]))
+    links = durable(confirmed(edges, sets, similarity))
+    roots = connected(links)
+    if not crowd.isEmpty():
         joined = durable(
-            crowd.drop("_leader", "root").join(roots.withColumnRenamed("node", "_key"), "_key", "left")
-            .withColumn("root", F.coalesce("root", "_key"))
+            crowd.drop("root").join(roots.withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
         )
         unsettled = lookup(
             joined.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("bucket"),
             "1", BROADCAST_ROWS,
         )
-        crowd = joined.join(unsettled, "bucket", "left_semi")
-        if cut < CUTS:
-            # Shards whose texts are not all joined by now are cut by every band after their own.
-            pieces = durable(
-                crowd.select("_key", "_fp", "root", "bucket", F.col("place").alias("_before")).join(texts.select("_key", "_bands"), "_key")
-                .select("_key", "_fp", "root", "bucket", "_before", F.posexplode("_bands").alias("place", "_band")).where("place > _before")
-                .select("_key", "_fp", "root", "place", F.xxhash64("bucket", "_band").alias("bucket"))
-            )
-    last = durable(crowd_links(crowd, sets, similarity))
-    if not last.isEmpty():
-        roots = connected(links.unionByName(last))
+        open_ = durable(joined.join(unsettled, "bucket", "left_semi"))
+        # Shards of one crowd hold the same texts over and over; the crowd is compared once.
+        of = connected(open_.select(F.col("_leader").alias("a"), F.col("_key").alias("b")))
+        members = open_.select("_key", "_fp", "root").distinct().join(of.select(F.col("node").alias("_key"), F.col("root").alias("bucket")), "_key")
+        last = durable(crowd_links(durable(members), sets, similarity))
+        if not last.isEmpty():
+            roots = connected(links.unionByName(last))
     return rows.select("_id", "_row", "_key"), roots
