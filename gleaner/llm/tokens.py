@@ -6,7 +6,7 @@ rank of every adjacent pair, takes the lowest rank of each pre-token and applies
 that merge wherever it occurs in it, in all pre-tokens at once; what is left when
 no pair has a rank are its tokens. A pre-token that no longer merges leaves the
 array. Counts are remembered by pre-token, so a frequent word is merged once per
-Python worker; only the memory of counts is bounded, never the work.
+task; only the memory of counts is bounded, by number and length, never the work.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from gleaner.llm.texts import slices, texts_of
 # Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 REMEMBERED = 300_000
+# Longer pre-tokens are merged whenever they come up.
+LONGEST = 64
 # Bytes of pre-tokens merged together; a longer pre-token is merged on its own.
 MERGED_BYTES = 4 << 20
 NO_RANK = np.iinfo(np.int64).max
@@ -140,6 +142,7 @@ class Counter:
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
 
     def learn(self, pretokens: set[str]) -> None:
+        self.long = [t for t in pretokens if len(t) > LONGEST]
         unknown = [t for t in pretokens if t not in self.known]
         if len(self.known) + len(unknown) > self.remembered:
             self.known.clear()
@@ -165,7 +168,10 @@ class Counter:
             pieces.append([t for part in parts for t in self.split(part)] if len(parts) > 1 else self.split(text))
         self.learn(set().union(*pieces))
         of = self.known.__getitem__
-        return [sum(map(of, p)) + s for p, s in zip(pieces, specials)]
+        counts = [sum(map(of, p)) + s for p, s in zip(pieces, specials)]
+        for pretoken in self.long:
+            del self.known[pretoken]
+        return counts
 
 
 def count_tokens(

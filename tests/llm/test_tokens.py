@@ -46,3 +46,12 @@ def test_other_kinds_of_vocabulary_are_refused(tmp_path):
     path.write_text(json.dumps(spec))
     with pytest.raises(ValueError, match="plain byte-level"):
         tokens.load_vocabulary(str(path))
+
+
+def test_long_pretokens_are_not_remembered(spark):
+    vocabulary = tokens.load_vocabulary(queries.tokenizer_path())
+    counter = tokens.Counter(vocabulary)
+    texts = ["short words", "y" * 500 + " short", "short " + "y" * 500, "y" * 500]
+    fresh = [tokens.Counter(vocabulary).count([t])[0] for t in texts]
+    assert [counter.count([t])[0] for t in texts] == fresh == counter.count(texts)
+    assert max(map(len, counter.known)) <= tokens.LONGEST
