@@ -1055,6 +1055,11 @@ GROUP BY 1"""
  CAST(len(list_filter(regexp_extract_all(html_text, '<p>[^<]*</p>'), lambda x: length(x) // 3 <= {SMALL_BUDGET})) AS INT) AS paragraphs,
  0 AS broken FROM p""", "p",
     )
+    out["gold_array_file"] = sql(
+        "SELECT url, domain, title, CAST(length(html_text) AS INT) AS html_chars, gold_text FROM p JOIN gold USING (url)", "p", "gold"
+    )
+    out["run_array_file"] = out["run_files"]
+    out["stored_dashboard"] = out["domain_dashboard"]
     # Stored tables hold what the table steps give.
     for name in ("upsert_pages", "upsert_metrics", "guarded_gold", "replace_run"):
         out[f"stored_{name}"] = out[name]

@@ -19,10 +19,10 @@ from gleaner.operators.cleaning import apply_pack
 from gleaner.operators.cost import call_rollup, run_cost
 from gleaner.operators.html_markdown import with_markdown
 from gleaner.operators.rules import ENCYCLOPEDIA, FINANCE, NEWS, SPORTS
-from gleaner.plans import evaluate, extract, reports
-from gleaner.schema import METRIC_GROUP, PAGE_RESULTS, RUNS, conform
+from gleaner.plans import domain_sums, evaluate, extract, reports
+from gleaner.schema import GOLD_ENTRY, METRIC_GROUP, PAGE_RESULTS, RUN_FILE, RUNS, conform
 from gleaner.session import shared_folder
-from gleaner.sources import buckets, json_files
+from gleaner.sources import buckets, json_arrays, json_files
 from gleaner.sources.buckets import BucketTable
 
 from . import fixtures as fx
@@ -243,6 +243,17 @@ def domain_dashboard(spark, base):
     )
 
 
+@query
+def stored_dashboard(spark, base):
+    """The dashboard from sums per domain that were stored without the secure pages, and then told of them."""
+    pages, gold, evaluations = fx.pages(spark, base), fx.gold(spark, base), fx.evaluations(spark, base)
+    facts = domain_sums.page_facts(pages, gold, evaluations)
+    first = facts.where(~F.expr(fx.SECURE))
+    sums = _bucket_table(spark, domain_sums.domain_sums(first), ("domain",))
+    domain_sums.update(sums, domain_sums.difference(facts.limit(0), facts.where(fx.SECURE)))
+    return rounded(domain_sums.dashboard(sums.read()))
+
+
 @query
 def corpus_listing(spark, base):
     return rounded(reports.corpus_listing(fx.raw_pages(spark, base), budget=1000))
@@ -1025,6 +1036,35 @@ def gold_files(spark, base):
     return entries.select("url", "domain", "title", F.md5("html_text").alias("html"), "gold_text")
 
 
+def _write_list(rows, path, before="[", after="]"):
+    """One JSON document in a single file: what stands before the list, its objects, what stands after it."""
+    spark, line = rows.sparkSession, F.to_json(F.struct(*rows.columns))
+    objects = rows.repartition(1).select(F.concat(F.when(F.monotonically_increasing_id() > 0, ",").otherwise(""), line).alias("value"))
+    ends = [spark.createDataFrame([(text,)], "value string").coalesce(1) for text in (before, after)]
+    ends[0].unionByName(objects).unionByName(ends[1]).coalesce(1).write.text(path)
+
+
+@query
+def gold_array_file(spark, base):
+    """One file that holds the whole corpus as an array, read by ranges of its bytes."""
+    path = _folder(spark)
+    pages = fx.pages(spark, base)
+    _write_list(pages.join(fx.gold(spark, base).select("url", "gold_text"), "url").select("url", "domain", "title", "html_text", "gold_text"), path)
+    read = json_arrays.read_array(spark, path, GOLD_ENTRY, range_bytes=1 << 18)
+    return read.select("url", "domain", "title", F.length("html_text").alias("html_chars"), "gold_text")
+
+
+@query
+def run_array_file(spark, base):
+    """A run with all its pages in one document, read by ranges of its bytes."""
+    path = _folder(spark)
+    records = fx.page_results(spark, base).where("run_id = 2").select("url", "domain", "status", "f1", F.col("precision_val").alias("precision"), "parsed_text")
+    _write_list(records, path, '{"model": "m/a", "provider": "p", "records": [', '], "budget_tokens": 1500}')
+    documents, found = json_arrays.read_listed(spark, path, "records", RUN_FILE, range_bytes=1 << 18)
+    kept = found.select("file", "url", "domain", "status", "f1", F.col("precision").alias("precision_val"), "parsed_text")
+    return rounded(kept.join(documents.select("file", F.col("model").alias("model_name"), "budget_tokens"), "file").drop("file"))
+
+
 @query
 def run_files(spark, base):
     path = _folder(spark)
