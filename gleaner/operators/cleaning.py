@@ -1,4 +1,4 @@
-"""Rule packs applied to markdown lines, as column expressions."""
+"""Rule packs applied to markdown lines: one pack as a column expression, all packs by host."""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ from ..functions.basic import (
     strip,
 )
 from ..functions.urls import host_of
+from .packs import cleaned
 from .rules import RULE_PACKS, RulePack
 
 Cleaner = Callable[[Column, Column], Column]
@@ -165,27 +166,32 @@ def apply_pack(markdown: Columnish, url: Columnish, pack: RulePack) -> Column:
 
 
 class Cleaners:
-    """Cleaners by host. A cleaner maps (markdown, url) columns to the cleaned text."""
+    """Cleaners by host: rule packs, which are looked up like rows, and functions of (markdown, url) columns."""
 
     def __init__(self, packs: Iterable[RulePack] = RULE_PACKS):
+        self._packs = {pack.host.lower(): pack for pack in packs}
         self._by_host: dict[str, Cleaner] = {}
-        for pack in packs:
-            self.register(pack.host, lambda md, url, pack=pack: apply_pack(md, url, pack))
 
-    def register(self, host: str, cleaner: Cleaner) -> None:
-        self._by_host[host.lower()] = cleaner
+    def register(self, host: str, cleaner: Cleaner | RulePack) -> None:
+        """Give a host its cleaner, in place of the one it had. A function adds a branch to the plan, a pack does not."""
+        name = host.lower()
+        self._packs.pop(name, None)
+        self._by_host.pop(name, None)
+        if isinstance(cleaner, RulePack):
+            self._packs[name] = cleaner
+        else:
+            self._by_host[name] = cleaner
 
     def clean(self, markdown: Columnish, url: Columnish) -> Column:
         """Dispatch on the lower-cased host; an unknown host passes through unchanged."""
         md, link = as_column(markdown), as_column(url)
-
-        def branches(host: Column) -> Column:
-            chosen = F.when(F.lit(False), md)
-            for name, cleaner in self._by_host.items():
-                chosen = chosen.when(host == name, cleaner(md, link))
-            return chosen.otherwise(md)
-
-        return let(host_of(link), branches)
+        by_pack = cleaned(self._packs, md, link) if self._packs else md
+        if not self._by_host:
+            return by_pack
+        chosen = F.when(F.lit(False), md)
+        for name, cleaner in self._by_host.items():
+            chosen = chosen.when(host_of(link) == name, cleaner(md, link))
+        return chosen.otherwise(by_pack)
 
 
 def with_cleaned(

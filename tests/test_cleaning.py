@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import random
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators.cleaning import Cleaners, apply_pack, heading_text, without_trailing_blanks
+from gleaner.operators import rules
+from gleaner.operators.cleaning import Cleaners, apply_pack, heading_text, with_cleaned, without_trailing_blanks
 from gleaner.operators.html_markdown import to_markdown, with_markdown
 from gleaner.operators.rules import ENCYCLOPEDIA, FINANCE, NEWS, SPORTS
 
@@ -145,3 +149,31 @@ def test_forms_go_where_the_filter_says_so():
     html = "<p>a</p><form><p>b</p></form>"
     assert to_markdown("https://www.xe.com/x", html) == "a"
     assert to_markdown("https://other.example/x", html) == "a\n\nb"
+
+
+@pytest.mark.parametrize("pack", rules.RULE_PACKS, ids=lambda p: p.host)
+def test_packs_by_host_clean_as_their_column_expressions(spark, pack):
+    rng = random.Random(pack.host)
+    words = [*pack.stop_headings, *pack.drop_headings, *pack.drop_lines, *pack.drop_prefixes, *pack.stop_lines]
+    pieces = [
+        "# ", "## ", "[vai al x]", "![i](u)", "[a](b (c) d)", "text , more ;", "| a | b |", "|c|", "  ", "\t", "Want to know", "[1]", "[N 2]",
+        "# Stats", "é", "Copyright 2024", "camelCase", "£1.00", "\xa0", "* ", "-", "[Learn More](z)", "x", *words, *[w.title() for w in words],
+    ]
+    texts = ["\n".join("".join(rng.choices(pieces, k=rng.randint(0, 3))) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    rows = [(t, f"https://{pack.host.upper()}/{rng.choice(['a', 'player/stats/x'])}") for t in texts]
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), ("kept\n# Note", "https://else.where/"), ("kept", None)], "t string, u string")
+    lowered = F.lower("u")
+    for row in df.select("t", apply_pack("t", lowered, pack).alias("one"), Cleaners().clean("t", lowered).alias("all"), "u").collect():
+        known = row["u"] is not None and "else" not in row["u"]
+        # What could not be read stays so.
+        assert row["all"] == (row["one"] if known and row["t"] is not None else row["t"])
+
+
+def test_the_plan_does_not_grow_with_the_hosts(spark):
+    df = spark.createDataFrame([("a\n## Note\nb", "http://h7.org/x")], "markdown string, url string")
+    many = Cleaners(replace(rules.ENCYCLOPEDIA, host=f"h{i}.org") for i in range(1000))
+    sizes = [len(with_cleaned(df, cleaners=c)._jdf.queryExecution().optimizedPlan().toString()) for c in (Cleaners(), many)]
+    assert abs(sizes[0] - sizes[1]) < 200
+    assert with_cleaned(df, cleaners=many).first()["parsed_text"] == "a"
+    many.register("H7.org", replace(rules.ENCYCLOPEDIA, host="", stop_headings=("nothing",)))
+    assert with_cleaned(df, cleaners=many).first()["parsed_text"] == "a\n## Note\nb"
