@@ -10,12 +10,14 @@ deviations above the mean at 0.8), and a link is taken only if the exact Jaccard
 similarity of the two sets of shingles reaches the bar.
 
 Texts with the same words are one text from the start; 64 bits stand for them. In
-a crowded shard, of more than ``SMALL`` texts, every text is compared with the
-shard's first, and the shard is settled if that joins all. Crowded shards that are
-not settled by then, and share texts, are one crowd. It is compared in blocks: the
-texts outside of its largest joined group with all others, a tree and exact
-similarities per pair of blocks. No comparison is left out for the size of a shard.
-A crowd of m texts, r of them outside of its largest group, costs r times m.
+every shard the texts are compared with the first one, if it is within the radius,
+and the shard is settled if that joins all. Of the others, those of up to ``SMALL``
+texts have a tree each, whose pairs are compared unless they are joined already.
+Crowded shards that are not settled by then, and share texts, are one crowd. It is
+compared in blocks: the texts outside of its largest joined group with all others,
+a tree and exact similarities per pair of blocks. No comparison is left out for the
+size of a shard. A crowd of m texts, r of them outside of its largest group, costs r
+times m.
 """
 
 from __future__ import annotations
@@ -297,33 +299,38 @@ def similar_texts(
     )
 
     pieces = texts.select("_key", "_fp", F.col("_key").alias("root"), F.posexplode("_bands").alias("place", "bucket"))
-    sizes = durable(
-        pieces.groupBy("bucket").agg(F.count("*").alias("_size"), F.min("_key").alias("_leader")).where(F.col("_size") > 1)
-    )
-    large = lookup(sizes.where(F.col("_size") > SMALL).select("bucket", "_leader"), "1", BROADCAST_ROWS)
-    crowd = durable(pieces.join(large, "bucket"))
-    few = pieces.join(sizes.where(F.col("_size") <= SMALL).select("bucket"), "bucket", "left_semi")
-    stars = crowd.where("_leader <> _key").select(F.least("_leader", "_key").alias("a"), F.greatest("_leader", "_key").alias("b"))
-    edges = durable(near_pairs(few).unionByName(stars).distinct())
-    # All texts of crowded shards are ends of these edges.
-    ends = edges.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    wanted = lookup(texts.join(ends, "_key", "left_semi").select("_key", "_row"), "1", BROADCAST_ROWS)
+    sizes = pieces.groupBy("bucket").agg(
+        F.count("*").alias("_size"), F.min(F.struct("_key", "_fp")).alias("_leader")
+    ).where(F.col("_size") > 1)
+    shards = durable(pieces.drop("root", "place").join(sizes, "bucket"))
+    # What is compared is compared by these sets, of texts that share a shard with another.
+    wanted = lookup(texts.join(shards.select("_key").distinct(), "_key", "left_semi").select("_key", "_row"), "1", BROADCAST_ROWS)
     some = in_small_batches(source.join(wanted, "_row").select("_key", "_text"))
     sets = durable(some.mapInArrow(_sets(shingle_words), "_key bigint, _set binary").dropDuplicates(["_key"]))
-    links = durable(confirmed(edges, sets, similarity))
+    # With the shard's first text, which joins most groups: as many comparisons as texts, not as pairs of them.
+    near = F.bit_count(F.col("_leader._fp").bitwiseXOR(F.col("_fp"))) <= RADIUS
+    stars = shards.where((F.col("_leader._key") < F.col("_key")) & near).select(F.col("_leader._key").alias("a"), F.col("_key").alias("b"))
+    links = durable(confirmed(stars.distinct(), sets, similarity))
     roots = connected(links)
-    if not crowd.isEmpty():
-        joined = durable(
-            crowd.drop("root").join(roots.withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
-        )
-        unsettled = lookup(
-            joined.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("bucket"),
-            "1", BROADCAST_ROWS,
-        )
-        open_ = durable(joined.join(unsettled, "bucket", "left_semi"))
+
+    def unsettled(roots: DataFrame, some: DataFrame) -> DataFrame:
+        """The shards among ``some`` whose texts are not all joined, with the texts' roots."""
+        joined = some.join(roots.withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
+        joined = durable(joined)
+        apart = joined.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
+        return durable(joined.join(lookup(apart.select("bucket"), "1", BROADCAST_ROWS), "bucket", "left_semi"))
+
+    open_ = unsettled(roots, shards)
+    edges = durable(near_pairs(open_.where(F.col("_size") <= SMALL)))
+    if not edges.isEmpty():
+        links = links.unionByName(durable(confirmed(edges, sets, similarity)))
+        roots = connected(links)
+    crowded = open_.where(F.col("_size") > SMALL).drop("root")
+    if not crowded.isEmpty():
+        crowd = unsettled(roots, crowded)
         # Shards of one crowd hold the same texts over and over; the crowd is compared once.
-        of = connected(open_.select(F.col("_leader").alias("a"), F.col("_key").alias("b")))
-        members = open_.select("_key", "_fp", "root").distinct().join(of.select(F.col("node").alias("_key"), F.col("root").alias("bucket")), "_key")
+        of = connected(crowd.select(F.col("_leader._key").alias("a"), F.col("_key").alias("b")))
+        members = crowd.select("_key", "_fp", "root").distinct().join(of.select(F.col("node").alias("_key"), F.col("root").alias("bucket")), "_key")
         last = durable(crowd_links(durable(members), sets, similarity))
         if not last.isEmpty():
             roots = connected(links.unionByName(last))
