@@ -1,15 +1,18 @@
 """Scoring texts by a hierarchical Pitman-Yor language model of the corpus itself.
 
-The model has two levels of restaurants. Tokens that follow a word are customers
-of that word's context restaurant; contexts are told apart by how the word
-before ends (its last three bytes, so a short word is its own context), hashed
-into ``CONTEXTS`` restaurants. Every table of a context restaurant sends one
-customer to the root restaurant, which all contexts share, and whose own base
-is uniform over the known tokens and one unknown. How many tables serve a word
-is sampled by Gibbs: given the totals of the sweep before, the number for each
-word is independent of the others, so words are dealt over the cluster and a
-sweep ends with one small sum of totals. After ``BURN_IN`` sweeps the predictive
-probabilities of ``SAMPLES`` sweeps are averaged.
+The model has three levels of restaurants. Tokens that follow a word are
+customers of that word's own restaurant, its context. Every table there sends one
+customer to the restaurant of the context's ending: the words that end alike (by
+their last three bytes, hashed into ``CONTEXTS`` classes) share it as a parent.
+Its tables send customers to the root restaurant, which all share, and whose own
+base is uniform over the known tokens and one unknown. How many tables serve a
+word is sampled by Gibbs: given the totals of the sweep before, the number for
+each word is independent of the others, so words are dealt over the cluster. A
+sweep ends with the totals of each ending and of the root, a small sum, and with
+those of each context, which grow with the corpus: they are added up in a table
+dealt by context, and each share of the words gets those of its own contexts
+back. After ``BURN_IN`` sweeps the predictive probabilities of ``SAMPLES`` sweeps
+are averaged.
 
 Texts and counts meet without a row per token. Texts are dealt into units of
 about ``UNIT_BYTES``. A unit states each pair of context and word it holds once,
@@ -19,7 +22,8 @@ stated, in the same order. Sweeps keep no state but the totals: with those and
 fixed seeds, every task seats its words again from the start, so a lost
 executor costs its own tasks only.
 
-Words, and words only, are stood for by 64-bit hashes.
+Words, and words only, are stood for by 64-bit hashes; a word as a context by its
+ending and the first 53 bits.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.storage import durable
+from gleaner.llm.storage import dealt_by, durable
 from gleaner.llm.texts import BLANK_LOWER, mixed, slices, split_words
 
 CONTEXTS = 1024
@@ -48,13 +52,16 @@ EXACT = 64
 # Beyond that, customers are seated in batches of a sixteenth of those seated.
 BATCH = 16
 END = np.uint64(0x5851F42D4C957F2D)
+# A context's ending is in its first bits, so contexts in order are in order of their endings.
+ENDING = np.uint64(11)
+REST = np.uint64(53)
 
 
 # -- tokens of a unit ------------------------------------------------------------------------------
 
 
 def endings(words) -> np.ndarray:
-    """The context that each word is to the next."""
+    """How each word ends: the class of the context that it is to the next."""
     size = words.end - words.start
     code = np.minimum(size, 4).astype(np.uint64)
     for back in (1, 2, 3):
@@ -63,16 +70,20 @@ def endings(words) -> np.ndarray:
     return (mixed(code) % np.uint64(CONTEXTS)).astype(np.uint16)
 
 
+def context_of(ending, word: np.ndarray) -> np.ndarray:
+    return (np.asarray(ending).astype(np.uint64) << REST) | (word >> ENDING)
+
+
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and context of every token, text after text, and where each text begins."""
     words = split_words(column, BLANK_LOWER)
     texts = len(words.first) - 1
     begin = words.first + np.arange(texts + 1)
     token = np.full(begin[-1], END, np.uint64)
-    context = np.full(begin[-1], START, np.uint16)
+    context = np.full(begin[-1], context_of(START, END), np.uint64)
     place = np.arange(len(words.start)) + words.text
     token[place] = words.hashes()
-    context[place + 1] = endings(words)
+    context[place + 1] = context_of(endings(words), token[place])
     return token, context, begin
 
 
@@ -92,15 +103,15 @@ class Pairs:
 
 
 def pairs_of(token: np.ndarray, context: np.ndarray, train: np.ndarray) -> Pairs:
-    order = np.lexsort((context, token))
-    own, where = token[order], context[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (own[1:] != own[:-1]) | (where[1:] != where[:-1])
-    number = np.cumsum(fresh) - 1
-    of_token = np.empty(len(order), np.int64)
-    of_token[order] = number
-    count = np.bincount(number, train[order], minlength=int(fresh.sum())).astype(np.int64)
-    return Pairs(own[fresh], where[fresh], count, of_token)
+    """The tokens are those of whole texts, so the one before, or the end of the last, tells a token's context."""
+    words, word = np.unique(token, return_inverse=True)
+    before = np.roll(word, 1)
+    of_word = np.empty(len(words), np.uint64)
+    of_word[before] = context
+    contexts, at = np.unique(of_word, return_inverse=True)
+    keys, of_token = np.unique(word * len(contexts) + at[before], return_inverse=True)
+    count = np.bincount(of_token, train, minlength=len(keys)).astype(np.int64)
+    return Pairs(words[keys // max(len(contexts), 1)], contexts[keys % max(len(contexts), 1)], count, of_token)
 
 
 def unit_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +124,7 @@ def unit_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begins.append(begin[1:] + at)
         at += len(token)
     if not tokens:
-        return np.empty(0, np.uint64), np.empty(0, np.uint16), begins[0]
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), begins[0]
     return np.concatenate(tokens), np.concatenate(contexts), np.concatenate(begins)
 
 
@@ -122,6 +133,11 @@ def share_of(word: np.ndarray, shares: int) -> np.ndarray:
     return ((word >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)).astype(np.int64)
 
 
+def home_of(context: np.ndarray, shares: int) -> np.ndarray:
+    """Which share adds up a context's totals."""
+    return share_of(context << ENDING, shares)
+
+
 def packed(values: np.ndarray) -> bytes:
     return pa.Codec("zstd", 1).compress(np.ascontiguousarray(values).tobytes(), asbytes=True)
 
@@ -131,12 +147,27 @@ def unpacked(data: bytes, kind, count: int) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd").decompress(data, size, asbytes=True) if size else b"", kind)
 
 
-STATED = "unit int, share int, n_words int, n_pairs int, words binary, widths binary, contexts binary, counts binary"
+def packed_runs(values: np.ndarray) -> bytes:
+    """Numbers in ascending runs: the bytes of their differences, first of all the lowest, then the next."""
+    steps = np.diff(values, prepend=np.zeros(1, values.dtype))
+    return packed(steps.view(np.uint8).reshape(-1, values.itemsize).T)
+
+
+def unpacked_runs(data: bytes, kind, count: int) -> np.ndarray:
+    steps = np.ascontiguousarray(unpacked(data, kind, count).view(np.uint8).reshape(np.dtype(kind).itemsize, -1).T)
+    return np.cumsum(steps.reshape(-1).view(kind), dtype=kind)
+
+
+# Of a pair, the place of its context among those of the row.
+STATED = (
+    "unit int, share int, n_words int, n_pairs int, n_contexts int, "
+    "words binary, widths binary, contexts binary, places binary, counts binary"
+)
 
 
 def stated(shares: int):
     """Per unit: what it holds, one row for each share of the words."""
-    kinds = (pa.int32(),) * 4 + (pa.binary(),) * 4
+    kinds = (pa.int32(),) * 5 + (pa.binary(),) * 5
     names = [c.split()[0] for c in STATED.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
@@ -154,9 +185,10 @@ def stated(shares: int):
         for number in range(shares):
             a, b, first, last = edges[number], edges[number + 1], bounds[number], bounds[number + 1]
             if b > a:
+                contexts, places = np.unique(pairs.context[first:last], return_inverse=True)
                 rows.append((
-                    unit, number, int(b - a), int(last - first), packed(pairs.word[heads[a:b]]),
-                    packed(widths[a:b].astype(np.uint16)), packed(pairs.context[first:last]),
+                    unit, number, int(b - a), int(last - first), len(contexts), packed_runs(pairs.word[heads[a:b]]),
+                    packed(widths[a:b].astype(np.uint32)), packed_runs(contexts), packed_runs(places.astype(np.uint32)),
                     packed(pairs.count[first:last].astype(np.uint32)),
                 ))
         columns = list(zip(*rows)) or [[]] * len(names)
@@ -211,8 +243,11 @@ def draw_tables(customers: np.ndarray, opening: np.ndarray, discount: float, sti
 class Totals:
     """What all tasks share: the corpus' counts, and the totals before every sweep.
 
-    ``tables[s]`` has the tables of each context before sweep s, ``guests[s]``
-    and ``roots[s]`` the customers and tables of the root restaurant.
+    ``seen`` has the training tokens of each ending. ``tables[s]`` has the tables of
+    each ending before sweep s, ``customers[s]`` its customers (without contexts
+    below, as many as tokens), ``guests[s]`` and ``roots[s]`` the customers and
+    tables of the root restaurant. ``discounts`` are those of endings and of the
+    root, ``below`` that of contexts.
     """
 
     seen: np.ndarray
@@ -221,10 +256,20 @@ class Totals:
     tables: list[np.ndarray] = field(default_factory=list)
     guests: list[int] = field(default_factory=list)
     roots: list[int] = field(default_factory=list)
+    customers: list[np.ndarray] = field(default_factory=list)
+    below: float = 0.5
+
+    def visits(self, sweep: int) -> np.ndarray:
+        return self.customers[sweep] if self.customers else self.seen
 
     def backoff(self, sweep: int) -> np.ndarray:
-        """Per context, the probability that the next token comes from the root."""
-        return (STRENGTH + self.discounts[0] * self.tables[sweep]) / (STRENGTH + self.seen)
+        """Per ending, the probability that the next token comes from the root."""
+        return (STRENGTH + self.discounts[0] * self.tables[sweep]) / (STRENGTH + self.visits(sweep))
+
+    def ending(self, sweep: int, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """The probability, in an ending, of words with so many customers and tables there, and ``root`` at the root."""
+        own = (customers - self.discounts[0] * tables) / (STRENGTH + self.visits(sweep)[context])
+        return own + self.backoff(sweep)[context] * root
 
     def root(self, sweep: int, guests: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """The root's probability of words with so many customers and tables there."""
@@ -232,51 +277,115 @@ class Totals:
         return (guests - self.discounts[1] * tables + rest) / (STRENGTH + self.guests[sweep])
 
 
+@dataclass
+class Below:
+    """The pairs of words and contexts of one share, with the totals of its contexts.
+
+    ``context`` are the share's contexts in ascending order; a pair names its own
+    by ``at``, and by ``group`` the pair of its word and ending. ``seen`` are
+    the training tokens of each context, ``totals[s]`` its tables before sweep s,
+    ``tables`` those of every pair in the sweep just done.
+    """
+
+    context: np.ndarray
+    group: np.ndarray
+    at: np.ndarray
+    count: np.ndarray
+    seen: np.ndarray | None = None
+    totals: list[np.ndarray] = field(default_factory=list)
+    tables: np.ndarray | None = None
+
+
 @dataclass
 class Share:
-    """The pairs of one share of the words, added up over the units; only pairs of training texts."""
+    """The pairs of one share of the words and endings, added up over the units; only pairs of training texts.
+
+    ``count`` are the customers of each pair; with contexts below, at first one for each of them.
+    """
 
     number: int
     word: np.ndarray
     of: np.ndarray
     context: np.ndarray
     count: np.ndarray
+    below: Below | None = None
 
 
-def added_up(number: int, rows: list[dict]) -> Share:
-    words, contexts, counts = [], [], []
-    for row in rows:
-        own = unpacked(row["words"], np.uint64, row["n_words"])
-        words.append(np.repeat(own, unpacked(row["widths"], np.uint16, row["n_words"])))
-        contexts.append(unpacked(row["contexts"], np.uint16, row["n_pairs"]))
-        counts.append(unpacked(row["counts"], np.uint32, row["n_pairs"]))
-    word, context, count = np.concatenate(words), np.concatenate(contexts), np.concatenate(counts)
+@dataclass
+class Asked:
+    """The distinct pairs of words and contexts that units stated, in training texts or not.
+
+    ``pair`` has one for every stated pair, unit after unit. Those not in training texts have -1 for their
+    word, for the pair of word and ending, and for the pair itself, where the share does not know it.
+    """
+
+    pair: np.ndarray
+    at: np.ndarray
+    word: np.ndarray
+    group: np.ndarray
+    own: np.ndarray
+
+
+def added_up(number: int, rows: list[dict]) -> tuple[Share, Asked]:
+    own = [unpacked_runs(row["words"], np.uint64, row["n_words"]) for row in rows]
+    widths = np.concatenate([unpacked(row["widths"], np.uint32, row["n_words"]) for row in rows])
+    words, word = np.unique(np.concatenate(own), return_inverse=True)
+    listed = [unpacked_runs(row["contexts"], np.uint64, row["n_contexts"]) for row in rows]
+    contexts, at = np.unique(np.concatenate(listed), return_inverse=True)
+    begins = np.cumsum([len(c) for c in listed]) - [len(c) for c in listed]
+    at = at[np.concatenate([unpacked_runs(row["places"], np.uint32, row["n_pairs"]) + begin for row, begin in zip(rows, begins)])]
+    counts = np.concatenate([unpacked(row["counts"], np.uint32, row["n_pairs"]) for row in rows])
+    keys, pair = np.unique(np.repeat(word, widths) * len(contexts) + at, return_inverse=True)
+    count = np.bincount(pair, counts, minlength=len(keys)).astype(np.int64)
+    word, at = keys // len(contexts), keys % len(contexts)
     met = count > 0
-    word, context, count = word[met], context[met], count[met].astype(np.int64)
-    order = np.lexsort((context, word))
-    word, context, count = word[order], context[order], count[order]
-    fresh = np.ones(len(word), bool)
-    fresh[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
-    heads = np.flatnonzero(fresh)
-    count = np.add.reduceat(count, heads) if len(heads) else count
-    word, context = word[fresh], context[fresh].astype(np.int64)
-    known, of = np.unique(word, return_inverse=True)
-    return Share(number, known, of, context, count)
+    known = np.zeros(len(words), bool)
+    known[word[met]] = True
+    of_word = np.where(known, np.cumsum(known) - 1, -1)[word]
+    ending = (contexts >> REST).astype(np.int64)[at]
+    # Pairs are in order of word, then of ending.
+    groups = of_word * (CONTEXTS + 1) + ending
+    heads = np.flatnonzero(np.diff(groups[met], prepend=-1))
+    kept = groups[met][heads]
+    place = np.minimum(np.searchsorted(kept, groups), max(len(kept) - 1, 0))
+    group = np.where((of_word >= 0) & (kept[place] == groups), place, -1) if len(kept) else np.full(len(keys), -1)
+    below = Below(contexts, group[met], at[met], count[met])
+    spread = np.bincount(below.group, minlength=len(kept))
+    share = Share(number, words[known], kept // (CONTEXTS + 1), kept % (CONTEXTS + 1), spread, below)
+    return share, Asked(pair, at, of_word, group, np.where(met, np.cumsum(met) - 1, -1))
 
 
 def seat(share: Share, totals: Totals, sweeps: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """After each sweep: the tables of every pair, and every word's customers and tables at the root.
 
-    At first every pair and every word has one table, as in ``Totals`` before sweep 0.
+    At first every pair and every word has one table, as in ``Totals`` before sweep 0. Contexts below
+    are seated first, with the pairs above as the sweep before left them; ``share.count`` and
+    ``share.below.tables`` are then those of this sweep.
     """
     low, high = (log_stirling(d) for d in totals.discounts)
-    words = len(share.word)
+    words, below = len(share.word), share.below
     tables = np.ones(len(share.count), np.int64)
     guests = np.bincount(share.of, minlength=words)
     roots = np.ones(words, np.int64)
+    if below:
+        lowest = log_stirling(totals.below)
+        below.tables = np.ones(len(below.count), np.int64)
+        share.count = np.bincount(below.group, minlength=len(tables))
     for sweep in range(sweeps):
         random = np.random.default_rng([seed, share.number, sweep])
-        # A pair is seated as if its own customers were not there yet, here and at the root.
+        # A pair is seated as if its own customers were not there yet, here and at the levels above.
+        if below:
+            several = np.flatnonzero(below.count > 1)
+            group, own = below.group[several], below.tables[several]
+            left = share.count[group] - own
+            kept = np.minimum(tables[group], left)
+            of = share.of[group]
+            others = guests[of] - tables[group] + kept
+            root = totals.root(sweep, others, np.minimum(roots[of], others))
+            parent = totals.ending(sweep, share.context[group], left, kept, root)
+            opening = (STRENGTH + totals.below * (below.totals[sweep][below.at[several]] - own)) * parent
+            below.tables[several] = draw_tables(below.count[several], opening, totals.below, lowest, random)
+            share.count = np.bincount(below.group, below.tables, minlength=len(tables)).astype(np.int64)
         others = guests[share.of] - tables
         context = STRENGTH + totals.discounts[0] * (totals.tables[sweep][share.context] - tables)
         opening = context * totals.root(sweep, others, np.minimum(roots[share.of], others))
@@ -297,20 +406,20 @@ def shares_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
         yield number, sorted(rows.pop(number), key=lambda r: r["unit"])
 
 
-def sums_by_key(pairs: DataFrame, values: Iterable) -> dict[tuple[str, int], int]:
-    """One long per name and place, added up over all shares; as many rows as places reach the driver."""
+SUMS = "name string, place int, value bigint"
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in shares_in(batches):
-            found = values(added_up(number, rows))
-            names = [n for n, v in found.items() for _ in v]
-            places = [i for v in found.values() for i in range(len(v))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array(places, pa.int32()), pa.array(np.concatenate([*found.values()]).astype(np.int64))],
-                ["name", "place", "value"],
-            )
-
-    summed = pairs.mapInArrow(run, "name string, place int, value bigint").groupBy("name", "place").agg(F.sum("value").alias("value"))
+
+def sums_of(found: dict[str, np.ndarray]) -> pa.Table:
+    """One long per name and place."""
+    names = [n for n, v in found.items() for _ in v]
+    places = [i for v in found.values() for i in range(len(v))]
+    values = np.concatenate([*found.values()]).astype(np.int64)
+    return pa.table({"name": pa.array(names, pa.string()), "place": pa.array(places, pa.int32()), "value": values})
+
+
+def added(sums: DataFrame) -> dict[tuple[str, int], int]:
+    """The sums of all shares; as many rows as places reach the driver."""
+    summed = sums.groupBy("name", "place").agg(F.sum("value").alias("value"))
     return {(r["name"], r["place"]): r["value"] for r in summed.collect()}
 
 
@@ -318,95 +427,209 @@ def _vector(found: dict, name: str, size: int) -> np.ndarray:
     return np.array([found.get((name, i), 0) for i in range(size)], np.float64)
 
 
-def _by_context(share: Share, weights: np.ndarray) -> np.ndarray:
+def _by_ending(share: Share, weights: np.ndarray) -> np.ndarray:
     return np.bincount(share.context, weights, minlength=CONTEXTS + 1)
 
 
-def corpus_totals(pairs: DataFrame) -> Totals:
+def corpus_totals(sums: DataFrame) -> Totals:
     """The counts of the corpus, and the totals with one table for every pair and word."""
-
-    def values(share: Share) -> dict[str, np.ndarray]:
-        spread = np.bincount(share.of, minlength=len(share.word))
-        one = [len(share.word), *((share.count == n).sum() for n in (1, 2)), *((spread == n).sum() for n in (1, 2)), len(share.count)]
-        return {
-            "seen": _by_context(share, share.count),
-            "tables": _by_context(share, np.ones(len(share.count))),
-            "one": np.array(one),
-        }
-
-    found = sums_by_key(pairs, values)
-    known, once, twice, alone, both, kinds = _vector(found, "one", 6)
+    found = added(sums)
+    known, kinds, *few = _vector(found, "one", 8)
 
     def discount(first: float, second: float) -> float:
         """The usual estimate from how many are met once and twice, kept inside the open interval."""
         return min(0.95, max(0.05, first / (first + 2 * second) if first else 0.5))
 
     return Totals(
-        _vector(found, "seen", CONTEXTS + 1), int(known), (discount(once, twice), discount(alone, both)),
+        _vector(found, "seen", CONTEXTS + 1), int(known), (discount(*few[2:4]), discount(*few[4:])),
         [_vector(found, "tables", CONTEXTS + 1)], [int(kinds)], [int(known)],
+        [_vector(found, "customers", CONTEXTS + 1)], discount(*few[:2]),
     )
 
 
-def sweep_totals(pairs: DataFrame, totals: Totals, sweeps: int, seed: int) -> None:
-    """Add the totals after each sweep to ``totals``; a sweep is one pass over the pairs."""
-    for sweep in range(sweeps):
+# -- totals of contexts ----------------------------------------------------------------------------
+
+HELD = f"home int, share int, n int, contexts binary, seen binary, tables binary, {SUMS}"
+SWEPT = f"home int, share int, tables binary, {SUMS}"
+TOLD = "share int, home int, sweep int, n int, seen binary, tables binary"
+
 
-        def values(share: Share) -> dict[str, np.ndarray]:
-            for tables, guests, roots in seat(share, totals, sweep + 1, seed):
-                pass
-            return {"tables": _by_context(share, tables), "one": np.array([guests.sum(), roots.sum()])}
+def per_home(contexts: np.ndarray, shares: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each home that has some of a share's contexts, their places in ascending order."""
+    home = home_of(contexts, shares)
+    order = np.argsort(home, kind="stable")
+    edges = np.flatnonzero(np.diff(home[order], prepend=-1))
+    for places in np.split(order, edges[1:]) if len(order) else ():
+        yield int(home[places[0]]), places
 
-        found = sums_by_key(pairs, values)
+
+def per_context(below: Below, weights: np.ndarray) -> np.ndarray:
+    return np.bincount(below.at, weights, minlength=len(below.context)).astype(np.int64)
+
+
+def held(shares: int):
+    """Per share and home: the contexts that the share states, with their tokens and pairs in it; and the corpus' counts in it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in shares_in(batches):
+            share, _ = added_up(number, rows)
+            below, spread = share.below, np.bincount(share.of, minlength=len(share.word))
+            seen, tables = per_context(below, below.count), per_context(below, np.ones(len(below.at)))
+            kinds = [(c == n).sum() for c in (below.count, share.count, spread) for n in (1, 2)]
+            sums = sums_of({
+                "seen": _by_ending(share, np.bincount(below.group, below.count, minlength=len(share.count))),
+                "customers": _by_ending(share, share.count),
+                "tables": _by_ending(share, np.ones(len(share.count))),
+                "one": np.array([len(share.word), len(share.count), *kinds]),
+            })
+            out = [
+                (home, len(at), packed_runs(below.context[at]), packed(seen[at]), packed(tables[at]))
+                for home, at in per_home(below.context, shares)
+            ]
+            columns = dict(zip(("home", "n", "contexts", "seen", "tables"), zip(*out)))
+            yield from of_share(number, HELD, columns, sums)
+
+    return run
+
+
+def of_share(number: int, schema: str, columns: dict[str, tuple], sums: pa.Table) -> list[pa.RecordBatch]:
+    """What a share tells homes, and its sums, which have a name and no home."""
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    target = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))])
+    up = pa.table({n: pa.array(v, target.field(n).type) for n, v in columns.items()})
+    up = up.append_column("share", pa.array([number] * len(up), pa.int32()))
+    sums = sums.append_column("share", pa.array([number] * len(sums), pa.int32()))
+    both = pa.concat_tables([up, sums], promote_options="default")
+    return both.select(target.names).combine_chunks().to_batches()
+
+
+def told(sweep: int):
+    """At each home: the totals of its contexts, told to every share in the order of its own list."""
+
+    def run(lists: pa.Table, sums: pa.Table) -> pa.Table:
+        rows = lists.to_pylist()
+        sums = {r["share"]: r["tables"] for r in sums.to_pylist()}
+        known, at = np.unique(np.concatenate([unpacked_runs(r["contexts"], np.uint64, r["n"]) for r in rows]), return_inverse=True)
+
+        def total(parts: list[np.ndarray]) -> list[bytes]:
+            whole = np.bincount(at, np.concatenate(parts), minlength=len(known)).astype(np.int64)[at]
+            return [packed(v) for v in np.split(whole, np.cumsum([r["n"] for r in rows])[:-1])]
+
+        tables = total([unpacked(sums[r["share"]], np.int64, r["n"]) for r in rows])
+        seen = [None] * len(rows) if sweep else total([unpacked(r["seen"], np.int64, r["n"]) for r in rows])
+        return pa.table({
+            "share": pa.array([r["share"] for r in rows], pa.int32()), "home": pa.array([r["home"] for r in rows], pa.int32()),
+            "sweep": pa.array([sweep] * len(rows), pa.int32()), "n": pa.array([r["n"] for r in rows], pa.int32()),
+            "seen": pa.array(seen, pa.binary()), "tables": pa.array(tables, pa.binary()),
+        })
+
+    def first(lists: pa.Table) -> pa.Table:
+        return run(lists, lists)
+
+    return run if sweep else first
+
+
+def listen(below: Below, rows: list[dict], shares: int) -> None:
+    """Give the contexts of a share the totals that it was told."""
+    places = dict(per_home(below.context, shares))
+    below.seen = np.zeros(len(below.context))
+    below.totals = [np.zeros(len(below.context)) for _ in range(1 + max((r["sweep"] for r in rows), default=-1))]
+    for row in rows:
+        at = places[row["home"]]
+        below.totals[row["sweep"]][at] = unpacked(row["tables"], np.int64, row["n"])
+        if row["seen"] is not None:
+            below.seen[at] = unpacked(row["seen"], np.int64, row["n"])
+
+
+def swept(totals: Totals, sweeps: int, seed: int, shares: int):
+    """Per share, after so many sweeps: the tables of its contexts, for their homes, and its part of the other totals."""
+
+    def run(stated: pa.Table, heard: pa.Table) -> pa.Table:
+        rows = sorted(stated.to_pylist(), key=lambda r: r["unit"])
+        share, _ = added_up(rows[0]["share"], rows)
+        listen(share.below, heard.to_pylist(), shares)
+        for tables, guests, roots in seat(share, totals, sweeps, seed):
+            pass
+        own = per_context(share.below, share.below.tables)
+        homes = [(home, packed(own[at])) for home, at in per_home(share.below.context, shares)]
+        sums = sums_of({
+            "customers": _by_ending(share, share.count), "tables": _by_ending(share, tables),
+            "one": np.array([guests.sum(), roots.sum()]),
+        })
+        return pa.Table.from_batches(of_share(share.number, SWEPT, dict(zip(("home", "tables"), zip(*homes))), sums))
+
+    return run
+
+
+def all_totals(pairs: DataFrame, sweeps: int, seed: int, shares: int) -> tuple[Totals, DataFrame]:
+    """The totals before and after each sweep, and those of all contexts, as told to the shares.
+
+    A sweep is one pass over the pairs.
+    """
+    both = dealt_by(pairs.mapInArrow(held(shares), HELD), shares, "home")
+    totals, lists = corpus_totals(both.where("name IS NOT NULL")), both.where("name IS NULL").drop("name", "place", "value")
+    heard = durable(lists.groupBy("home").applyInArrow(told(0), TOLD))
+    for sweep in range(1, sweeps + 1):
+        done = durable(
+            pairs.groupBy("share").cogroup(heard.groupBy("share")).applyInArrow(swept(totals, sweep, seed, shares), SWEPT)
+        )
+        found = added(done.where("name IS NOT NULL"))
         guests, roots = _vector(found, "one", 2)
         totals.tables.append(_vector(found, "tables", CONTEXTS + 1))
+        totals.customers.append(_vector(found, "customers", CONTEXTS + 1))
         totals.guests.append(int(guests))
         totals.roots.append(int(roots))
+        sums = done.where("name IS NULL").select("home", "share", "tables")
+        now = lists.groupBy("home").cogroup(sums.groupBy("home")).applyInArrow(told(sweep), TOLD)
+        heard = heard.unionByName(durable(now))
+    return totals, heard
 
 
 # -- probabilities ---------------------------------------------------------------------------------
 
 
-def answered(totals: Totals, burn_in: int, samples: int, seed: int):
+ANSWERED = "unit int, share int, n_words int, n_pairs int, logs binary, counts binary"
+
+
+def predicted(share: Share, asked: Asked, totals: Totals, burn_in: int, samples: int, seed: int) -> np.ndarray:
+    """The probability of every distinct pair that units stated."""
+
+    def of(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.append(values, 0)[place]
+
+    below = share.below
+    ending = (below.context >> REST).astype(np.int64)[asked.at]
+    whole = np.zeros(len(asked.at))
+    for sweep, (tables, guests, roots) in enumerate(seat(share, totals, burn_in + samples, seed), 1):
+        if sweep > burn_in:
+            root = totals.root(sweep, of(guests, asked.word), of(roots, asked.word))
+            parent = totals.ending(sweep, ending, of(share.count, asked.group), of(tables, asked.group), root)
+            own = of(below.count - totals.below * below.tables, asked.own)
+            rest = (STRENGTH + totals.below * below.totals[sweep])[asked.at] * parent
+            whole += (own + rest) / (STRENGTH + below.seen[asked.at]) / samples
+    return whole
+
+
+def answered(totals: Totals, burn_in: int, samples: int, seed: int, shares: int):
     """For every row that a unit stated: log10 of each pair's probability, and each word's count."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = burn_in + samples
-        for number, rows in shares_in(batches):
-            share = added_up(number, rows)
-            keys = share.of * (CONTEXTS + 1) + share.context
-            own = np.zeros(len(keys))
-            roots = []
-            for sweep, (tables, guests, root_tables) in enumerate(seat(share, totals, last, seed)):
-                if sweep >= burn_in:
-                    own += (share.count - totals.discounts[0] * tables) / (STRENGTH + totals.seen[share.context]) / samples
-                    roots.append(totals.root(sweep + 1, guests, root_tables))
-            spare = [float(totals.root(s + 1, np.zeros(1), np.zeros(1))[0]) for s in range(burn_in, last)]
-            back = [totals.backoff(s + 1) for s in range(burn_in, last)]
-            counts = np.bincount(share.of, share.count, minlength=len(share.word)).astype(np.int64)
-            for row in rows:
-                words = unpacked(row["words"], np.uint64, row["n_words"])
-                widths = unpacked(row["widths"], np.uint16, row["n_words"])
-                context = unpacked(row["contexts"], np.uint16, row["n_pairs"]).astype(np.int64)
-                at = np.searchsorted(share.word, words)
-                at = np.minimum(at, max(len(share.word) - 1, 0))
-                met = share.word[at] == words if len(share.word) else np.zeros(len(words), bool)
-                of, known = np.repeat(at, widths), np.repeat(met, widths)
-                asked = of * (CONTEXTS + 1) + context
-                place = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-                direct = np.where(known & (keys[place] == asked), own[place], 0.0) if len(keys) else np.zeros(len(asked))
-                total = direct
-                for root, rest, share_back in zip(roots, spare, back):
-                    low = np.where(known, root[of], rest) if len(share.word) else np.full(len(asked), rest)
-                    total = total + share_back[context] * low / samples
-                found = np.where(met, counts[at], 0) if len(share.word) else np.zeros(len(words), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["unit"]], pa.int32()), pa.array([number], pa.int32()),
-                        pa.array([row["n_words"]], pa.int32()), pa.array([row["n_pairs"]], pa.int32()),
-                        pa.array([packed(np.log10(total))]), pa.array([packed(found.astype(np.int64))]),
-                    ],
-                    ["unit", "share", "n_words", "n_pairs", "logs", "counts"],
-                )
+    def run(stated: pa.Table, heard: pa.Table) -> pa.Table:
+        rows = sorted(stated.to_pylist(), key=lambda r: r["unit"])
+        share, asked = added_up(rows[0]["share"], rows)
+        below = share.below
+        listen(below, heard.to_pylist(), shares)
+        logs = np.log10(predicted(share, asked, totals, burn_in, samples, seed)).astype(np.float32)[asked.pair]
+        counts = np.bincount(share.of[below.group], below.count, minlength=len(share.word)).astype(np.int64)
+        counts = np.append(counts, 0)[asked.word][asked.pair]
+        out, at = [], 0
+        for row in rows:
+            widths = unpacked(row["widths"], np.uint32, row["n_words"]).astype(np.int64)
+            heads = at + np.cumsum(widths) - widths
+            out.append((row["unit"], share.number, row["n_words"], row["n_pairs"], packed(logs[at : at + row["n_pairs"]]), packed(counts[heads])))
+            at += row["n_pairs"]
+        kinds = (pa.int32(),) * 4 + (pa.binary(),) * 2
+        names = [c.split()[0] for c in ANSWERED.split(", ")]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return run
 
@@ -421,7 +644,7 @@ def scored(totals: Totals):
         token, context, begin = unit_tokens(texts)
         pairs = pairs_of(token, context, np.zeros(len(token)))
         rows = sorted(answers.to_pylist(), key=lambda r: r["share"])
-        logs = np.concatenate([unpacked(r["logs"], np.float64, r["n_pairs"]) for r in rows] or [np.empty(0)])
+        logs = np.concatenate([unpacked(r["logs"], np.float32, r["n_pairs"]) for r in rows] or [np.empty(0)])
         counts = np.concatenate([unpacked(r["counts"], np.int64, r["n_words"]) for r in rows] or [np.empty(0, np.int64)])
         if len(logs) != len(pairs.word):
             raise RuntimeError("a unit's texts differ from those it stated")
@@ -470,12 +693,10 @@ def score(
     size = rows.agg(F.sum(F.octet_length("_text").cast("bigint") + 1)).first()[0] or 1
     units = max(1, -(-size // unit_bytes))
     dealt = rows.withColumn("unit", F.pmod(F.xxhash64("_id", "_text"), F.lit(units)).cast("int"))
-    pairs = durable(dealt.groupBy("unit").applyInArrow(stated(units), STATED).repartition(units, "share"))
-    totals = corpus_totals(pairs)
-    sweep_totals(pairs, totals, burn_in + samples, seed)
-    answers = pairs.mapInArrow(
-        answered(totals, burn_in, samples, seed),
-        "unit int, share int, n_words int, n_pairs int, logs binary, counts binary",
+    pairs = dealt_by(dealt.groupBy("unit").applyInArrow(stated(units), STATED), units, "share")
+    totals, heard = all_totals(pairs, burn_in + samples, seed, units)
+    answers = pairs.groupBy("share").cogroup(heard.groupBy("share")).applyInArrow(
+        answered(totals, burn_in, samples, seed, units), ANSWERED
     )
     result = answers.groupBy("unit").cogroup(dealt.groupBy("unit")).applyInArrow(
         scored(totals),

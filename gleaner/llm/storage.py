@@ -50,6 +50,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt_by(df: DataFrame, tasks: int, key: str) -> DataFrame:
+    """As ``durable``, in ``tasks`` partitions by ``key``, which later groupings by it need not shuffle again.
+
+    Adaptive plans do not say how their result is partitioned, so this one is not adaptive.
+    """
+    setting, conf = "spark.sql.adaptive.enabled", df.sparkSession.conf
+    before = conf.get(setting)
+    conf.set(setting, "false")
+    try:
+        return durable(df.repartition(tasks, key))
+    finally:
+        conf.set(setting, before)
+
+
 def lookup(table: DataFrame, weight: str, most: int) -> DataFrame:
     """``table``, checkpointed, and marked for broadcast if its ``weight`` adds up to ``most`` at most.
 

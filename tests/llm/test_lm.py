@@ -146,3 +146,58 @@ def test_edges(spark, none):
     rows = {r["doc_id"]: r for r in lm.score(df, F.lit(True)).collect()}
     assert (rows[1]["n_tokens"], rows[1]["n_known"], rows[1]["train_tokens"], rows[1]["base_score"]) == (3, 0, 0, 0.0)
     assert rows[2]["n_tokens"] == 1
+
+
+def test_words_that_end_alike_are_contexts_of_their_own(spark):
+    docs = [(i, "walking stick " * 20 if i % 2 else "talking heads " * 20) for i in range(40)]
+    docs += [(100, "walking stick"), (101, "walking heads"), (102, "talking heads"), (103, "talking stick")]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    score = {r["doc_id"]: r["score"] for r in lm.score(df, F.col("doc_id") >= 100, unit_bytes=2_000).collect()}
+    assert score[100] > score[101] + 1 and score[102] > score[103] + 1
+
+
+def test_probabilities_after_a_word_add_up_to_one():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["walking", "talking", "king", "a", "b", "cd"]) for _ in range(60)) for _ in range(30)]
+    asked = [f"{u} {w}" for u in ("walking", "king", "a", "thing") for w in ("walking", "talking", "king", "a", "b", "cd", "thing")]
+    asked += ["walking", "king", "a", "thing"]
+    table = pa.table({
+        "unit": pa.array([0] * (len(texts) + len(asked)), pa.int32()), "_text": texts + asked,
+        "_held": [False] * len(texts) + [True] * len(asked),
+    })
+    rows = lm.stated(1)(table).to_pylist()
+    share, found = lm.added_up(0, rows)
+    below = share.below
+    below.seen = lm.per_context(below, below.count).astype(float)
+    below.totals = [np.bincount(below.at, minlength=len(below.context)).astype(float)]
+    classes = lm.CONTEXTS + 1
+    totals = lm.Totals(
+        np.bincount(share.context, np.bincount(below.group, below.count), minlength=classes), len(share.word), (0.6, 0.4),
+        [np.bincount(share.context, minlength=classes).astype(float)], [len(share.count)], [len(share.word)],
+        [np.bincount(share.context, share.count, minlength=classes).astype(float)], 0.3,
+    )
+    for sweep in range(2):
+        for tables, guests, roots in lm.seat(share, totals, sweep + 1, 1):
+            pass
+        assert ((below.tables >= 1) & (below.tables <= below.count)).all() and (share.count == np.bincount(below.group, below.tables)).all()
+        below.totals.append(lm.per_context(below, below.tables).astype(float))
+        totals.tables.append(np.bincount(share.context, tables, minlength=classes).astype(float))
+        totals.customers.append(np.bincount(share.context, share.count, minlength=classes).astype(float))
+        totals.guests.append(int(guests.sum()))
+        totals.roots.append(int(roots.sum()))
+    chance = lm.predicted(share, found, totals, 1, 1, 1)
+    # All known words, one unknown, and the end of a text.
+    words = lm.split_words(pa.array(["walking king a thing"]), lm.BLANK_LOWER)
+    after = lm.context_of(lm.endings(words), words.hashes())
+    for context in after:
+        here = below.context[found.at] == context
+        assert here.sum() == 8 and chance[here].sum() == pytest.approx(1)
+
+
+def test_pairs_are_packed_and_read_back():
+    rng = np.random.default_rng(2)
+    for kind in (np.uint64, np.uint32):
+        values = rng.integers(0, np.iinfo(kind).max, 1000, dtype=kind)
+        values[:500].sort()
+        assert (lm.unpacked_runs(lm.packed_runs(values), kind, 1000) == values).all()
+        assert len(lm.unpacked_runs(lm.packed_runs(values[:0]), kind, 0)) == 0
