@@ -18,7 +18,9 @@ Texts and counts meet without a row per token. Texts are dealt into units of
 about ``UNIT_BYTES``. A unit states each pair of context and word it holds once,
 with the count in training texts; the pairs are dealt by word, added up over the
 units and seated, and each unit gets back one probability for each pair it
-stated, in the same order. Sweeps keep no state but the totals: with those and
+stated, in the same order. The texts themselves are packed and dealt once. The
+words and contexts of one unit are told to all tasks, so that units state those
+by their places, and by their hashes only what that unit has not. Sweeps keep no state but the totals: with those and
 fixed seeds, every task seats its words again from the start, so a lost
 executor costs its own tasks only.
 
@@ -29,6 +31,7 @@ ending and the first 53 bits.
 from __future__ import annotations
 
 import math
+import struct
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.storage import dealt_by, durable
+from gleaner.llm.storage import dealt_by, in_small_batches, without_shuffles
 from gleaner.llm.texts import BLANK_LOWER, mixed, slices, split_words
 
 CONTEXTS = 1024
@@ -47,6 +50,10 @@ BURN_IN = 1
 SAMPLES = 3
 STRENGTH = 1.0
 UNIT_BYTES = 16 << 20
+# Texts are packed, and dealt into units, about so many bytes at a time.
+BUNDLE_BYTES = 1 << 16
+# So many words, and contexts, at most are told to all tasks.
+FAMILIAR = 1 << 19
 # Up to so many customers of a word, the number of their tables is drawn from its exact distribution.
 EXACT = 64
 # Beyond that, customers are seated in batches of a sixteenth of those seated.
@@ -57,6 +64,27 @@ ENDING = np.uint64(11)
 REST = np.uint64(53)
 
 
+# -- texts of a unit -------------------------------------------------------------------------------
+
+
+BUNDLED = "texts binary"
+
+
+def bundled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, packed ``BUNDLE_BYTES`` of text at a time; a longer text on its own."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+    for part in slices(batches, "_text", BUNDLE_BYTES):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+            out.write_batch(part)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["texts"])
+
+
+def unbundled(bundles: pa.Table) -> pa.Table:
+    """The rows of a unit."""
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in bundles.column("texts").to_pylist()])
+
+
 # -- tokens of a unit ------------------------------------------------------------------------------
 
 
@@ -158,6 +186,71 @@ def unpacked_runs(data: bytes, kind, count: int) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view(kind), dtype=kind)
 
 
+def packed_floats(values: np.ndarray) -> bytes:
+    """The first bytes of all numbers, which are much alike, then the next."""
+    return packed(values.view(np.uint8).reshape(-1, values.itemsize).T)
+
+
+def unpacked_floats(data: bytes, kind, count: int) -> np.ndarray:
+    parts = unpacked(data, kind, count).view(np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(parts.T).reshape(-1).view(kind)
+
+
+@dataclass
+class Familiar:
+    """Words and contexts that all tasks know, in ascending order; any will do, frequent ones save most."""
+
+    words: np.ndarray
+    contexts: np.ndarray
+
+
+STRANGERS = Familiar(np.empty(0, np.uint64), np.empty(0, np.uint64))
+
+
+def packed_listed(values: np.ndarray, familiar: np.ndarray) -> bytes:
+    """Distinct hashes in ascending order: the places of the familiar ones, then the others."""
+    at = np.searchsorted(familiar, values)
+    met = (at < len(familiar)) & (np.append(familiar, np.uint64(0))[at] == values)
+    places = packed_runs(at[met].astype(np.uint32))
+    return struct.pack("<II", int(met.sum()), len(places)) + places + packed_runs(values[~met])
+
+
+def unpacked_listed(data: bytes, familiar: np.ndarray, count: int) -> np.ndarray:
+    met, size = struct.unpack_from("<II", data)
+    places = unpacked_runs(data[8 : 8 + size], np.uint32, met)
+    return np.sort(np.concatenate((familiar[places], unpacked_runs(data[8 + size :], np.uint64, count - met))))
+
+
+def most_frequent(hashes: np.ndarray) -> np.ndarray:
+    kinds, times = np.unique(hashes, return_counts=True)
+    return np.sort(kinds[np.argsort(-times, kind="stable")[:FAMILIAR]])
+
+
+FREQUENT = "n_words int, n_contexts int, words binary, contexts binary"
+
+
+def frequent(bundles: pa.Table) -> pa.Table:
+    """What a unit's texts hold most often."""
+    token, context, _ = unit_tokens(unbundled(bundles))
+    words, contexts = most_frequent(token), most_frequent(context)
+    return pa.table({
+        "n_words": pa.array([len(words)], pa.int32()), "n_contexts": pa.array([len(contexts)], pa.int32()),
+        "words": pa.array([packed_runs(words)], pa.binary()), "contexts": pa.array([packed_runs(contexts)], pa.binary()),
+    })
+
+
+def familiar_of(dealt: DataFrame) -> Familiar:
+    """Those of the first unit; of any other, or of none, the results would be the same."""
+    rows = dealt.where(F.col("unit") == 0).groupBy("unit").applyInArrow(frequent, FREQUENT).collect()
+    if not rows:
+        return STRANGERS
+    row = rows[0]
+    return Familiar(
+        unpacked_runs(bytes(row["words"]), np.uint64, row["n_words"]),
+        unpacked_runs(bytes(row["contexts"]), np.uint64, row["n_contexts"]),
+    )
+
+
 # Of a pair, the place of its context among those of the row.
 STATED = (
     "unit int, share int, n_words int, n_pairs int, n_contexts int, "
@@ -165,7 +258,7 @@ STATED = (
 )
 
 
-def stated(shares: int):
+def stated(shares: int, familiar: Familiar = STRANGERS):
     """Per unit: what it holds, one row for each share of the words."""
     kinds = (pa.int32(),) * 5 + (pa.binary(),) * 5
     names = [c.split()[0] for c in STATED.split(", ")]
@@ -187,8 +280,8 @@ def stated(shares: int):
             if b > a:
                 contexts, places = np.unique(pairs.context[first:last], return_inverse=True)
                 rows.append((
-                    unit, number, int(b - a), int(last - first), len(contexts), packed_runs(pairs.word[heads[a:b]]),
-                    packed(widths[a:b].astype(np.uint32)), packed_runs(contexts), packed_runs(places.astype(np.uint32)),
+                    unit, number, int(b - a), int(last - first), len(contexts), packed_listed(pairs.word[heads[a:b]], familiar.words),
+                    packed(widths[a:b].astype(np.uint32)), packed_listed(contexts, familiar.contexts), packed_runs(places.astype(np.uint32)),
                     packed(pairs.count[first:last].astype(np.uint32)),
                 ))
         columns = list(zip(*rows)) or [[]] * len(names)
@@ -197,6 +290,16 @@ def stated(shares: int):
     return run
 
 
+def stated_of_bundles(shares: int, familiar: Familiar):
+    of_unit = stated(shares, familiar)
+
+    def run(bundles: pa.Table) -> pa.Table:
+        texts = unbundled(bundles)
+        return of_unit(texts.append_column("unit", pa.array([bundles.column("unit")[0].as_py()] * len(texts), pa.int32())))
+
+    return run
+
+
 # -- seating ---------------------------------------------------------------------------------------
 
 
@@ -326,11 +429,11 @@ class Asked:
     own: np.ndarray
 
 
-def added_up(number: int, rows: list[dict]) -> tuple[Share, Asked]:
-    own = [unpacked_runs(row["words"], np.uint64, row["n_words"]) for row in rows]
+def added_up(number: int, rows: list[dict], familiar: Familiar = STRANGERS) -> tuple[Share, Asked]:
+    own = [unpacked_listed(row["words"], familiar.words, row["n_words"]) for row in rows]
     widths = np.concatenate([unpacked(row["widths"], np.uint32, row["n_words"]) for row in rows])
     words, word = np.unique(np.concatenate(own), return_inverse=True)
-    listed = [unpacked_runs(row["contexts"], np.uint64, row["n_contexts"]) for row in rows]
+    listed = [unpacked_listed(row["contexts"], familiar.contexts, row["n_contexts"]) for row in rows]
     contexts, at = np.unique(np.concatenate(listed), return_inverse=True)
     begins = np.cumsum([len(c) for c in listed]) - [len(c) for c in listed]
     at = at[np.concatenate([unpacked_runs(row["places"], np.uint32, row["n_pairs"]) + begin for row, begin in zip(rows, begins)])]
@@ -467,12 +570,12 @@ def per_context(below: Below, weights: np.ndarray) -> np.ndarray:
     return np.bincount(below.at, weights, minlength=len(below.context)).astype(np.int64)
 
 
-def held(shares: int):
+def held(shares: int, familiar: Familiar = STRANGERS):
     """Per share and home: the contexts that the share states, with their tokens and pairs in it; and the corpus' counts in it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in shares_in(batches):
-            share, _ = added_up(number, rows)
+            share, _ = added_up(number, rows, familiar)
             below, spread = share.below, np.bincount(share.of, minlength=len(share.word))
             seen, tables = per_context(below, below.count), per_context(below, np.ones(len(below.at)))
             kinds = [(c == n).sum() for c in (below.count, share.count, spread) for n in (1, 2)]
@@ -483,7 +586,7 @@ def held(shares: int):
                 "one": np.array([len(share.word), len(share.count), *kinds]),
             })
             out = [
-                (home, len(at), packed_runs(below.context[at]), packed(seen[at]), packed(tables[at]))
+                (home, len(at), packed_listed(below.context[at], familiar.contexts), packed(seen[at]), packed(tables[at]))
                 for home, at in per_home(below.context, shares)
             ]
             columns = dict(zip(("home", "n", "contexts", "seen", "tables"), zip(*out)))
@@ -503,13 +606,14 @@ def of_share(number: int, schema: str, columns: dict[str, tuple], sums: pa.Table
     return both.select(target.names).combine_chunks().to_batches()
 
 
-def told(sweep: int):
+def told(sweep: int, familiar: Familiar = STRANGERS):
     """At each home: the totals of its contexts, told to every share in the order of its own list."""
 
     def run(lists: pa.Table, sums: pa.Table) -> pa.Table:
         rows = lists.to_pylist()
         sums = {r["share"]: r["tables"] for r in sums.to_pylist()}
-        known, at = np.unique(np.concatenate([unpacked_runs(r["contexts"], np.uint64, r["n"]) for r in rows]), return_inverse=True)
+        listed = [unpacked_listed(r["contexts"], familiar.contexts, r["n"]) for r in rows]
+        known, at = np.unique(np.concatenate(listed), return_inverse=True)
 
         def total(parts: list[np.ndarray]) -> list[bytes]:
             whole = np.bincount(at, np.concatenate(parts), minlength=len(known)).astype(np.int64)[at]
@@ -541,12 +645,12 @@ def listen(below: Below, rows: list[dict], shares: int) -> None:
             below.seen[at] = unpacked(row["seen"], np.int64, row["n"])
 
 
-def swept(totals: Totals, sweeps: int, seed: int, shares: int):
+def swept(totals: Totals, sweeps: int, seed: int, shares: int, familiar: Familiar = STRANGERS):
     """Per share, after so many sweeps: the tables of its contexts, for their homes, and its part of the other totals."""
 
     def run(stated: pa.Table, heard: pa.Table) -> pa.Table:
         rows = sorted(stated.to_pylist(), key=lambda r: r["unit"])
-        share, _ = added_up(rows[0]["share"], rows)
+        share, _ = added_up(rows[0]["share"], rows, familiar)
         listen(share.below, heard.to_pylist(), shares)
         for tables, guests, roots in seat(share, totals, sweeps, seed):
             pass
@@ -561,17 +665,17 @@ def swept(totals: Totals, sweeps: int, seed: int, shares: int):
     return run
 
 
-def all_totals(pairs: DataFrame, sweeps: int, seed: int, shares: int) -> tuple[Totals, DataFrame]:
+def all_totals(pairs: DataFrame, sweeps: int, seed: int, shares: int, familiar: Familiar = STRANGERS) -> tuple[Totals, DataFrame]:
     """The totals before and after each sweep, and those of all contexts, as told to the shares.
 
     A sweep is one pass over the pairs.
     """
-    both = dealt_by(pairs.mapInArrow(held(shares), HELD), shares, "home")
+    both = dealt_by(pairs.mapInArrow(held(shares, familiar), HELD), shares, "home")
     totals, lists = corpus_totals(both.where("name IS NOT NULL")), both.where("name IS NULL").drop("name", "place", "value")
-    heard = durable(lists.groupBy("home").applyInArrow(told(0), TOLD))
+    heard = without_shuffles(lists.groupBy("home").applyInArrow(told(0, familiar), TOLD))
     for sweep in range(1, sweeps + 1):
-        done = durable(
-            pairs.groupBy("share").cogroup(heard.groupBy("share")).applyInArrow(swept(totals, sweep, seed, shares), SWEPT)
+        done = without_shuffles(
+            pairs.groupBy("share").cogroup(heard.groupBy("share")).applyInArrow(swept(totals, sweep, seed, shares, familiar), SWEPT)
         )
         found = added(done.where("name IS NOT NULL"))
         guests, roots = _vector(found, "one", 2)
@@ -580,8 +684,8 @@ def all_totals(pairs: DataFrame, sweeps: int, seed: int, shares: int) -> tuple[T
         totals.guests.append(int(guests))
         totals.roots.append(int(roots))
         sums = done.where("name IS NULL").select("home", "share", "tables")
-        now = lists.groupBy("home").cogroup(sums.groupBy("home")).applyInArrow(told(sweep), TOLD)
-        heard = heard.unionByName(durable(now))
+        now = lists.groupBy("home").cogroup(sums.groupBy("home")).applyInArrow(told(sweep, familiar), TOLD)
+        heard = heard.unionByName(without_shuffles(now))
     return totals, heard
 
 
@@ -610,12 +714,12 @@ def predicted(share: Share, asked: Asked, totals: Totals, burn_in: int, samples:
     return whole
 
 
-def answered(totals: Totals, burn_in: int, samples: int, seed: int, shares: int):
+def answered(totals: Totals, burn_in: int, samples: int, seed: int, shares: int, familiar: Familiar = STRANGERS):
     """For every row that a unit stated: log10 of each pair's probability, and each word's count."""
 
     def run(stated: pa.Table, heard: pa.Table) -> pa.Table:
         rows = sorted(stated.to_pylist(), key=lambda r: r["unit"])
-        share, asked = added_up(rows[0]["share"], rows)
+        share, asked = added_up(rows[0]["share"], rows, familiar)
         below = share.below
         listen(below, heard.to_pylist(), shares)
         logs = np.log10(predicted(share, asked, totals, burn_in, samples, seed)).astype(np.float32)[asked.pair]
@@ -625,7 +729,8 @@ def answered(totals: Totals, burn_in: int, samples: int, seed: int, shares: int)
         for row in rows:
             widths = unpacked(row["widths"], np.uint32, row["n_words"]).astype(np.int64)
             heads = at + np.cumsum(widths) - widths
-            out.append((row["unit"], share.number, row["n_words"], row["n_pairs"], packed(logs[at : at + row["n_pairs"]]), packed(counts[heads])))
+            own = packed_floats(logs[at : at + row["n_pairs"]])
+            out.append((row["unit"], share.number, row["n_words"], row["n_pairs"], own, packed(counts[heads])))
             at += row["n_pairs"]
         kinds = (pa.int32(),) * 4 + (pa.binary(),) * 2
         names = [c.split()[0] for c in ANSWERED.split(", ")]
@@ -639,12 +744,12 @@ def scored(totals: Totals):
     train_tokens = int(totals.seen.sum())
     base_below = math.log10(train_tokens + totals.known + 1)
 
-    def run(answers: pa.Table, texts: pa.Table) -> pa.Table:
-        texts = texts.combine_chunks()
+    def run(answers: pa.Table, bundles: pa.Table) -> pa.Table:
+        texts = unbundled(bundles).combine_chunks()
         token, context, begin = unit_tokens(texts)
         pairs = pairs_of(token, context, np.zeros(len(token)))
         rows = sorted(answers.to_pylist(), key=lambda r: r["share"])
-        logs = np.concatenate([unpacked(r["logs"], np.float32, r["n_pairs"]) for r in rows] or [np.empty(0)])
+        logs = np.concatenate([unpacked_floats(r["logs"], np.float32, r["n_pairs"]) for r in rows] or [np.empty(0)])
         counts = np.concatenate([unpacked(r["counts"], np.int64, r["n_words"]) for r in rows] or [np.empty(0, np.int64)])
         if len(logs) != len(pairs.word):
             raise RuntimeError("a unit's texts differ from those it stated")
@@ -692,11 +797,13 @@ def score(
     )
     size = rows.agg(F.sum(F.octet_length("_text").cast("bigint") + 1)).first()[0] or 1
     units = max(1, -(-size // unit_bytes))
-    dealt = rows.withColumn("unit", F.pmod(F.xxhash64("_id", "_text"), F.lit(units)).cast("int"))
-    pairs = dealt_by(dealt.groupBy("unit").applyInArrow(stated(units), STATED), units, "share")
-    totals, heard = all_totals(pairs, burn_in + samples, seed, units)
+    bundles = in_small_batches(rows).mapInArrow(bundled, BUNDLED)
+    dealt = dealt_by(bundles.withColumn("unit", F.pmod(F.xxhash64("texts"), F.lit(units)).cast("int")), units, "unit")
+    familiar = familiar_of(dealt)
+    pairs = dealt_by(dealt.groupBy("unit").applyInArrow(stated_of_bundles(units, familiar), STATED), units, "share")
+    totals, heard = all_totals(pairs, burn_in + samples, seed, units, familiar)
     answers = pairs.groupBy("share").cogroup(heard.groupBy("share")).applyInArrow(
-        answered(totals, burn_in, samples, seed, units), ANSWERED
+        answered(totals, burn_in, samples, seed, units, familiar), ANSWERED
     )
     result = answers.groupBy("unit").cogroup(dealt.groupBy("unit")).applyInArrow(
         scored(totals),

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,18 +51,36 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def setting(session: SparkSession, key: str, value: str) -> Iterator[None]:
+    """``key`` is ``value`` inside, and afterwards what it was."""
+    before = session.conf.get(key, None)
+    session.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            session.conf.unset(key)
+        else:
+            session.conf.set(key, before)
+
+
+def without_shuffles(df: DataFrame) -> DataFrame:
+    """As ``durable``; what its plan shuffled leaves the disk as soon as the result is written.
+
+    Otherwise both are kept until the driver's garbage collector finds the plan.
+    """
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return durable(df.select("*"))
+
+
 def dealt_by(df: DataFrame, tasks: int, key: str) -> DataFrame:
-    """As ``durable``, in ``tasks`` partitions by ``key``, which later groupings by it need not shuffle again.
+    """As ``without_shuffles``, in ``tasks`` partitions by ``key``, which later groupings by it need not shuffle again.
 
     Adaptive plans do not say how their result is partitioned, so this one is not adaptive.
     """
-    setting, conf = "spark.sql.adaptive.enabled", df.sparkSession.conf
-    before = conf.get(setting)
-    conf.set(setting, "false")
-    try:
-        return durable(df.repartition(tasks, key))
-    finally:
-        conf.set(setting, before)
+    with setting(df.sparkSession, "spark.sql.adaptive.enabled", "false"):
+        return without_shuffles(df.repartition(tasks, key))
 
 
 def lookup(table: DataFrame, weight: str, most: int) -> DataFrame:

@@ -1,16 +1,20 @@
 from __future__ import annotations
 
 import math
+import os
 import random
+import tempfile
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import classifier, lm
+from gleaner.llm import classifier, lm, storage
 
 
 def held():
@@ -201,3 +205,75 @@ def test_pairs_are_packed_and_read_back():
         values[:500].sort()
         assert (lm.unpacked_runs(lm.packed_runs(values), kind, 1000) == values).all()
         assert len(lm.unpacked_runs(lm.packed_runs(values[:0]), kind, 0)) == 0
+
+
+def test_familiar_hashes_are_stated_by_their_places():
+    rng = np.random.default_rng(5)
+    ends = np.array([0, (1 << 64) - 1], np.uint64)
+    values = np.unique(np.concatenate((rng.integers(0, 1 << 64, 5_000, dtype=np.uint64), ends)))
+    for familiar in (values[:0], values[::3], values, np.unique(rng.integers(0, 1 << 64, 900, dtype=np.uint64)), values[-1:], values[:1]):
+        for part in (values, values[::2], values[:0], values[-1:], values[:1]):
+            data = lm.packed_listed(part, familiar)
+            assert (lm.unpacked_listed(data, familiar, len(part)) == part).all()
+    assert len(lm.packed_listed(values, values)) * 8 < len(lm.packed_listed(values, values[:0]))
+    floats = -rng.random(1_000).astype(np.float32)
+    assert (lm.unpacked_floats(lm.packed_floats(floats), np.float32, 1_000) == floats).all()
+
+
+def zipf_texts(count):
+    rng = np.random.default_rng(6)
+    return [" ".join(f"{w:x}" for w in (10_000 * rng.random(400) ** 4).astype(int)) for _ in range(count)]
+
+
+def stated_bytes(shares, familiar):
+    rows = lm.stated(shares, familiar)(pa.table({"unit": pa.array([0] * 200, pa.int32()), "_text": zipf_texts(200), "_held": [False] * 200}))
+    return sum(len(row[c]) for row in rows.to_pylist() for c in ("words", "contexts")), rows.to_pylist()
+
+
+def test_what_a_unit_states_hardly_grows_with_the_shares():
+    token, context, _ = lm.unit_tokens(pa.table({"_text": zipf_texts(300)[100:]}))
+    familiar = lm.Familiar(lm.most_frequent(token), lm.most_frequent(context))
+    few, one = stated_bytes(4, familiar)
+    many, rows = stated_bytes(40, familiar)
+    plain, same = stated_bytes(40, lm.STRANGERS)
+    assert many < plain / 3
+    for row, other in zip(rows, same, strict=True):
+        share, asked = lm.added_up(row["share"], [row], familiar)
+        left, right = lm.added_up(row["share"], [other])
+        assert (share.word == left.word).all() and (share.below.context == left.below.context).all()
+        assert (share.below.count == left.below.count).all() and (asked.pair == right.pair).all()
+
+
+def test_texts_are_packed_and_read_back():
+    texts = ["a b " * 40_000, None, "", "c " * 50_000, "d"] + ["words of a text " * 50] * 400
+    table = pa.table({"_id": pa.array(range(len(texts)), pa.int64()), "_text": texts, "_held": [False] * len(texts)})
+    bundles = pa.Table.from_batches(lm.bundled(table.to_batches()))
+    assert lm.unbundled(bundles).to_pylist() == table.to_pylist()
+    sizes = [pa.ipc.open_stream(b).read_all().column("_text") for b in bundles.column("texts").to_pylist()]
+    assert all(len(s) == 1 or sum(len(t or "") for t in s.to_pylist()) <= lm.BUNDLE_BYTES for s in sizes)
+    assert bundles.nbytes < table.nbytes / 10
+
+
+def test_shuffled_rows_leave_the_disk_once_they_are_kept(spark):
+    folder = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+
+    def shuffled():
+        return set(Path(folder).glob("blockmgr-*/*/shuffle_*"))
+
+    before = shuffled()
+    plain = spark.range(1_000).repartition(3, "id")
+    storage.durable(plain)
+    between = shuffled()
+    assert between - before
+    kept = storage.dealt_by(spark.range(1_000), 3, "id")
+    until = time.time() + 20
+    while shuffled() - between and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - between and kept.count() == 1_000
+
+
+def test_scores_are_the_same_whatever_is_familiar(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(zipf_texts(60))), "doc_id int, text string")
+    with_ = sorted(lm.score(docs, held(), unit_bytes=30_000).collect())
+    monkeypatch.setattr(lm, "familiar_of", lambda dealt: lm.STRANGERS)
+    assert sorted(lm.score(docs, held(), unit_bytes=30_000).collect()) == with_
